@@ -46,8 +46,7 @@ _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 def _grown(name: str, base: int, n: int) -> np.ndarray:
     have = _powers[name]
     while len(have) < n:
-        top = have[-1] * np.uint64(base)
-        have = np.concatenate([have, have * top])
+        have = np.concatenate([have, have * (have[-1:] * np.uint64(base))])
     _powers[name] = have
     return have[:n]
 

@@ -12,7 +12,7 @@ import re
 import numpy as np
 import pyarrow as pa
 
-from .textarrays import WHITE, Hasher, LOWER, ragged_take, slices
+from .textarrays import LOWER, Hasher, ragged_take, slices
 
 KEPT_UNITS = 1_500_000
 _KIND = np.zeros(256, np.uint8)  # 0: joins whatever stands beside it
@@ -31,14 +31,15 @@ def _starts(row_offsets: np.ndarray, n: int, cut: np.ndarray) -> np.ndarray:
 class Kept:
     """What is known of units: sorted hashes with a ragged array of values."""
 
-    def __init__(self) -> None:
+    def __init__(self, kind: type = np.uint16) -> None:
+        self.kind = kind
         self.clear()
 
     def clear(self) -> None:
         self.hashes = np.zeros(0, np.uint64)
         self.where = np.zeros(0, np.int64)
         self.bounds = np.zeros(1, np.int64)
-        self.values = np.zeros(0, np.uint16)
+        self.values = np.zeros(0, self.kind)
 
     def find(self, hashes: np.ndarray, texts, make) -> np.ndarray:
         """Numbers of the units; ``make(list of bytes)`` gives values and lengths of those not met before."""
@@ -52,7 +53,7 @@ class Kept:
             new = np.flatnonzero(~known)
             values, lengths = make(texts(new))
             first = len(self.bounds) - 1
-            self.values = np.concatenate([self.values, values.astype(np.uint16)])
+            self.values = np.concatenate([self.values, values.astype(self.kind)])
             self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(lengths)])
             fresh = hashes[new]  # sorted, as hashes are
             self.where = np.insert(self.where, at[new], first + np.arange(len(new)))
@@ -81,10 +82,34 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = re.compile(b"|".join(re.escape(t.content.encode()) for t in self.tokenizer.get_added_tokens_decoder().values()))
+        self.closes = np.zeros(1 << 16, bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.closes[i] = token.endswith("</w>")
         self.kept = Kept()
 
     def _make(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        found = self.tokenizer.encode_batch_fast([u.decode() for u in units], add_special_tokens=False)
+        texts = [u.decode() for u in units]
+        # a unit of Latin letters is one pre-token, which one word-end token closes: such units go in as one text
+        simple = np.fromiter((x.isalpha() and max(x) < "\u0250" for x in texts), bool, len(texts))
+        which = np.flatnonzero(simple)
+        if len(which) < 2:
+            return self._each(texts)
+        joined = "\n".join([texts[i] for i in which.tolist()])
+        ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.uint16)
+        ends = np.flatnonzero(self.closes[ids]) + 1
+        if len(ends) != len(which) or ends[-1] != len(ids):
+            return self._each(texts)
+        lengths = np.zeros(len(texts), np.int64)
+        lengths[which] = np.diff(ends, prepend=0)
+        rest = np.flatnonzero(~simple)
+        other, lengths[rest] = self._each([texts[i] for i in rest.tolist()])
+        out = np.zeros(int(lengths.sum()), np.uint16)
+        out[np.repeat(simple, lengths)] = ids
+        out[np.repeat(~simple, lengths)] = other
+        return out, lengths
+
+    def _each(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         ids = [e.ids for e in found]
         lengths = np.fromiter(map(len, ids), np.int64, len(ids))
         return np.fromiter((i for x in ids for i in x), np.uint16, int(lengths.sum())), lengths
@@ -95,7 +120,7 @@ class WordIds:
             raw = data.tobytes()
             if self.special.search(raw):  # such texts are few: the library takes them whole
                 texts = [raw[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-                ids, lengths = self._make(texts)
+                ids, lengths = self._each([x.decode() for x in texts])
                 yield row, ids, lengths
                 continue
             data = LOWER[data]
