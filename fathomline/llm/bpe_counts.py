@@ -8,6 +8,7 @@ a rank are the tokens.
 
 from __future__ import annotations
 
+import functools
 import json
 from collections.abc import Iterator
 
@@ -149,6 +150,12 @@ class TokenCounter:
         return n_bytes, n_tokens
 
 
+@functools.cache
+def token_counter(path: str) -> TokenCounter:
+    """The counter of this worker: tasks that run in it one after the other share what it has met."""
+    return TokenCounter(path)
+
+
 def count_tokens(docs: DataFrame, vocabulary_path: str) -> DataFrame:
     """``docs`` with n_bytes (UTF-8) and n_tokens; columns of these names are replaced.
 
@@ -159,7 +166,7 @@ def count_tokens(docs: DataFrame, vocabulary_path: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = TokenCounter(vocabulary_path)
+        counter = token_counter(vocabulary_path)
         for batch in batches:
             n_bytes, n_tokens = counter.lengths(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_bytes), pa.array(n_tokens)], ["doc_id", "n_bytes", "n_tokens"])

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import WordIds
+from .tokens import word_ids
 
 WIDTH = 4096
 END_ID = 2
@@ -165,7 +165,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, *, width: int = WIDTH,
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordIds(tokenizer_path)
+        words = word_ids(tokenizer_path)
         stream = Stream(sentence_ends(words.tokenizer), width)
         for batch in batches:
             doc = batch.column(0).fill_null(int(NO_ID)).to_numpy(zero_copy_only=False)

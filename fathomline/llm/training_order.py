@@ -19,12 +19,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .packing import NO_ID
-from .scratch import shared_folder, written
+from .scratch import shared_folder
 from .textarrays import mix
-from .tokens import WordIds
+from .tokens import word_ids
 
 WINDOW = 256
-PER_SHARD = 32768
+PER_SHARD = 8192
 ROUNDS = 6
 SEQUENCES = "part int, local bigint, record binary"
 READ = "slot bigint, shard bigint, byte_offset bigint, doc_id bigint, start bigint, length bigint, ids_le binary"
@@ -39,7 +39,7 @@ def feistel(numbers: np.ndarray, size: int, key: int) -> np.ndarray:
     """A permutation of 0 .. size - 1: balanced Feistel rounds on the next even number of bits, walked until inside."""
     half = np.uint64(max(1, (max(size - 1, 1).bit_length() + 1) // 2))
     mask = np.uint64((1 << int(half)) - 1)
-    keys = mix(np.arange(1, ROUNDS + 1, dtype=np.uint64) + np.uint64(key & (2**64 - 1)) * np.uint64(0x9E3779B97F4A7C15))
+    keys = mix(np.arange(1, ROUNDS + 1, dtype=np.uint64) + np.uint64(key * 0x9E3779B97F4A7C15 & (2**64 - 1)))
     out = numbers.astype(np.uint64)
     todo = np.arange(len(out))
     while len(todo):
@@ -56,7 +56,7 @@ def token_windows(docs: DataFrame, tokenizer_path: str, window: int = WINDOW) ->
     kind = record_type(window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, part, local = WordIds(tokenizer_path), TaskContext.get().partitionId(), 0
+        words, part, local = word_ids(tokenizer_path), TaskContext.get().partitionId(), 0
         for batch in batches:
             doc = batch.column(0).fill_null(int(NO_ID)).to_numpy(zero_copy_only=False)
             for row, ids, lengths in words.batches(batch.column(1)):
@@ -81,14 +81,15 @@ def token_windows(docs: DataFrame, tokenizer_path: str, window: int = WINDOW) ->
 def write_training_order(sequences: DataFrame, folder: str, *, key: int, per_shard: int = PER_SHARD) -> int:
     """Write ``sequences`` (part, local, record) as shards under ``folder``; returns how many there are.
 
-    Numbers are dense over (part, local).  The sequences are kept in the
-    shared folder first, so that a lost task is redone with the same numbers.
-    An empty table writes no shard.
+    Numbers are dense over (part, local): a first pass counts the sequences
+    of each input task, a second one writes them.  ``sequences`` must give
+    the same rows in the same tasks both times, as a scan of a table does, so
+    a lost task is redone with the same numbers.  An empty table writes no
+    shard.
     """
     spark = sequences.sparkSession
-    kept = written(sequences)
-    # one row for each task that made sequences
-    counts = sorted((r["part"], r["n"]) for r in kept.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect())
+    # one row for each task that makes sequences
+    counts = sorted((r["part"], r["n"]) for r in sequences.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect())
     total, before = 0, []
     for part, n in counts:
         before.append((part, total))
@@ -102,12 +103,13 @@ def write_training_order(sequences: DataFrame, folder: str, *, key: int, per_sha
         return pd.Series(feistel(number.to_numpy(), total, key))
 
     # one row per input task: far below any broadcast limit
-    placed = kept.join(F.broadcast(offsets), "part").select(slot(F.col("local") + F.col("before")).alias("slot"), "record")
+    placed = sequences.join(F.broadcast(offsets), "part").select(slot(F.col("local") + F.col("before")).alias("slot"), "record")
     placed = placed.withColumn("shard", F.expr(f"slot div {per_shard}"))
     shards = -(-total // per_shard)
-    # range partitions of whole shards; records hold arbitrary bytes, each ends in the writer's line feed
+    # ranges of slots, several shards to a task; records hold arbitrary bytes, each ends in the writer's line feed
+    ranges = min(shards, max(len(counts), int(spark.conf.get("spark.sql.shuffle.partitions"))))
     (
-        placed.repartitionByRange(shards, "shard")
+        placed.repartitionById(ranges, F.expr(f"cast(shard * {ranges} div {shards} as int)"))
         .sortWithinPartitions("shard", "slot")
         .select("shard", F.expr("cast(substring(record, 1, length(record) - 1) as string)").alias("value"))
         .write.partitionBy("shard")
