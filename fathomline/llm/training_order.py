@@ -12,7 +12,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -26,7 +25,6 @@ from .tokens import word_ids
 WINDOW = 256
 PER_SHARD = 8192
 ROUNDS = 6
-SEQUENCES = "part int, local bigint, record binary"
 READ = "slot bigint, shard bigint, byte_offset bigint, doc_id bigint, start bigint, length bigint, ids_le binary"
 
 
@@ -51,16 +49,32 @@ def feistel(numbers: np.ndarray, size: int, key: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def token_windows(docs: DataFrame, tokenizer_path: str, window: int = WINDOW) -> DataFrame:
-    """Records of at most ``window`` ids of every document, numbered within their partition; an empty text has none."""
+def _window_counts(lengths: np.ndarray, window: int) -> np.ndarray:
+    return -(-lengths // window)
+
+
+def count_windows(docs: DataFrame, tokenizer_path: str, window: int = WINDOW) -> DataFrame:
+    """part (the task), n: how many sequences of at most ``window`` ids each run of documents has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, part, n = word_ids(tokenizer_path), TaskContext.get().partitionId(), 0
+        for batch in batches:
+            n += sum(int(_window_counts(lengths, window).sum()) for _, _, lengths in words.batches(batch.column(0)))
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([n])], ["part", "n"])
+
+    return docs.select(F.col("text").cast("string")).mapInArrow(run, "part int, n bigint")
+
+
+def slotted_windows(docs: DataFrame, tokenizer_path: str, before: dict[int, int], total: int, *, key: int, window: int = WINDOW) -> DataFrame:
+    """slot, record of every sequence; ``before`` has how many sequences the tasks before each one have."""
     kind = record_type(window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, part, local = word_ids(tokenizer_path), TaskContext.get().partitionId(), 0
+        words, number = word_ids(tokenizer_path), before[TaskContext.get().partitionId()]
         for batch in batches:
             doc = batch.column(0).fill_null(int(NO_ID)).to_numpy(zero_copy_only=False)
             for row, ids, lengths in words.batches(batch.column(1)):
-                per_doc = -(-lengths // window)
+                per_doc = _window_counts(lengths, window)
                 owner = np.repeat(np.arange(len(lengths)), per_doc)
                 first = np.arange(len(owner)) - np.repeat(np.cumsum(per_doc) - per_doc, per_doc)
                 out = np.zeros(len(owner), kind)
@@ -72,42 +86,33 @@ def token_windows(docs: DataFrame, tokenizer_path: str, window: int = WINDOW) ->
                 out["ids"][np.repeat(np.arange(len(owner)), taken), within] = ids[flat + within]
                 where = pa.array(np.arange(len(out) + 1) * kind.itemsize, pa.int32())
                 records = pa.BinaryArray.from_buffers(pa.binary(), len(out), [None, where.buffers()[1], pa.py_buffer(out.tobytes())])
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(out), part, np.int32)), pa.array(np.arange(local, local + len(out))), records], ["part", "local", "record"])
-                local += len(out)
+                yield pa.RecordBatch.from_arrays([pa.array(feistel(np.arange(number, number + len(out)), total, key)), records], ["slot", "record"])
+                number += len(out)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SEQUENCES)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "slot bigint, record binary")
 
 
-def write_training_order(sequences: DataFrame, folder: str, *, key: int, per_shard: int = PER_SHARD) -> int:
-    """Write ``sequences`` (part, local, record) as shards under ``folder``; returns how many there are.
+def write_training_order(docs: DataFrame, tokenizer_path: str, folder: str, *, key: int, window: int = WINDOW, per_shard: int = PER_SHARD) -> int:
+    """Write the documents' token windows as shards under ``folder``; returns how many sequences there are.
 
-    Numbers are dense over (part, local): a first pass counts the sequences
-    of each input task, a second one writes them.  ``sequences`` must give
-    the same rows in the same tasks both times, as a scan of a table does, so
-    a lost task is redone with the same numbers.  An empty table writes no
-    shard.
+    Sequences are numbered in the order of the tasks and their rows: a first
+    pass counts each task's sequences, a second one writes them.  ``docs``
+    must give the same rows in the same tasks both times, as a scan of a table
+    does, so a lost task is redone with the same numbers.  An empty table
+    writes no shard.
     """
-    spark = sequences.sparkSession
-    # one row for each task that makes sequences
-    counts = sorted((r["part"], r["n"]) for r in sequences.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect())
-    total, before = 0, []
-    for part, n in counts:
-        before.append((part, total))
+    spark = docs.sparkSession
+    # one row for each task
+    total, before = 0, {}
+    for part, n in sorted((r["part"], r["n"]) for r in count_windows(docs, tokenizer_path, window).collect()):
+        before[part] = total
         total += n
     if not total:
         return 0
-    offsets = spark.createDataFrame(before, "part int, before bigint")
-
-    @F.pandas_udf("bigint")
-    def slot(number: pd.Series) -> pd.Series:
-        return pd.Series(feistel(number.to_numpy(), total, key))
-
-    # one row per input task: far below any broadcast limit
-    placed = sequences.join(F.broadcast(offsets), "part").select(slot(F.col("local") + F.col("before")).alias("slot"), "record")
-    placed = placed.withColumn("shard", F.expr(f"slot div {per_shard}"))
+    placed = slotted_windows(docs, tokenizer_path, before, total, key=key, window=window).withColumn("shard", F.expr(f"slot div {per_shard}"))
     shards = -(-total // per_shard)
-    # ranges of slots, several shards to a task; records hold arbitrary bytes, each ends in the writer's line feed
-    ranges = min(shards, max(len(counts), int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    # ranges of slots, whole shards each; records hold arbitrary bytes, each ends in the writer's line feed
+    ranges = min(shards, max(len(before), int(spark.conf.get("spark.sql.shuffle.partitions"))))
     (
         placed.repartitionById(ranges, F.expr(f"cast(shard * {ranges} div {shards} as int)"))
         .sortWithinPartitions("shard", "slot")
@@ -154,6 +159,6 @@ def training_order(docs: DataFrame, tokenizer_path: str, *, key: int, window: in
     """
     spark = docs.sparkSession
     folder = shared_folder(spark)
-    if not write_training_order(token_windows(docs, tokenizer_path, window), folder, key=key, per_shard=per_shard):
+    if not write_training_order(docs, tokenizer_path, folder, key=key, window=window, per_shard=per_shard):
         return spark.createDataFrame([], READ)
     return read_training_order(spark, folder, window=window, per_shard=per_shard)
