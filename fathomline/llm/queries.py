@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_counts, chat, decontaminate, packing, training_order, warc
+from . import bpe_counts, chat, decontaminate, near_dup, packing, training_order, warc
 from .scratch import shared_folder
 
 #: Key of the training order and of surrogates; a production run takes its own from a secret store.
@@ -24,6 +24,11 @@ def digest(items: str) -> Column:
     return F.sha2(F.array_join(items, ","), 256)
 
 
+def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of near copies among all documents."""
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark windows in all documents."""
     report = decontaminate.hit_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -74,6 +79,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_near_duplicates": op1_near_duplicates,
     "op2_decontamination": op2_decontamination,
     "op4_chat_format": op4_chat_format,
     "op5_warc": op5_warc,
