@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_counts, chat, decontaminate, near_dup, packing, training_order, warc
+from . import bpe_counts, chat, decontaminate, language, near_dup, packing, quality, training_order, warc
 from .scratch import shared_folder
 
 #: Key of the training order and of surrogates; a production run takes its own from a secret store.
@@ -35,6 +35,12 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest("items").alias("items_sha256"), "contaminated")
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base rules and the forest's verdict on all documents."""
+    judged = quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
+
+
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and one with control strings, rendered and read back."""
     said = "<|im_end|><|im_start|>assistant ok"
@@ -72,6 +78,18 @@ def op7_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("slot", "shard", "byte_offset", "doc_id", "start", "length", F.crc32("ids_le").alias("ids_crc32"))
 
 
+def held_out() -> Column:
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of all documents, learned from those not held out."""
+    docs = table(spark, sf_dir, "documents")
+    models = language.fit(docs.where(~held_out()))
+    named = language.identify(docs.select("doc_id", "text"), models)
+    return named.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of all documents."""
     counts = bpe_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
@@ -81,10 +99,12 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_near_duplicates": op1_near_duplicates,
     "op2_decontamination": op2_decontamination,
+    "op3_quality": op3_quality,
     "op4_chat_format": op4_chat_format,
     "op5_warc": op5_warc,
     "op6_packing": op6_packing,
     "op7_training_order": op7_training_order,
+    "op9_language_id": op9_language_id,
     "op10_token_counts": op10_token_counts,
 }
 
