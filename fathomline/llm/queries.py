@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_counts, chat, decontaminate, language, near_dup, packing, quality, training_order, warc
+from . import bpe_counts, chat, decontaminate, language, near_dup, packing, pii, quality, training_order, warc
 from .scratch import shared_folder
 
 #: Key of the training order and of surrogates; a production run takes its own from a secret store.
@@ -78,6 +78,11 @@ def op7_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("slot", "shard", "byte_offset", "doc_id", "start", "length", F.crc32("ids_le").alias("ids_crc32"))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with surrogates for personal data."""
+    return pii.replace_pii(table(spark, sf_dir, "documents").select("doc_id", "text"), key=str(KEY))
+
+
 def held_out() -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
 
@@ -104,6 +109,7 @@ QUERIES = {
     "op5_warc": op5_warc,
     "op6_packing": op6_packing,
     "op7_training_order": op7_training_order,
+    "op8_pii": op8_pii,
     "op9_language_id": op9_language_id,
     "op10_token_counts": op10_token_counts,
 }
