@@ -35,7 +35,8 @@ PATTERNS = {
     "email": r"(?<![\p{L}0-9._%+\-])[\p{L}0-9._%+\-]+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ip": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9]|\.[0-9])",
-    "card": r"(?<![0-9])[3-6][0-9]{3}(?:[ \-]?[0-9]{4}){2}[ \-]?[0-9]{1,7}(?![0-9])",
+    # issuers' ranges; the check digit is looked at afterwards
+    "card": r"(?<![0-9A-Za-z.])(?:(?:4[0-9]{3}|5[1-5][0-9]{2}|2(?:22[1-9]|2[3-9][0-9]|[3-6][0-9]{2}|7[01][0-9]|720)|35[0-9]{2}|6(?:011|5[0-9]{2}|4[4-9][0-9]|2[0-9]{2}))(?:[ \-]?[0-9]{4}){3}|3[47][0-9]{2}[ \-]?[0-9]{6}[ \-]?[0-9]{5})(?![0-9A-Za-z])",
     "ssn": r"(?<![0-9\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-])",
     "phone": r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .\-]?)?\([0-9]{2,4}\)[ .\-]?[0-9]{3,4}[ .\-]?[0-9]{3,4}(?![0-9])|(?<![0-9A-Za-z.\-])\+[0-9]{1,3}(?:[ .\-]?[0-9]{2,4}){2,5}(?![0-9])|(?<![0-9A-Za-z.\-])[0-9]{3}[ .\-][0-9]{3}[ .\-][0-9]{4}(?![0-9.\-])",
     "name": rf"(?<!\p{{L}})(?:{_TITLE})\.? {_NAME}(?: {_NAME})?",
@@ -172,16 +173,14 @@ def _surrogate(e: Column, key: str) -> Column:
     octet = lambda i: (F.conv(F.substring(noise, i, 4), 16, 10).cast("int") % 256).cast("string")
     ip = F.concat_ws(".", (F.lit(240) + F.conv(F.substring(noise, 1, 4), 16, 10).cast("int") % 15).cast("string"), octet(5), octet(9), octet(13))
     number = F.concat(F.substring(value, 1, 1), F.substring(digits, F.lit(1), F.length(value) - 2))
-    # the check digit is right if, and only if, the entity's was
-    right = _luhn(F.substring(value, F.lit(1), F.length(value) - 1)) == F.substring(value, -1, 1)
-    last = F.when(right, _luhn(number)).otherwise(((_luhn(number).cast("int") + 1 + F.substring(digits, 47, 1).cast("int") % 9) % 10).cast("string"))
     # the first digit of a country code stays
     phone = F.when(value.startswith("+"), _poured(mention, digits, 1)).otherwise(_poured(mention, digits))
     iban = _mapped(e, 2)
     return (
-        F.when(kind == "email", email)
+        F.when(kind == "none", mention)
+        .when(kind == "email", email)
         .when(kind == "ip", ip)
-        .when(kind == "card", _poured(mention, F.rpad(F.concat(number, last), 48, "0")))
+        .when(kind == "card", _poured(mention, F.rpad(F.concat(number, _luhn(number)), 48, "0")))
         .when(kind == "ssn", _poured(mention, digits))
         .when(kind == "phone", phone)
         .when(kind == "iban", F.when(mention.contains(" "), F.regexp_replace(iban, "(.{4})(?=.)", "$1 ")).otherwise(iban))
@@ -195,9 +194,11 @@ def _more(e: Column, names: list[str], **new: Column) -> Column:
 
 
 def described(mentions: Column) -> Column:
-    """mention, kind, value of each mention."""
+    """mention, kind, value of each mention; of a number that only looks like a card's the kind is ``none``."""
     kinds = F.transform(mentions, lambda m: F.struct(m.alias("mention"), kind_of(m).alias("kind")))
-    return F.transform(kinds, lambda e: _more(e, ["mention", "kind"], value=canonical(e["kind"], e["mention"])))
+    valued = F.transform(kinds, lambda e: _more(e, ["mention", "kind"], value=canonical(e["kind"], e["mention"])))
+    wrong = lambda e: (e["kind"] == "card") & (_luhn(F.substring(e["value"], F.lit(1), F.length(e["value"]) - 1)) != F.substring(e["value"], -1, 1))
+    return F.transform(valued, lambda e: _more(e, ["mention", "value"], kind=F.when(wrong(e), "none").otherwise(e["kind"])))
 
 
 def surrogates(entities: Column, key: str) -> Column:
@@ -241,7 +242,7 @@ def replace_pii(docs: DataFrame, *, key: str, table_rows: int = TABLE_ROWS) -> D
     """
     mentions = once(docs, "_mentions", entities_of(F.col("text").cast("string")))
     every = mentions.where(F.size("_mentions") > 0).select(F.explode(described(F.array_distinct("_mentions"))).alias("e"))
-    entities = written(every.select("e.kind", "e.value").distinct())
+    entities = written(every.where("e.kind <> 'none'").select("e.kind", "e.value").distinct())
     again = further_draws(entities, key)
     n = again.count()
     found = once(docs, "_found", described(entities_of(F.col("text").cast("string"))))
@@ -268,7 +269,8 @@ def replace_pii(docs: DataFrame, *, key: str, table_rows: int = TABLE_ROWS) -> D
     drawn = F.transform("_found", lambda e: _more(e, ["mention", "kind", "value"], draw=draw(e)))
     made = surrogates(drawn, key)
     text = F.array_join(F.zip_with(F.split("text", PATTERN, -1), made, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    any_found = F.size("_found") > 0
+    real = F.filter("_found", lambda e: e["kind"] != "none")
+    any_found = F.size(real) > 0
     kept = [c for c in docs.columns if c not in ("text", "n_chars", "n_entities", "kinds")]
     out = once(found, "_text", F.when(any_found, text).otherwise(F.col("text")))
     columns = {
@@ -276,7 +278,7 @@ def replace_pii(docs: DataFrame, *, key: str, table_rows: int = TABLE_ROWS) -> D
         "n_chars": F.when(any_found, F.char_length("_text").cast("long")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None,
     }
     order = [columns[c].alias(c) if c in columns else F.col(c) for c in docs.columns if c in kept or c in columns]
-    return out.select(*order, F.size("_found").cast("long").alias("n_entities"), F.array_sort(F.array_distinct(F.transform("_found", lambda e: e["kind"]))).alias("kinds"))
+    return out.select(*order, F.size(real).cast("long").alias("n_entities"), F.array_sort(F.array_distinct(F.transform(real, lambda e: e["kind"]))).alias("kinds"))
 
 
 def _joined_draws(found: DataFrame, again: DataFrame) -> DataFrame:
