@@ -1 +1 @@
-"""See the module docstrings."""
+"""Scalar functions of the two planes, as columns."""

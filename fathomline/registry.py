@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from .operators import texts, voyages
 
-from pyspark.sql import DataFrame
-
-QUERIES: dict[str, Callable[..., DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+_MODULES = (voyages, texts)
+QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
+ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
 FLAGSHIP = "carbon_rating"
