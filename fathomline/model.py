@@ -50,7 +50,7 @@ def tokens(text: Column) -> Column:
     return F.filter(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0)), lambda t: F.length(t) > 1)
 
 
-TOKENS_SQL = "list_filter(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+'), t -> length(t) > 1)"
+TOKENS_SQL = "list_filter(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+'), lambda t: length(t) > 1)"
 
 
 def r6(c: Column) -> Column:

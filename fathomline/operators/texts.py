@@ -208,9 +208,9 @@ def chunk_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUALITY_SQL = rf"""WITH d AS (SELECT doc_id, length(regexp_replace(regexp_replace(coalesce(text, ''), '[ \t\n\r]+', ' ', 'g'), '^ | $', '', 'g')) AS n_flat,
-  list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\r]+'), w -> length(w) > 0) AS words, len(list_distinct({TOKENS_SQL})) AS n_distinct,
-  len(list_filter(string_split(coalesce(text, ''), chr(10)), x -> length(trim(x)) > 0)) AS n_lines FROM documents),
-b AS (SELECT *, len(words) >= 12 AND len(list_filter(words, w -> regexp_matches(w, '[A-Z]') AND NOT regexp_matches(w, '[a-z]'))) > 0.45 * len(words) AS is_boilerplate FROM d)
+  list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\r]+'), lambda w: length(w) > 0) AS words, len(list_distinct({TOKENS_SQL})) AS n_distinct,
+  len(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: length(trim(x)) > 0)) AS n_lines FROM documents),
+b AS (SELECT *, len(words) >= 12 AND len(list_filter(words, lambda w: regexp_matches(w, '[A-Z]') AND NOT regexp_matches(w, '[a-z]'))) > 0.45 * len(words) AS is_boilerplate FROM d)
 SELECT doc_id, n_flat, n_distinct, n_lines, n_flat < 140 OR (n_lines <= 2 AND n_flat < 220) AS is_thin, is_boilerplate, n_flat >= 90 AND n_distinct >= 14 AND NOT is_boilerplate AS is_substantive FROM b"""
 
 
@@ -232,7 +232,7 @@ def fixed_stride_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("doc_id", F.format_string("%d__e%03d", "doc_id", F.col("i") + 1).alias("chunk_id"), F.col("at").cast("long").alias("first_word"), F.size(part).cast("long").alias("n_words"), F.sha2(F.array_join(part, " "), 256).alias("text_sha256"))
 
 
-CHUNKS_SQL = r"""WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\r]+'), w -> length(w) > 0) AS w FROM documents),
+CHUNKS_SQL = r"""WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\r]+'), lambda w: length(w) > 0) AS w FROM documents),
 c AS (SELECT doc_id, w, unnest(range(0, greatest(len(w) - 60, 1), 360)) AS a FROM d WHERE len(w) > 0)
 SELECT doc_id, printf('%d__e%03d', doc_id, CAST(a / 360 AS BIGINT) + 1) AS chunk_id, a AS first_word, len(w[a + 1:a + 420]) AS n_words, sha256(array_to_string(w[a + 1:a + 420], ' ')) AS text_sha256 FROM c"""
 
