@@ -101,10 +101,11 @@ def scoped_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
     heads = docs.select("doc_id", "source", tokens(F.get(F.split("text", "\n"), F.lit(0))).alias("head"))
     p = postings(docs).join(heads, "doc_id")
-    w = Window.partitionBy("source", "term")
     sizes = docs.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
     q = query_terms(load(spark, sf_dir, "benchmark"))
-    met = p.join(q.select("term").distinct(), "term", "left_semi").withColumn("df", F.count(F.lit(1)).over(w)).join(sizes, "source")
+    of_items = p.join(q.select("term").distinct(), "term", "left_semi")
+    df = of_items.groupBy("source", "term").agg(F.count(F.lit(1)).alias("df"))
+    met = of_items.join(df, ["source", "term"]).join(sizes, "source")
     weight = F.least(F.lit(2.8), 0.75 + 0.38 * F.log(1 + (F.col("n") + 1) / (F.col("df") + 1.0)))
     part = weight * F.when(F.array_contains("head", F.col("term")), 1.45).otherwise(1.0)
     scored = met.withColumn("part", part).join(q.select("item_id", "term"), "term").groupBy("item_id", "source", "doc_id").agg(F.sum("part").alias("s"), F.count(F.lit(1)).alias("hits"))

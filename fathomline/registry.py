@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from .operators import texts, voyages
+from .operators import evidence, layout, texts, vectors, voyages
+from .streaming import twins
 
-_MODULES = (voyages, texts)
+_MODULES = (voyages, texts, vectors, evidence, layout, twins)
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
 FLAGSHIP = "carbon_rating"
