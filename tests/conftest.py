@@ -7,7 +7,6 @@ import pytest
 from pyspark.sql import SparkSession
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
-SF = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")

@@ -2,8 +2,7 @@
 
 import numpy as np
 import pytest
-from conftest import SF
-from oracle import rows_of, sql_rows
+from oracle import SF, rows_of, sql_rows
 
 from fathomline import registry
 
