@@ -15,7 +15,7 @@ import pyarrow as pa
 
 from .textarrays import LOWER, Hasher, ragged_take, slices
 
-KEPT_UNITS = 1_000_000
+KEPT_UNITS = 2_000_000
 _KIND = np.zeros(256, np.uint8)  # 0: joins whatever stands beside it
 _KIND[[9, 10, 11, 12, 13, 32]] = 1
 _KIND[48:58] = 2
@@ -38,7 +38,7 @@ class Kept:
 
     def clear(self) -> None:
         self.hashes = np.zeros(0, np.uint64)
-        self.where = np.zeros(0, np.int64)
+        self.where = np.zeros(0, np.int32)
         self.bounds = np.zeros(1, np.int64)
         self.values = np.zeros(0, self.kind)
 
@@ -57,7 +57,7 @@ class Kept:
             self.values = np.concatenate([self.values, values.astype(self.kind)])
             self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(lengths)])
             fresh = hashes[new]  # sorted, as hashes are
-            self.where = np.insert(self.where, at[new], first + np.arange(len(new)))
+            self.where = np.insert(self.where, at[new], (first + np.arange(len(new))).astype(np.int32))
             self.hashes = np.insert(self.hashes, at[new], fresh)
             at = np.searchsorted(self.hashes, hashes)
         return self.where[at]
@@ -115,8 +115,8 @@ class WordIds:
         lengths = np.fromiter(map(len, ids), np.int64, len(ids))
         return np.fromiter((i for x in ids for i in x), np.uint16, int(lengths.sum())), lengths
 
-    def batches(self, column: pa.Array):
-        """(first row, ids of the slice as uint16, length of each row) per slice of rows."""
+    def batches(self, column: pa.Array, only_lengths: bool = False):
+        """(first row, ids of the slice as uint16, length of each row) per slice of rows; ids may be left out."""
         for row, end, data, offsets in slices(column):
             raw = data.tobytes()
             if self.special.search(raw):  # such texts are few: the library takes them whole
@@ -134,7 +134,10 @@ class WordIds:
             start, finish = start[words], finish[words]
             hashes, inverse, texts = unique_units(data, start, finish)
             number = self.kept.find(hashes, texts, self._make)[inverse]
-            ids, lengths = ragged_take(self.kept.values, self.kept.bounds, number)
+            if only_lengths:
+                ids, lengths = None, (self.kept.bounds[1:] - self.kept.bounds[:-1])[number]
+            else:
+                ids, lengths = ragged_take(self.kept.values, self.kept.bounds, number)
             bounds = np.searchsorted(start, offsets, "left")
             total = np.zeros(len(lengths) + 1, np.int64)
             np.cumsum(lengths, out=total[1:])

@@ -59,7 +59,7 @@ def count_windows(docs: DataFrame, tokenizer_path: str, window: int = WINDOW) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, part, n = word_ids(tokenizer_path), TaskContext.get().partitionId(), 0
         for batch in batches:
-            n += sum(int(_window_counts(lengths, window).sum()) for _, _, lengths in words.batches(batch.column(0)))
+            n += sum(int(_window_counts(lengths, window).sum()) for _, _, lengths in words.batches(batch.column(0), only_lengths=True))
         yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([n])], ["part", "n"])
 
     return docs.select(F.col("text").cast("string")).mapInArrow(run, "part int, n bigint")
