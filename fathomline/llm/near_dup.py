@@ -2,15 +2,18 @@
 
 Shingles of five words are weighted by TF-IDF; improved consistent weighted
 sampling draws 20 samples per text, so that two texts agree in a sample with
-the probability of their weighted Jaccard similarity.  Samples are banded in
-twos; texts that share a band are candidates, and candidates are verified by
+the probability of their weighted Jaccard similarity.  As many plain samples
+find those that are alike by the number of their shingles only: in large
+groups of copies the shared ones weigh little.  Samples are banded in twos; texts that share a band are candidates, and candidates are verified by
 the exact similarity of their whole shingle sets.
 
 In a band's bucket every member is compared with one leader, never with all
 others.  Links join texts to classes, and a bucket whose members are all of
 one class is settled.  In an open bucket of a few members those of different
-classes are compared; a larger one is split by one more sample, and its parts
-have leaders of their own, round by round until no bucket is open.
+classes are compared; a larger one has further leaders, each of a class that
+none of its leaders had, the texts that share most buckets first.  What is
+open after a few rounds goes through an exact set-similarity join, so that no
+two similar texts of a bucket end in different classes.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components, merged
@@ -33,6 +36,10 @@ BANDS, ROWS = 10, 2
 TABLE = 400_000
 #: Buckets of so many members at most are compared in full.
 SMALL = 16
+#: Rounds of leaders before the exact join.
+LEADER_ROUNDS = 4
+#: Texts that share a prefix shingle meet in tiles of about so many.
+TILE = 512
 RANGE_BYTES = 4 << 20
 _U = np.uint64
 
@@ -147,8 +154,13 @@ def draw(hashes: np.ndarray, weights: np.ndarray, first: np.ndarray) -> np.ndarr
     return out
 
 
+def draw_plain(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Samples that agree with the probability of the plain sets' Jaccard similarity."""
+    return np.stack([np.minimum.reduceat(mix(hashes ^ ~seed), first) >> _U(32) for seed in _SEEDS], axis=1)
+
+
 def signatures(docs: DataFrame, idf, size: int) -> DataFrame:
-    """doc_id, node (names the text's words in order; null without words), bands (each holds two samples)."""
+    """doc_id, node (names the text's words in order; null without words), bands (each holds two samples; the weighted ones, then the plain ones)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -158,12 +170,12 @@ def signatures(docs: DataFrame, idf, size: int) -> DataFrame:
                 names = pa.array(np.arange(end - row + 1, dtype=np.int32) * 16)
                 nodes = pa.BinaryArray.from_buffers(pa.binary(), end - row, [None, names.buffers()[1], pa.py_buffer(np.stack(s.nodes, axis=1).tobytes())])
                 nodes = pa.compute.if_else(pa.array(wordless), pa.scalar(None, pa.binary()), nodes)
-                bands = np.zeros((end - row, BANDS), np.int64)
+                bands = np.zeros((end - row, 2 * BANDS), np.int64)
                 if len(s.row):
                     first = np.flatnonzero(np.diff(s.row, prepend=-1))
-                    drawn = draw(s.hashes, s.times * idf.value(s.hashes), first)
+                    drawn = np.hstack([draw(s.hashes, s.times * idf.value(s.hashes), first), draw_plain(s.hashes, first)])
                     bands[s.row[first]] = (drawn[:, 0::2] << _U(32) | drawn[:, 1::2]).view(np.int64)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(end - row + 1, dtype=np.int32) * BANDS), pa.array(bands.ravel()))
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(end - row + 1, dtype=np.int32) * 2 * BANDS), pa.array(bands.ravel()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, end - row), nodes, lists], ["doc_id", "node", "bands"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id bigint, node binary, bands array<bigint>")
@@ -211,31 +223,39 @@ def near_duplicates(docs: DataFrame, *, words: int = WORDS, similarity: float =
     first_ids = written(nodes.groupBy("node").agg(F.min("doc_id").alias("first_id")))
     banded = nodes.where("doc_id IS NOT NULL").select("node", "bands").distinct()
     bucketed = banded.select("node", F.posexplode("bands").alias("band", "key")).select(F.xxhash64("band", "key").alias("bucket"), "node")
-    shared = bucketed.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
-    members = written(bucketed.join(shared.select("bucket"), "bucket"))
+    shared = bucketed.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count(F.lit(1)).alias("n")).where("low <> high")
+    members = written(bucketed.join(shared.select("bucket", "n"), "bucket"))
+    # the original of many copies shares buckets with most of them
+    central = members.groupBy("node").agg(F.sum("n").alias("weight"))
+    members = written(members.drop("n").join(central, "node"))
     texts = _texts(docs, members, first_ids, words)
 
-    pairs, results, classes, step = _leader_pairs(members), None, None, 0
+    pairs, results, classes, led, step = _leader_pairs(_leaders(members), members), None, None, _leaders(members), 0
     while True:
         found = written(_verified(pairs, texts, idf, words, similarity).distinct())
         results = found if results is None else results.unionByName(found)
         similar = found.where("similar").select(F.col("leader").alias("a"), F.col("node").alias("b"))
         classes = components(similar) if classes is None else merged(classes, similar)
+        if step > LEADER_ROUNDS:
+            break
         # buckets whose members are of one class are settled
-        named = members.join(classes, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
+        named = members.join(classes, "node", "left").select("bucket", "node", "weight", F.coalesce("component", "node").alias("component"))
         sizes = named.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n")).where("low <> high")
         opened = written(named.join(sizes.select("bucket", "n"), "bucket"))
         if opened.isEmpty():
             break
-        # members that agree in every sample can't be split further
-        few = (F.col("n") <= SMALL) | F.lit(step >= BANDS * ROWS)
-        small, large = opened.where(few), opened.where(~few)
         step += 1
-        sample = F.expr(f"bands[{(step - 1) // ROWS % BANDS}] >> {32 * (step % ROWS)} & 4294967295")
-        members = written(large.join(banded, "node").select(F.xxhash64("bucket", sample).alias("bucket"), "node", "component"))
-        pairs = written(_cross_pairs(small).union(_leader_pairs(members)).distinct().join(results, ["leader", "node"], "left_anti"))
-        if pairs.isEmpty() and members.isEmpty():
-            break
+        # all pairs of small buckets are met in the first of these rounds
+        small = opened.where(F.col("n") <= SMALL) if step == 1 else opened.where("false")
+        members = opened.where(F.col("n") > SMALL).drop("n")
+        if step <= LEADER_ROUNDS:
+            past = led.join(members.select("bucket", "node", "component"), ["bucket", "node"]).select("bucket", "component").distinct()
+            leaders = written(_leaders(members.join(past, ["bucket", "component"], "left_anti")))
+            led = led.unionByName(leaders)
+            met = _cross_pairs(small).union(_leader_pairs(leaders, members))
+        else:
+            met = _joined_pairs(members.select("node", "component").distinct(), texts, idf, words, similarity)
+        pairs = written(met.distinct().join(results, ["leader", "node"], "left_anti"))
         members = members.drop("component")
 
     by_node = first_ids.withColumn("class_id", F.col("first_id"))
@@ -248,14 +268,57 @@ def near_duplicates(docs: DataFrame, *, words: int = WORDS, similarity: float =
     return placed.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
 
 
-def _leader_pairs(members: DataFrame) -> DataFrame:
-    """leader, node: each bucket's smallest node with every other one, if that is of another class."""
+def _leaders(members: DataFrame) -> DataFrame:
+    """bucket, node: each bucket's member of the greatest weight."""
+    first = F.max(F.struct("weight", "node")).alias("first")
+    return members.groupBy("bucket").agg(first).select("bucket", F.col("first.node").alias("node"))
+
+
+def _leader_pairs(leaders: DataFrame, members: DataFrame) -> DataFrame:
+    """leader, node: each bucket's leader with every other member, if that is of another class; the smaller node first."""
     apart = "component" in members.columns
-    first = F.struct("node", "component") if apart else F.struct("node")
-    leaders = members.groupBy("bucket").agg(F.min(first).alias("first"))
-    met = members.join(leaders, "bucket").where("node <> first.node")
-    met = met.where("component <> first.component") if apart else met
-    return met.select(F.col("first.node").alias("leader"), "node").distinct()
+    of = members.select("bucket", "node", F.col("component").alias("own")) if apart else members.select("bucket", "node", F.col("node").alias("own"))
+    first = leaders.join(of, ["bucket", "node"]).select("bucket", F.col("node").alias("leader"), F.col("own").alias("lead_own"))
+    met = of.join(first, "bucket").where("node <> leader AND own <> lead_own")
+    return met.select(F.least("leader", "node").alias("leader"), F.greatest("leader", "node").alias("node")).distinct()
+
+
+def _joined_pairs(nodes: DataFrame, texts: DataFrame, idf, size: int, similarity: float) -> DataFrame:
+    """leader, node: all pairs of different classes that can be similar, by length and prefix.
+
+    Shingles are ordered by the number of ``nodes`` that have them, rarest
+    first.  The rest of a text after its prefix is less than ``similarity`` of
+    it, by count and by weight, so similar texts share a prefix shingle.  Texts
+    with a common one meet in tiles, so that no task has all of them.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, _, data, offsets in slices(batch.column(2)):
+                s = Shingles(data, offsets, size)
+                at = pa.array(s.row + row)
+                weights = s.times * idf.value(s.hashes).astype(np.float64)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(s.hashes.view(np.int64)), pa.array(weights)], ["node", "component", "shingle", "weight"])
+
+    had = nodes.join(texts, "node").select("node", "component", "text").mapInArrow(run, "node binary, component binary, shingle bigint, weight double")
+    had = written(had)
+    times = had.groupBy("shingle").agg(F.count(F.lit(1)).alias("times"))
+    own = Window.partitionBy("node")
+    before = own.orderBy("times", "shingle").rowsBetween(Window.unboundedPreceding, -1)
+    placed = had.join(times, "shingle").select(
+        "*", F.count(F.lit(1)).over(own).alias("n"), F.sum("weight").over(own).alias("total"),
+        F.count(F.lit(1)).over(before).alias("n_before"), F.coalesce(F.sum("weight").over(before), F.lit(0.0)).alias("before"),
+    )
+    part = similarity - 1e-6
+    in_prefix = (F.col("n") - F.col("n_before") >= part * F.col("n")) | (F.col("total") - F.col("before") >= part * F.col("total"))
+    prefix = placed.where(in_prefix & (F.col("times") > 1))
+    tiles = F.ceil(F.col("times") / TILE)
+    tiled = prefix.select("node", "component", "shingle", "n", "total", F.pmod(F.xxhash64("node"), tiles).alias("tile"), F.explode(F.sequence(F.lit(0).cast("long"), tiles - 1)).alias("other"))
+    tiled = written(tiled.select("node", "component", "shingle", "n", "total", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high")))
+    names = {"node": "leader", "component": "own", "n": "n_own", "total": "total_own"}
+    met = tiled.join(tiled.withColumnsRenamed(names), ["shingle", "low", "high"]).where("leader < node AND own <> component")
+    near = lambda a, b: F.least(a, b) >= part * F.greatest(a, b)
+    return met.where(near("n", "n_own") | near("total", "total_own")).select("leader", "node").distinct()
 
 
 def _cross_pairs(members: DataFrame) -> DataFrame:

@@ -54,6 +54,40 @@ def test_a_large_group_of_near_copies(spark):
     assert got == classes_of(dict(rows))
 
 
+def hub_group(n, words, changed):
+    """An original and ``n`` copies with ``changed`` words each: copies are like the original, not like each other."""
+    draw = np.random.default_rng(2)
+    base = [f"w{i}" for i in range(words)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, n + 1):
+        w = list(base)
+        for j in draw.choice(np.arange(5, words - 5, 6), changed, replace=False):
+            w[j] = f"own{i}x{j}"
+        rows.append((i, " ".join(w)))
+    return rows
+
+
+def test_a_hub_of_thousands(spark):
+    rows = hub_group(2500, 200, 4)
+    first = shingles(rows[0][1])
+    likes = [len(x & first) / len(x | first) for x in (shingles(t) for _, t in rows[1:])]
+    assert min(likes) >= 0.8  # so all are of one class, whatever their own pairs are
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    assert {r["class_id"] for r in near_dup.near_duplicates(docs).collect()} == {0}
+
+
+def test_the_exact_join_finds_what_leaders_leave(spark, monkeypatch):
+    # one leader to a bucket, so nearly all pairs are left to the join, in many tiles
+    monkeypatch.setattr(near_dup, "LEADER_ROUNDS", 0)
+    monkeypatch.setattr(near_dup, "SMALL", 2)
+    monkeypatch.setattr(near_dup, "TILE", 16)
+    rows = hub_group(80, 200, 4)[1:] + [(1000 + i, t.replace("w1 ", "w1x ")) for i, t in hub_group(20, 200, 4)[1:]]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    expected = classes_of(dict(rows))
+    assert len(set(expected.values())) > 40
+    assert {r["doc_id"]: r["class_id"] for r in near_dup.near_duplicates(docs).collect()} == expected
+
+
 def test_edges(odd, none):
     rows = near_dup.near_duplicates(odd).collect()
     assert len(rows) == odd.count()
