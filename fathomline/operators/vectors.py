@@ -21,17 +21,24 @@ DEPTH = 20
 COARSE = 16
 
 
-def _blocks(vectors: DataFrame, size: int, prefix: str) -> DataFrame:
-    """Unit vectors in blocks of ``size`` ids: ids, labels and one flat array."""
+def _blocks(vectors: DataFrame, size: int, prefix: str, *by: str) -> DataFrame:
+    """Unit vectors in blocks of ``size`` ids (of each value of ``by``): ids, labels and one flat array."""
     rows = vectors.where("embedding IS NOT NULL AND vec_id IS NOT NULL")
     block = F.expr(f"vec_id div {size}").alias("block")
-    return rows.groupBy(block).agg(F.collect_list(F.struct("vec_id", F.col("label").cast("long").alias("label"), "embedding")).alias("r")).select(
-        F.transform("r", lambda x: x["vec_id"]).alias(f"{prefix}id"), F.transform("r", lambda x: x["label"]).alias(f"{prefix}label"), F.flatten(F.transform("r", lambda x: x["embedding"])).alias(f"{prefix}flat")
+    return rows.groupBy(*by, block).agg(F.collect_list(F.struct("vec_id", F.col("label").cast("long").alias("label"), "embedding")).alias("r")).select(
+        *by, F.transform("r", lambda x: x["vec_id"]).alias(f"{prefix}id"), F.transform("r", lambda x: x["label"]).alias(f"{prefix}label"), F.flatten(F.transform("r", lambda x: x["embedding"])).alias(f"{prefix}flat")
     )
 
 
 def search(vectors: DataFrame, queries: DataFrame, depth: int, dims: int | None = None) -> DataFrame:
     """query_id, query_label, vec_id, label, score (cosine, six decimals), rank up to ``depth``; a query isn't its own hit."""
+    sized = _blocks(queries, QUERY_VECTORS * 20, "q_")
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return _met(_blocks(vectors, VECTORS, "").crossJoin(sized), depth, dims).withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= depth)
+
+
+def _met(pairs: DataFrame, depth: int, dims: int | None = None) -> DataFrame:
+    """query_id, query_label, vec_id, label, score: the best ``depth`` rows of each pair of blocks for each query."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -45,10 +52,7 @@ def search(vectors: DataFrame, queries: DataFrame, depth: int, dims: int | None
                     best = other[np.lexsort((ids[other], -score[i, other]))[:depth]]
                     yield pd.DataFrame({"query_id": q, "query_label": q_labels[i], "vec_id": ids[best], "label": labels[best], "score": score[i, best]})
 
-    sized = _blocks(queries, QUERY_VECTORS * 20, "q_")
-    met = _blocks(vectors, VECTORS, "").crossJoin(sized).mapInPandas(run, "query_id bigint, query_label bigint, vec_id bigint, label bigint, score double")
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return met.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= depth)
+    return pairs.mapInPandas(run, "query_id bigint, query_label bigint, vec_id bigint, label bigint, score double")
 
 
 def lane(spark: SparkSession, sf_dir: str, dims: int | None = None, depth: int = DEPTH) -> DataFrame:
@@ -151,10 +155,15 @@ ro AS (SELECT *, row_number() OVER w AS route, round(lead(score) OVER w - score,
 
 def routed_stage2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Second stage inside the two best labels of each query, with a boost by the label's place."""
-    hits = lane(spark, sf_dir)
-    top = routes(hits).where("route <= 2").select("query_id", "label", "route")
+    v = load(spark, sf_dir, "embeddings")
+    queries = v.where("vec_id % 20 = 0")
+    top = routes(search(v, queries, DEPTH)).where("route <= 2").select("query_id", F.col("label").alias("routed"), "route")
+    asked = queries.join(top, F.col("vec_id") == F.col("query_id"))
+    # a label's vectors meet the queries routed to it; the place of the label is the same for all its rows of a query
+    met = _blocks(v.withColumn("routed", F.col("label").cast("long")), VECTORS, "", "routed").join(_blocks(asked, QUERY_VECTORS * 20, "q_", "routed"), "routed").drop("routed")
+    found = _met(met, 10).join(top.withColumnRenamed("routed", "label"), ["query_id", "label"])
     final = 1 - F.col("score") - F.when(F.col("route") == 1, 0.2).otherwise(0.13)
-    s = hits.join(top, ["query_id", "label"]).select("query_id", "vec_id", "label", r6(final).alias("distance"))
+    s = found.select("query_id", "vec_id", "label", r6(final).alias("distance"))
     w = Window.partitionBy("query_id").orderBy("distance", "vec_id")
     return s.withColumn("place", F.row_number().over(w).cast("long")).where("place <= 10")
 

@@ -24,6 +24,24 @@ def test_mmr_takes_the_best_hit_first(spark):
     assert len({(r["query_id"], r["vec_id"]) for r in picked}) == len(picked)
 
 
+def test_the_second_stage_searches_all_rows_of_the_routed_labels(spark, tmp_path):
+    # the 20 nearest of query 0 are of labels 1 and 2 but for two rows of each below them
+    draw, rows = np.random.default_rng(3), [(0, [1.0, 0.0], 1)]
+    for i in range(1, 60):
+        angle = 0.01 * i if i % 20 else 3.0
+        rows.append((i, [float(np.cos(angle)), float(np.sin(angle))], 1 if i in (1, 2, 30, 31, 41) else 2 if i in (3, 33, 43) else 3 + i % 9))
+    order = draw.permutation(len(rows))
+    spark.createDataFrame([rows[i] for i in order], "vec_id bigint, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    routed = {(r["query_id"], r["label"]): r["route"] for r in registry.QUERIES["doc_routing"](spark, str(tmp_path)).where("route <= 2").collect()}
+    unit = {i: np.array(v, np.float32).astype(float) / np.linalg.norm(np.array(v, np.float32).astype(float)) for i, v, _ in rows}
+    expected = set()
+    for q in (0, 20, 40):
+        near = [(round(1 - round(float(unit[q] @ unit[i]), 6) - (0.2 if routed[q, label] == 1 else 0.13), 6), i) for i, _, label in rows if i != q and (q, label) in routed]
+        expected |= {(q, i, place) for place, (_, i) in enumerate(sorted(near)[:10], 1)}
+    got = registry.QUERIES["routed_stage2"](spark, str(tmp_path)).collect()
+    assert {(r["query_id"], r["vec_id"], r["place"]) for r in got} == expected
+
+
 def test_farthest_points_are_distinct(spark):
     rows = registry.QUERIES["farthest_point"](spark, SF).collect()
     assert len({r["p_partkey"] for r in rows}) == len(rows)
