@@ -31,7 +31,7 @@ _NAME = r"\p{Lu}\p{Ll}+(?:-\p{Lu}\p{Ll}+)?"
 _TITLE = "|".join(t for ts in TITLES.values() for t in ts)
 #: kind: pattern; of two that fit at a place the first is taken.
 PATTERNS = {
-    "secret": r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])|(?<![A-Za-z0-9])(?:gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,48}|xox[baprs]-[A-Za-z0-9-]{10,60})|(?<=(?:token|secret|passwd|password|api_key|apikey) ?[=:] ?[\"']?)(?=[A-Za-z+/_\-]*[0-9])[A-Za-z0-9+/_\-]{8,128}",
+    "secret": r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])|(?<![A-Za-z0-9])(?:gh[pousr]_[A-Za-z0-9]{36,}|sk-[A-Za-z0-9]{20,}|xox[baprs]-[A-Za-z0-9-]{10,})|(?<=(?:token|secret|passwd|password|api_key|apikey) ?[=:] ?[\"']?)(?=[A-Za-z+/_\-]*[0-9])[A-Za-z0-9+/_\-]{8,}",
     "email": r"(?<![\p{L}0-9._%+\-])[\p{L}0-9._%+\-]+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ip": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9]|\.[0-9])",
@@ -42,18 +42,25 @@ PATTERNS = {
     "name": rf"(?<!\p{{L}})(?:{_TITLE})\.? {_NAME}(?: {_NAME})?",
 }
 PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: As ``PATTERN``, with secrets as its one group: they can have the form of any other kind.
+_SECRET_GROUP = "|".join(f"({p})" if k == "secret" else f"(?:{p})" for k, p in PATTERNS.items())
+#: What every secret has or follows.
+_SECRET_HINT = r"AKIA|ASIA|gh[pousr]_|sk-|xox|(?:token|secret|passwd|password|api_key|apikey) ?[=:]"
 #: What every entity has: most texts without it need no further look.
 HINT = rf"[0-9@]|(?:{_TITLE})\.? \p{{Lu}}|(?:token|secret|password|api_?key|sk-|xox|gh[pousr]_)"
 
 
 def entities_of(text: Column) -> Column:
-    """Mentions in their order; none in a null text."""
+    """mention, secret (whether it matched as one) of the mentions in their order; none in a null text."""
     none = F.array().cast("array<string>")
-    return F.coalesce(F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))), none)
+    found = lambda pattern, group: F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+    mentions = F.coalesce(F.when(text.rlike(HINT), found(PATTERN, 0)), none)
+    secrets = F.when(text.rlike(_SECRET_HINT), found(_SECRET_GROUP, 1)).otherwise(none)
+    return F.zip_with(mentions, secrets, lambda m, s: F.struct(m.alias("mention"), (F.coalesce(s, F.lit("")) != "").alias("secret")))
 
 
 def kind_of(mention: Column) -> Column:
-    """The kind by the mention's own form."""
+    """The kind of a mention that isn't a secret, by its own form."""
     return (
         F.when(mention.contains("@"), "email")
         .when(mention.rlike(r"^[0-9]{1,3}(?:\.[0-9]{1,3}){3}$"), "ip")
@@ -195,7 +202,7 @@ def _more(e: Column, names: list[str], **new: Column) -> Column:
 
 def described(mentions: Column) -> Column:
     """mention, kind, value of each mention; of a number that only looks like a card's the kind is ``none``."""
-    kinds = F.transform(mentions, lambda m: F.struct(m.alias("mention"), kind_of(m).alias("kind")))
+    kinds = F.transform(mentions, lambda m: F.struct(m["mention"].alias("mention"), F.when(m["secret"], "secret").otherwise(kind_of(m["mention"])).alias("kind")))
     valued = F.transform(kinds, lambda e: _more(e, ["mention", "kind"], value=canonical(e["kind"], e["mention"])))
     wrong = lambda e: (e["kind"] == "card") & (_luhn(F.substring(e["value"], F.lit(1), F.length(e["value"]) - 1)) != F.substring(e["value"], -1, 1))
     return F.transform(valued, lambda e: _more(e, ["mention", "value"], kind=F.when(wrong(e), "none").otherwise(e["kind"])))
@@ -204,7 +211,7 @@ def described(mentions: Column) -> Column:
 def surrogates(entities: Column, key: str) -> Column:
     """Surrogates of an array of (mention, kind, value, draw); step by step, so that each noise is made once."""
     base = ["mention", "kind", "value"]
-    noisy = F.transform(entities, lambda e: _more(e, base, noise=_noise(key, e["kind"], e["value"], e["draw"]), hexed=e["value"].rlike("^[0-9a-f]+$")))
+    noisy = F.transform(entities, lambda e: _more(e, base, noise=_noise(key, e["kind"], e["value"], e["draw"]), hexed=e["value"].rlike("^[0-9]*[a-f][0-9a-f]*$")))
     full = F.transform(noisy, lambda e: _more(e, [*base, "noise", "hexed"], more=F.sha2(e["noise"], 256), digits=_digits(e["noise"])))
     return F.transform(full, lambda e: _surrogate(e, key))
 

@@ -155,6 +155,20 @@ def test_surrogates(spark, odd, none):
     assert same.select(*odd.columns).exceptAll(odd).count() == 0 and pii.replace_pii(none, key="k").count() == 0
 
 
+def test_secrets_of_any_length_and_form(spark):
+    long = "".join(f"aB{i}" for i in range(2000))
+    secrets = ["a1" * 100, long, "1234567890123", "+49abcdefgh1", "123-45-6789", "DE12ABCD1234EFGH5678", "+491701234567"]
+    rows = [(i, f"password={v} end") for i, v in enumerate(secrets)] + [(10, f"sk-{long} end"), (11, f"xoxb-{long} end"), (12, f"ghp_{long} end"), (13, "call +49 170 1234567, not 4111111111111112")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r["doc_id"]: r for r in pii.replace_pii(docs, key="k").collect()}
+    for i, text in rows[:-1]:
+        old, new = (t.removeprefix("password=").removesuffix(" end") for t in (text, got[i]["text"]))
+        assert got[i]["kinds"] == ["secret"] and got[i]["n_entities"] == 1
+        assert len(new) == len(old) and new[-72:] != old[-72:] and sum(a == b for a, b in zip(old, new, strict=True)) < max(8, len(old) / 3)
+    assert got[2]["text"][9:22].isdigit()
+    assert got[13]["kinds"] == ["phone"] and "4111111111111112" in got[13]["text"]
+
+
 def test_colliding_surrogates_are_drawn_again(spark, monkeypatch):
     # two digits in place of a whole address leave a hundred surrogates, so most of 40 collide
     monkeypatch.setattr(pii, "_surrogate", lambda e, key: F.concat(F.substring(e["digits"], 1, 2), F.lit("@x.invalid")))
