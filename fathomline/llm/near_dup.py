@@ -1,19 +1,19 @@
 """Operator 1: near-duplicate classes by consistent weighted sampling.
 
-Shingles of five words are weighted by TF-IDF; improved consistent weighted
-sampling draws 20 samples per text, so that two texts agree in a sample with
-the probability of their weighted Jaccard similarity.  As many plain samples
-find those that are alike by the number of their shingles only: in large
-groups of copies the shared ones weigh little.  Samples are banded in twos; texts that share a band are candidates, and candidates are verified by
-the exact similarity of their whole shingle sets.
-
-In a band's bucket every member is compared with one leader, never with all
-others.  Links join texts to classes, and a bucket whose members are all of
-one class is settled.  In an open bucket of a few members those of different
-classes are compared; a larger one has further leaders, each of a class that
-none of its leaders had, the texts that share most buckets first.  What is
-open after a few rounds goes through an exact set-similarity join, so that no
-two similar texts of a bucket end in different classes.
+Texts with the same words in the same order are one text from the start.
+Shingles of five words are weighted by TF-IDF, with exact document counts over
+all distinct texts: chunks of texts send each range of shingle hashes what they
+have, and get the counts of those that other texts share back.  Improved
+consistent weighted sampling draws 30 samples per text, so that two texts agree
+in a sample with the probability of their weighted Jaccard similarity.  Samples
+are banded in threes; texts that share a band are candidates, and candidates
+are verified by the exact weighted Jaccard similarity of their whole texts.
+
+In a band's bucket every member is compared with the central one, never with
+all others.  Links join texts to classes, and a bucket whose members are all of
+one class is settled.  In an open bucket those outside its largest class are
+compared with all members of other classes, tile by tile: the shingles of two
+tiles are two matrices, whose product has all their similarities.
 """
 
 from __future__ import annotations
@@ -22,25 +22,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .components import components, merged
+from .names import free_name
 from .scratch import written
-from .textarrays import ALNUM, LOWER, Hasher, mix, per_row, row_sums, runs, slices, windows
+from .textarrays import ALNUM, LOWER, Hasher, mix, per_row, ragged_take, row_sums, runs, slices, windows
 
 WORDS = 5
 SIMILARITY = 0.8
-BANDS, ROWS = 10, 2
-#: Most entries of the table of frequent shingles; see ``frequent_shingles``.
-TABLE = 400_000
-#: Buckets of so many members at most are compared in full.
-SMALL = 16
-#: Rounds of leaders before the exact join.
-LEADER_ROUNDS = 4
-#: Texts that share a prefix shingle meet in tiles of about so many.
-TILE = 512
-RANGE_BYTES = 4 << 20
+BANDS, ROWS = 10, 3
+#: Texts of a chunk, and of a range of shingle hashes, in bytes: they change no result.
+CHUNK_BYTES, RANGE_BYTES = 8 << 20, 16 << 20
+#: Texts of a tile in bytes, and of the tiles that a call of Python gets at once: they change no result.
+TILE_BYTES, CALL_BYTES = 2 << 20, 8 << 20
+#: Columns of a matrix that are multiplied at once.
+COLUMNS = 4096
 _U = np.uint64
 
 
@@ -60,81 +60,118 @@ _LOG_GAMMA = np.log(_gamma_quantiles(1 << 16)).astype(np.float32)
 _SEEDS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * _U(0xA0761D6478BD642F))
 
 
-class Shingles:
-    """Distinct shingles of a slice of texts, ordered by row."""
+class Words:
+    """Words of a slice of texts, in lower case, as hashes; two sums over them name each text."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, size: int):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray):
         data = LOWER[data]
         start, end = runs(ALNUM[data], offsets)
-        words = Hasher(data).spans(start, end)
-        self.n_words, bounds = per_row(start, offsets)
-        place = np.arange(len(words)) - np.repeat(bounds[:-1], self.n_words)
-        self.nodes = [row_sums(mix(words * _U(c) + place.astype(np.uint64) * _U(0xD6E8FEB86659FD93)).view(np.int64), bounds) for c in (0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
-        hashes, row = windows(words, self.n_words, bounds, size)
+        self.hashes = Hasher(data).spans(start, end)
+        self.counts, self.bounds = per_row(start, offsets)
+
+    def nodes(self) -> pa.Array:
+        """16 bytes that name the words of each text in their order; null without words."""
+        place = (np.arange(len(self.hashes)) - np.repeat(self.bounds[:-1], self.counts)).astype(np.uint64)
+        halves = [row_sums(mix(self.hashes * _U(c) + place * _U(0xD6E8FEB86659FD93)).view(np.int64), self.bounds) for c in (0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
+        return pa.compute.if_else(pa.array(self.counts == 0), pa.scalar(None, pa.binary()), _blobs(np.stack(halves, axis=1).ravel(), np.full(len(self.counts), 2)))
+
+
+class Shingles:
+    """Distinct shingles of a slice of texts and how often each text has them, ordered by row."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, size: int):
+        words = Words(data, offsets)
+        hashes, row = windows(words.hashes, words.counts, words.bounds, size)
         key = mix(hashes ^ (row.astype(np.uint64) + _U(1)) * _U(0x9FB21C651E98DF25))
         _, first, times = np.unique(key, return_index=True, return_counts=True)
-        order = np.argsort(row[first], kind="stable")
+        order = np.argsort(first, kind="stable")
         self.hashes, self.row, self.times = hashes[first[order]], row[first[order]], times[order]
 
 
-def _shift(range_bits: int) -> np.uint64:
-    return _U(32 - range_bits)
+def _blobs(values: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    """One binary value per entry of ``lengths``: so many of ``values``."""
+    where = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32) * values.itemsize
+    return pa.BinaryArray.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(where), pa.py_buffer(np.ascontiguousarray(values))])
 
 
-def frequent_shingles(docs: DataFrame, size: int, n_bytes: int) -> tuple[int, int, pa.Table]:
-    """(range bits, least frequency, table of prefix and documents) of the shingles in many documents.
+def _ragged(column: pa.ChunkedArray | pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """All values of binary arrays one after the other, and how many each has."""
+    column = (column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column).cast(pa.large_binary())
+    if not len(column):
+        return np.zeros(0, kind), np.zeros(0, np.int64)
+    where = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2], np.uint8)[where[0] : where[-1]] if column.buffers()[2] else np.zeros(0, np.uint8)
+    return data.view(kind), np.diff(where) // np.dtype(kind).itemsize
+
+
+def idf_weights(counts: np.ndarray, n_texts: int) -> np.ndarray:
+    """From 1 for a shingle of one text to 1/2 for one of all texts, falling with the logarithm of the count."""
+    widest = np.log((1 + n_texts) / 2)
+    share = np.log((1 + n_texts) / (1 + counts)) / widest if widest > 0 else np.ones(len(counts))
+    return ((1 + share) / 2).astype(np.float32)
+
+
+def named(docs: DataFrame, node: str) -> DataFrame:
+    """``docs`` with the column ``node``: 16 bytes that name a text's words, null without words."""
+    place = docs.columns.index("text")
+    schema = StructType([*docs.schema.fields]).add(node, "binary")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, end, data, offsets in slices(batch.column(place)):
+                part = batch.slice(row, end - row)
+                yield pa.RecordBatch.from_arrays([*part.columns, Words(data, offsets).nodes()], schema.names)
+
+    return docs.mapInArrow(run, schema)
 
-    A document of b bytes has b / 2 shingles at most, so at most ``TABLE``
-    shingles can be in ``n_bytes / 2 / TABLE`` documents or more: that is the
-    least frequency, and the table's size has a bound whatever the texts.
-    Rarer shingles all count as that frequent.  Each slice of texts sends one
-    sorted array of hash prefixes to every range of hashes.
+
+def distinct_texts(docs: DataFrame) -> DataFrame:
+    """node, text, size (bytes), chunk of all distinct texts with a word; copies meet in the tasks that read them first."""
+    texts = named(docs, "node").where("node IS NOT NULL").groupBy("node").agg(F.min("text").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base, before = TaskContext.get().partitionId() << 32, 0
+        for batch in batches:
+            size = pa.compute.binary_length(batch.column(1)).cast(pa.int64()).to_numpy(zero_copy_only=False)
+            chunk = base + (before + np.cumsum(size)) // CHUNK_BYTES
+            before += int(size.sum())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(size), pa.array(chunk)], ["node", "text", "size", "chunk"])
+
+    return texts.mapInArrow(run, "node binary, text string, size bigint, chunk bigint")
+
+
+def shared_shingles(texts: DataFrame, size: int, n_bytes: int) -> DataFrame:
+    """chunk, shingles, counts: in how many texts each shingle is that more than one text has.
+
+    A chunk sends one sorted array of distinct hashes, with counts, to every
+    range of hashes.  A shingle has one entry per chunk at most, however many
+    texts have it, so a range holds what its share of all shingles is.
     """
     bits = min(24, max(4, (n_bytes // RANGE_BYTES).bit_length()))
-    least = max(2, -(-n_bytes // (2 * TABLE)))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, data, offsets in slices(batch.column(0)):
-                prefix = np.sort(Shingles(data, offsets, size).hashes >> _shift(bits))
-                if not len(prefix):
-                    continue
-                which, first = np.unique(prefix >> _U(32), return_index=True)
-                where = pa.array(np.append(first, len(prefix)).astype(np.int32) * 4)
-                raw = pa.py_buffer(prefix.astype(np.uint32).tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(which.astype(np.int32)), pa.BinaryArray.from_buffers(pa.binary(), len(which), [None, where.buffers()[1], raw])], ["part", "prefixes"])
+            chunk = batch.column(0).to_numpy(zero_copy_only=False)
+            edges = np.flatnonzero(np.diff(chunk, prepend=-1, append=-1))
+            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                hashes = np.concatenate([Shingles(data, offsets, size).hashes for _, _, data, offsets in slices(batch.column(1).slice(a, b - a))])
+                values, times = np.unique(hashes, return_counts=True)
+                which, first = np.unique(values >> _U(64 - bits), return_index=True)
+                n = np.diff(np.append(first, len(values)))
+                yield pa.RecordBatch.from_arrays([pa.array(which.astype(np.int32)), pa.array(np.full(len(which), chunk[a])), _blobs(values, n), _blobs(times.astype(np.uint32), n)], ["part", "chunk", "shingles", "counts"])
 
     def count(table: pa.Table) -> pa.Table:
-        part = table.column("part")[0].as_py()
-        found = np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) for x in table.column("prefixes")])
-        values, times = np.unique(found, return_counts=True)
-        values, times = values[times >= least].astype(np.int64), times[times >= least].astype(np.int64)
-        return pa.table({"prefix": (part << 32) + values, "n_docs": times})
-
-    sent = docs.select(F.col("text").cast("string")).mapInArrow(send, "part int, prefixes binary")
-    counts = sent.groupBy("part").applyInArrow(count, "prefix bigint, n_docs bigint")
-    return bits, least, counts.toArrow()
-
-
-class Idf:
-    """Smoothed inverse document frequencies: ln((1 + n) / (1 + documents)) + 1."""
-
-    def __init__(self, n_docs: int, bits: int, least: int, table: pa.Table):
-        prefix = table.column("prefix").to_numpy().astype(np.uint64)
-        order = np.argsort(prefix)
-        self.bits, self.prefix = bits, prefix[order]
-        value = lambda d: np.log((1 + n_docs) / (1 + np.minimum(d, n_docs))) + 1
-        self.values = value(table.column("n_docs").to_numpy()[order]).astype(np.float32)
-        self.rare = np.float32(value(np.array(least)))
-
-    def __call__(self, hashes: np.ndarray) -> np.ndarray:
-        out = np.full(len(hashes), self.rare, np.float32)
-        if len(self.prefix):
-            prefix = hashes >> _shift(self.bits)
-            at = np.minimum(np.searchsorted(self.prefix, prefix), len(self.prefix) - 1)
-            met = self.prefix[at] == prefix
-            out[met] = self.values[at[met]]
-        return out
+        hashes, lengths = _ragged(table.column("shingles"), np.uint64)
+        values, inverse = np.unique(hashes, return_inverse=True)
+        total = np.zeros(len(values), np.int64)
+        np.add.at(total, inverse, _ragged(table.column("counts"), np.uint32)[0])
+        total = total[inverse]
+        more = total > 1
+        n = row_sums(more.astype(np.int64), np.concatenate([[0], np.cumsum(lengths)]))
+        return pa.table([table.column("chunk").combine_chunks(), _blobs(hashes[more], n), _blobs(np.minimum(total[more], 2**32 - 1).astype(np.uint32), n)], ["chunk", "shingles", "counts"]).filter(pa.array(n > 0))
+
+    sent = texts.select("chunk", "text").mapInArrow(send, "part int, chunk bigint, shingles binary, counts binary")
+    return sent.groupBy("part").applyInArrow(count, "chunk bigint, shingles binary, counts binary")
 
 
 def draw(hashes: np.ndarray, weights: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -154,52 +191,178 @@ def draw(hashes: np.ndarray, weights: np.ndarray, first: np.ndarray) -> np.ndarr
     return out
 
 
-def draw_plain(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Samples that agree with the probability of the plain sets' Jaccard similarity."""
-    return np.stack([np.minimum.reduceat(mix(hashes ^ ~seed), first) >> _U(32) for seed in _SEEDS], axis=1)
+def signatures(texts: DataFrame, shared: DataFrame, n_texts: int, size: int) -> DataFrame:
+    """node, size, counts (of texts with each distinct shingle of the text, in its order), bands (each names its samples)."""
 
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        known, _ = _ragged(right.column("shingles"), np.uint64)
+        times, _ = _ragged(right.column("counts"), np.uint32)
+        order = np.argsort(known)
+        known, times = known[order], times[order]
+        bands, counts = [], []
+        for row, end, data, offsets in slices(left.column("text")):
+            s = Shingles(data, offsets, size)
+            n_docs = np.ones(len(s.hashes), np.uint32)
+            if len(known):
+                at = np.minimum(np.searchsorted(known, s.hashes), len(known) - 1)
+                met = known[at] == s.hashes
+                n_docs[met] = times[at[met]]
+            first = np.flatnonzero(np.diff(s.row, prepend=-1))
+            drawn = draw(s.hashes, s.times * idf_weights(n_docs, n_texts), first)
+            named = np.zeros((end - row, BANDS), np.uint64)
+            for j in range(ROWS):
+                named = mix(named * _U(0xE7037ED1A0B428DB) + drawn[:, j::ROWS] + _U(1))
+            bands.append(named.view(np.int64).ravel())
+            counts.append(_blobs(n_docs, np.bincount(s.row, minlength=end - row)))
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(left.num_rows + 1, dtype=np.int32) * BANDS), pa.array(np.concatenate([*bands, np.zeros(0, np.int64)])))
+        return pa.table([left.column("node"), left.column("size"), pa.chunked_array(counts, pa.binary()), lists], ["node", "size", "counts", "bands"])
+
+    return texts.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(run, "node binary, size bigint, counts binary, bands array<bigint>")
+
+
+class Weighed:
+    """Sets of weighted elements of rows: what a text has twice is two elements."""
+
+    def __init__(self, texts: pa.ChunkedArray | pa.Array, counts: pa.ChunkedArray | pa.Array, n_texts: int, size: int):
+        n_docs, _ = _ragged(counts, np.uint32)
+        parts = [(s.hashes, s.row + row, s.times) for row, _, data, offsets in slices(texts) for s in [Shingles(data, offsets, size)]]
+        hashes, row, times = (np.concatenate(x) for x in zip(*parts, strict=True))
+        which = np.repeat(np.arange(len(hashes)), times)
+        copy = np.arange(len(which)) - np.repeat(np.cumsum(times) - times, times)
+        self.elements = mix(hashes[which] + copy.astype(np.uint64) * _U(0xA24BAED4963EE407))
+        self.weights = idf_weights(n_docs, n_texts)[which]
+        self.bounds = np.concatenate([[0], np.cumsum(np.bincount(row[which], minlength=len(texts)))])
+        self.totals = np.bincount(row[which], self.weights, len(texts))
+
+    def similarities(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Weighted Jaccard similarity of each row of ``left`` with each of ``right``."""
+        sides, both = [], None
+        for rows in (left, right):
+            elements, lengths = ragged_take(self.elements, self.bounds, rows)
+            sides.append((elements, np.repeat(np.arange(len(rows)), lengths)))
+        weights, _ = ragged_take(self.weights, self.bounds, left)
+        columns, first = np.unique(sides[0][0], return_index=True)
+        columns, at, _ = np.intersect1d(columns, np.unique(sides[1][0]), assume_unique=True, return_indices=True)
+        weights = weights[first[at]]
+        both = np.zeros((len(left), len(right)), np.float64)
+        places = []
+        for elements, row in sides:
+            where = np.minimum(np.searchsorted(columns, elements), max(len(columns) - 1, 0))
+            met = columns[where] == elements if len(columns) else np.zeros(len(elements), bool)
+            places.append((where[met], row[met]))
+        for begin in range(0, len(columns), COLUMNS):
+            n = min(COLUMNS, len(columns) - begin)
+            tables = []
+            for (where, row), rows in zip(places, (left, right), strict=True):
+                inside = (where >= begin) & (where < begin + n)
+                table = np.zeros((len(rows), n), np.float32)
+                table[row[inside], where[inside] - begin] = 1
+                tables.append(table)
+            both += (tables[0] * weights[begin : begin + n]) @ tables[1].T
+        return both / np.maximum(self.totals[left][:, None] + self.totals[right] - both, 1e-9)
+
+
+def _stars(similar: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links that join what ``similar`` (left by right) joins: each label with the least one of its part."""
+    labels, inverse = np.unique(np.concatenate([left, right]), return_inverse=True)
+    a, b = np.nonzero(similar)
+    a, b = inverse[a], inverse[len(left) + b]
+    least = np.arange(len(labels))
+    while True:
+        low = np.minimum(least[a], least[b])
+        new = least.copy()
+        np.minimum.at(new, a, low)
+        np.minimum.at(new, b, low)
+        new = new[new]
+        if (new == least).all():
+            break
+        least = new
+    far = np.flatnonzero(least != np.arange(len(labels)))
+    return labels[least[far]], labels[far]
 
-def signatures(docs: DataFrame, idf, size: int) -> DataFrame:
-    """doc_id, node (names the text's words in order; null without words), bands (each holds two samples; the weighted ones, then the plain ones)."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row, end, data, offsets in slices(batch.column(1)):
-                s = Shingles(data, offsets, size)
-                wordless = s.n_words == 0
-                names = pa.array(np.arange(end - row + 1, dtype=np.int32) * 16)
-                nodes = pa.BinaryArray.from_buffers(pa.binary(), end - row, [None, names.buffers()[1], pa.py_buffer(np.stack(s.nodes, axis=1).tobytes())])
-                nodes = pa.compute.if_else(pa.array(wordless), pa.scalar(None, pa.binary()), nodes)
-                bands = np.zeros((end - row, 2 * BANDS), np.int64)
-                if len(s.row):
-                    first = np.flatnonzero(np.diff(s.row, prepend=-1))
-                    drawn = np.hstack([draw(s.hashes, s.times * idf.value(s.hashes), first), draw_plain(s.hashes, first)])
-                    bands[s.row[first]] = (drawn[:, 0::2] << _U(32) | drawn[:, 1::2]).view(np.int64)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(end - row + 1, dtype=np.int32) * 2 * BANDS), pa.array(bands.ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, end - row), nodes, lists], ["doc_id", "node", "bands"])
-
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id bigint, node binary, bands array<bigint>")
-
-
-def pair_similarities(left: pa.Array, right: pa.Array, idf, size: int) -> np.ndarray:
-    """Of each pair of texts the weighted Jaccard similarity, or that of the plain sets where it is larger.
-
-    The plain one counts inside large groups of copies, whose shared shingles
-    are frequent and so weigh little against a copy's own few words.
+def links_of(sided: DataFrame, features: DataFrame, n_texts: int, size: int, similarity: float) -> DataFrame:
+    """a, b: links between the labels of similar texts.
+
+    ``sided`` has tile, own (whether the text is of the tile's first side),
+    node, label, size.  Each text of the first side is compared with each one
+    of the second.  Tiles are small by their making; several go to Python at
+    once.
     """
-    n = len(left)
-    parts = []
-    for side, column in enumerate((left, right)):
-        for row, _, data, offsets in slices(column):
-            s = Shingles(data, offsets, size)
-            parts.append((s.hashes, s.row + row, s.times, np.full(len(s.row), side)))
-    hashes, row, times, side = (np.concatenate(x) for x in zip(*parts, strict=True))
-    key = mix(hashes ^ (row.astype(np.uint64) + _U(1)) * _U(0x9FB21C651E98DF25))
-    _, first, inverse = np.unique(key, return_index=True, return_inverse=True)
-    sides = [np.bincount(inverse[side == i], times[side == i], len(first)) for i in (0, 1)]
-    weight, owner = idf(hashes[first]).astype(np.float64), row[first]
-    share = lambda a, b, w: np.bincount(owner, np.minimum(a, b) * w, n) / np.maximum(np.bincount(owner, np.maximum(a, b) * w, n), 1e-9)
-    return np.maximum(share(*sides, weight), share(sides[0] > 0, sides[1] > 0, 1.0))
+    n_bytes = sided.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    calls = max(1, n_bytes // CALL_BYTES)
+
+    def run(table: pa.Table) -> pa.Table:
+        w = Weighed(table.column("text"), table.column("counts"), n_texts, size)
+        tile, own = table.column("tile").to_numpy(), table.column("own").to_numpy()
+        label = np.array(table.column("label").to_pylist(), object)
+        order = np.argsort(tile, kind="stable")
+        found = ([], [])
+        for rows in np.split(order, np.flatnonzero(np.diff(tile[order])) + 1):
+            left, right = rows[own[rows]], rows[~own[rows]]
+            like = w.similarities(left, right) >= similarity - 1e-6
+            for side, ends in zip(found, _stars(like, label[left], label[right]), strict=True):
+                side.extend(ends)
+        return pa.table([pa.array(x, pa.binary()) for x in found], ["a", "b"])
+
+    full = sided.join(features, "node").select("tile", "own", "label", "text", "counts")
+    return full.groupBy(F.pmod("tile", F.lit(calls))).applyInArrow(run, "a binary, b binary")
+
+
+def _tiles(size: str) -> Column:
+    return F.ceil(F.col(size) / TILE_BYTES).cast("int")
+
+
+def _part(tiles: str, salt: int) -> Column:
+    return F.pmod(F.xxhash64("node", F.lit(salt)), F.col(tiles)).cast("int")
+
+
+def _every(tiles: str) -> Column:
+    return F.explode(F.sequence(F.lit(0), F.col(tiles) - 1))
+
+
+def with_leaders(members: DataFrame) -> DataFrame:
+    """Each bucket's central member against every other one (see ``links_of``); a leader of many meets them in tiles."""
+    # the original of many copies shares buckets with most of them
+    central = members.groupBy("node").agg(F.sum("n").alias("weight"))
+    weighed = members.join(central, "node")
+    leaders = weighed.groupBy("bucket").agg(F.max(F.struct("weight", "node")).alias("first")).select("bucket", F.col("first.node").alias("leader"))
+    pairs = written(members.join(leaders, "bucket").where("node <> leader").select("leader", "node", "size").distinct())
+    tiles = pairs.groupBy("leader").agg(F.sum("size").alias("all")).select("leader", _tiles("all").alias("tiles"))
+    second = pairs.join(tiles, "leader").select(F.xxhash64("leader", _part("tiles", 1)).alias("tile"), F.lit(False).alias("own"), "node", F.col("node").alias("label"), "size")
+    sizes = members.select(F.col("node").alias("leader"), "size").distinct()
+    first = tiles.join(sizes, "leader").select("leader", "size", _every("tiles").alias("part"))
+    return second.union(first.select(F.xxhash64("leader", "part"), F.lit(True), "leader", "leader", "size"))
+
+
+def with_others(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """In each bucket of several classes the members outside its largest class against all others (see ``links_of``)."""
+    placed = written(members.join(classes, "node", "left").select("bucket", "node", "size", "n", F.coalesce("component", "node").alias("label")))
+    by_class = placed.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("members"), F.sum("size").alias("bytes"))
+    largest = F.max(F.struct("members", "label", "bytes")).alias("largest")
+    # the leader has met all: a bucket of two is compared in full
+    opened = by_class.groupBy("bucket").agg(F.count(F.lit(1)).alias("classes"), F.sum("members").alias("n"), F.sum("bytes").alias("all"), largest).where("classes > 1 AND n > 2")
+    tiled = opened.select("bucket", "largest.label", "all", (F.col("all") - F.col("largest.bytes")).alias("few"))
+    tiled = tiled.select("bucket", F.col("label").alias("most"), _tiles("few").alias("tiles"), _tiles("all").alias("others"))
+    rows = placed.drop("n").join(tiled, "bucket")
+    first = rows.where("label <> most").select("bucket", _part("tiles", 1).alias("i"), _every("others").alias("j"), F.lit(True).alias("own"), "node", "label", "size")
+    second = rows.select("bucket", _every("tiles").alias("i"), _part("others", 2).alias("j"), F.lit(False), "node", "label", "size")
+    return first.union(second).select(F.xxhash64("bucket", "i", "j").alias("tile"), "own", "node", "label", "size")
+
+
+def node_classes(docs: DataFrame, *, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """node, component of all texts that are similar to another one; a component is named by its smallest node."""
+    texts = written(distinct_texts(docs))
+    n_texts, n_bytes = texts.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
+    drawn = written(signatures(texts, shared_shingles(texts, words, n_bytes), n_texts, words))
+    bucketed = drawn.select("node", "size", F.posexplode("bands").alias("band", "key")).select(F.xxhash64("band", "key").alias("bucket"), "node", "size")
+    shared = bucketed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    members = written(bucketed.join(shared, "bucket"))
+    candidates = members.select("node").distinct()
+    features = written(texts.select("node", "text").join(candidates, "node").join(drawn.select("node", "counts"), "node"))
+    find = lambda sided: written(links_of(written(sided), features, n_texts, words, similarity).distinct())
+    classes = components(find(with_leaders(members)))
+    return merged(classes, find(with_others(members, classes)))
 
 
 def near_duplicates(docs: DataFrame, *, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
@@ -207,158 +370,40 @@ def near_duplicates(docs: DataFrame, *, words: int = WORDS, similarity: float =
 
     A class is a connected component of the links between similar texts; its
     id is the smallest doc_id in it.  Texts with the same words in the same
-    order, whatever their case and punctuation, are copies of one another.  A
-    text of fewer than ``words`` words has one shingle.  Null texts and those
-    without words are classes of their own.  Rows without doc_id get the class
-    of their copies, else null.  Rows that repeat a doc_id are one document.
+    order, whatever their case and punctuation, are copies of one another and
+    count as one text in the document counts.  A text of fewer than ``words``
+    words has one shingle.  Null texts and those without words are classes of
+    their own.  Rows without doc_id get the id of their class, null if no row
+    of it has one.  Rows that repeat a doc_id are judged by their own texts.
     Extra columns are ignored, an empty table gives no rows.
     """
-    spark = docs.sparkSession
-    n_docs, n_bytes = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(F.col("text").cast("string"))), F.lit(0))).first()
-    # at most TABLE entries of 12 bytes: see frequent_shingles
-    idf = spark.sparkContext.broadcast(Idf(n_docs, *frequent_shingles(docs, words, n_bytes)))
-    drawn = written(signatures(docs, idf, words))
-
-    nodes = drawn.where("node IS NOT NULL")
-    first_ids = written(nodes.groupBy("node").agg(F.min("doc_id").alias("first_id")))
-    banded = nodes.where("doc_id IS NOT NULL").select("node", "bands").distinct()
-    bucketed = banded.select("node", F.posexplode("bands").alias("band", "key")).select(F.xxhash64("band", "key").alias("bucket"), "node")
-    shared = bucketed.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count(F.lit(1)).alias("n")).where("low <> high")
-    members = written(bucketed.join(shared.select("bucket", "n"), "bucket"))
-    # the original of many copies shares buckets with most of them
-    central = members.groupBy("node").agg(F.sum("n").alias("weight"))
-    members = written(members.drop("n").join(central, "node"))
-    texts = _texts(docs, members, first_ids, words)
-
-    pairs, results, classes, led, step = _leader_pairs(_leaders(members), members), None, None, _leaders(members), 0
-    while True:
-        found = written(_verified(pairs, texts, idf, words, similarity).distinct())
-        results = found if results is None else results.unionByName(found)
-        similar = found.where("similar").select(F.col("leader").alias("a"), F.col("node").alias("b"))
-        classes = components(similar) if classes is None else merged(classes, similar)
-        if step > LEADER_ROUNDS:
-            break
-        # buckets whose members are of one class are settled
-        named = members.join(classes, "node", "left").select("bucket", "node", "weight", F.coalesce("component", "node").alias("component"))
-        sizes = named.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n")).where("low <> high")
-        opened = written(named.join(sizes.select("bucket", "n"), "bucket"))
-        if opened.isEmpty():
-            break
-        step += 1
-        # all pairs of small buckets are met in the first of these rounds
-        small = opened.where(F.col("n") <= SMALL) if step == 1 else opened.where("false")
-        members = opened.where(F.col("n") > SMALL).drop("n")
-        if step <= LEADER_ROUNDS:
-            past = led.join(members.select("bucket", "node", "component"), ["bucket", "node"]).select("bucket", "component").distinct()
-            leaders = written(_leaders(members.join(past, ["bucket", "component"], "left_anti")))
-            led = led.unionByName(leaders)
-            met = _cross_pairs(small).union(_leader_pairs(leaders, members))
-        else:
-            met = _joined_pairs(members.select("node", "component").distinct(), texts, idf, words, similarity)
-        pairs = written(met.distinct().join(results, ["leader", "node"], "left_anti"))
-        members = members.drop("component")
-
-    by_node = first_ids.withColumn("class_id", F.col("first_id"))
-    if results is not None:
-        ids = classes.join(first_ids, "node")
-        smallest = ids.groupBy("component").agg(F.min("first_id").alias("class_id"))
-        linked = classes.join(smallest, "component").select("node", "class_id")
-        by_node = first_ids.join(linked, "node", "left").select("node", F.coalesce("class_id", "first_id").alias("class_id"))
-    placed = drawn.select("doc_id", "node").join(by_node.select("node", "class_id"), "node", "left")
-    return placed.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
-
-
-def _leaders(members: DataFrame) -> DataFrame:
-    """bucket, node: each bucket's member of the greatest weight."""
-    first = F.max(F.struct("weight", "node")).alias("first")
-    return members.groupBy("bucket").agg(first).select("bucket", F.col("first.node").alias("node"))
-
-
-def _leader_pairs(leaders: DataFrame, members: DataFrame) -> DataFrame:
-    """leader, node: each bucket's leader with every other member, if that is of another class; the smaller node first."""
-    apart = "component" in members.columns
-    of = members.select("bucket", "node", F.col("component").alias("own")) if apart else members.select("bucket", "node", F.col("node").alias("own"))
-    first = leaders.join(of, ["bucket", "node"]).select("bucket", F.col("node").alias("leader"), F.col("own").alias("lead_own"))
-    met = of.join(first, "bucket").where("node <> leader AND own <> lead_own")
-    return met.select(F.least("leader", "node").alias("leader"), F.greatest("leader", "node").alias("node")).distinct()
-
-
-def _joined_pairs(nodes: DataFrame, texts: DataFrame, idf, size: int, similarity: float) -> DataFrame:
-    """leader, node: all pairs of different classes that can be similar, by length and prefix.
-
-    Shingles are ordered by the number of ``nodes`` that have them, rarest
-    first.  The rest of a text after its prefix is less than ``similarity`` of
-    it, by count and by weight, so similar texts share a prefix shingle.  Texts
-    with a common one meet in tiles, so that no task has all of them.
-    """
+    rows = written(named(_read(docs), "node").select("doc_id", "node"))
+    classes = node_classes(_read(docs), words=words, similarity=similarity)
+    first = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("first_id"))
+    placed = written(first.join(classes, "node", "left").select("node", "first_id", F.coalesce("component", "node").alias("component")))
+    smallest = placed.groupBy("component").agg(F.min("first_id").alias("class_id"))
+    by_node = placed.join(smallest, "component").select("node", "class_id")
+    return rows.join(by_node, "node", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row, _, data, offsets in slices(batch.column(2)):
-                s = Shingles(data, offsets, size)
-                at = pa.array(s.row + row)
-                weights = s.times * idf.value(s.hashes).astype(np.float64)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(s.hashes.view(np.int64)), pa.array(weights)], ["node", "component", "shingle", "weight"])
-
-    had = nodes.join(texts, "node").select("node", "component", "text").mapInArrow(run, "node binary, component binary, shingle bigint, weight double")
-    had = written(had)
-    times = had.groupBy("shingle").agg(F.count(F.lit(1)).alias("times"))
-    own = Window.partitionBy("node")
-    before = own.orderBy("times", "shingle").rowsBetween(Window.unboundedPreceding, -1)
-    placed = had.join(times, "shingle").select(
-        "*", F.count(F.lit(1)).over(own).alias("n"), F.sum("weight").over(own).alias("total"),
-        F.count(F.lit(1)).over(before).alias("n_before"), F.coalesce(F.sum("weight").over(before), F.lit(0.0)).alias("before"),
-    )
-    part = similarity - 1e-6
-    in_prefix = (F.col("n") - F.col("n_before") >= part * F.col("n")) | (F.col("total") - F.col("before") >= part * F.col("total"))
-    prefix = placed.where(in_prefix & (F.col("times") > 1))
-    tiles = F.ceil(F.col("times") / TILE)
-    tiled = prefix.select("node", "component", "shingle", "n", "total", F.pmod(F.xxhash64("node"), tiles).alias("tile"), F.explode(F.sequence(F.lit(0).cast("long"), tiles - 1)).alias("other"))
-    tiled = written(tiled.select("node", "component", "shingle", "n", "total", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high")))
-    names = {"node": "leader", "component": "own", "n": "n_own", "total": "total_own"}
-    met = tiled.join(tiled.withColumnsRenamed(names), ["shingle", "low", "high"]).where("leader < node AND own <> component")
-    near = lambda a, b: F.least(a, b) >= part * F.greatest(a, b)
-    return met.where(near("n", "n_own") | near("total", "total_own")).select("leader", "node").distinct()
-
-
-def _cross_pairs(members: DataFrame) -> DataFrame:
-    """leader, node: in buckets of ``SMALL`` members at most every two of different classes."""
-    other = members.select("bucket", F.col("node").alias("leader"), F.col("component").alias("own"))
-    return members.join(other, "bucket").where("leader < node AND own <> component").select("leader", "node")
-
-
-def _texts(docs: DataFrame, members: DataFrame, first_ids: DataFrame, size: int) -> DataFrame:
-    """node, text of all nodes in ``members``."""
-    needed = members.select("node").distinct().join(first_ids, "node")
-    fetched = docs.select(F.col("doc_id").cast("long").alias("first_id"), F.col("text").cast("string")).join(needed, "first_id").select("node", "text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # rows that repeat a doc_id with another text are left out
-        for batch in batches:
-            own = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.int64).reshape(-1, 2)
-            same = np.zeros(len(own), bool)
-            for row, end, data, offsets in slices(batch.column(1)):
-                same[row:end] = (np.stack(Shingles(data, offsets, size).nodes, axis=1) == own[row:end]).all(axis=1)
-            yield batch.filter(pa.array(same))
-
-    return written(fetched.mapInArrow(run, "node binary, text string"))
-
-
-def _verified(pairs: DataFrame, texts: DataFrame, idf, size: int, similarity: float) -> DataFrame:
-    """leader, node, similar of each pair."""
-    own = pairs.join(texts, "node").select("leader", "node", F.col("text").alias("own"))
-    both = own.join(texts.select(F.col("node").alias("leader"), F.col("text").alias("other")), "leader").select("leader", "node", "own", "other")
+def representatives(docs: DataFrame, *, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """One row of ``docs`` of each class (see ``near_duplicates``), its columns unchanged.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = 0
-            own_bytes = pa.compute.binary_length(batch.column(2)).to_numpy(zero_copy_only=False)
-            ends = np.cumsum(own_bytes)
-            while at < batch.num_rows:  # about a megabyte of texts at a time
-                end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + (1 << 20))))
-                part = batch.slice(at, end - at)
-                like = pair_similarities(part.column(2), part.column(3), idf.value, size)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(like >= similarity - 1e-9)], ["leader", "node", "similar"])
-                at = end
-
-    return both.mapInArrow(run, "leader binary, node binary, similar boolean")
+    That of the smallest doc_id stays, a row without one only if its whole
+    class has none; of rows equal in doc_id and words any one.  Null texts and
+    those without words all stay.
+    """
+    node = free_name(docs, "node")
+    rows = named(docs.withColumn("text", F.col("text").cast("string")), node)
+    classes = node_classes(_read(docs), words=words, similarity=similarity)
+    ids = named(_read(docs), "node").where("node IS NOT NULL")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")
+    first = ids.groupBy("node").agg(F.min(place).alias("place")).join(classes, "node", "left")
+    chosen = first.groupBy(F.coalesce("component", "node")).agg(F.min("place").alias("place")).select(F.col("place.doc_id").alias("_id"), F.col("place.node").alias("_node"))
+    same = rows[node].eqNullSafe(chosen["_node"]) & F.col("doc_id").cast("long").eqNullSafe(chosen["_id"])
+    kept = rows.where(rows[node].isNotNull()).join(chosen, same, "left_semi").dropDuplicates(["doc_id", node])
+    return kept.unionByName(rows.where(rows[node].isNull())).select(*docs.columns)
+
+
+def _read(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

@@ -14,8 +14,6 @@ KEY = 20_260_101
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    # texts are long: smaller batches bound what a Python worker holds
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

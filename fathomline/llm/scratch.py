@@ -11,11 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_folder(spark: SparkSession) -> str:
     """A new sub-folder of ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (tests on one machine) a temporary
-    folder of this machine stands in for it.
+    Where that setting is absent, a session on one machine takes a temporary
+    folder of it; on a cluster, whose executors don't share one, that is an
+    error.
     """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="fathomline-")
     return f"{base.rstrip('/')}/fathomline-{uuid.uuid4().hex}"
 

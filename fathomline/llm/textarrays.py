@@ -2,8 +2,8 @@
 
 A batch of strings is one byte array with row offsets, exactly as Arrow
 holds it.  Units of text (words, lines, pre-tokens) are spans of that array
-and every span gets a 64-bit hash from prefix sums, so no Python loop runs
-over words.  Batches are handled in slices of about ``SLICE_BYTES``; a longer
+and every span gets a 64-bit hash, short ones from prefix sums, so no Python
+loop runs over words.  Batches are handled in slices of about ``SLICE_BYTES``; a longer
 text is a slice of its own, never cut.
 """
 
@@ -13,8 +13,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 SLICE_BYTES = 1 << 20
+LONG = 256
 
 _P = 0x9E3779B97F4A7C15 | 1
 _PINV = pow(_P, -1, 1 << 64)
@@ -70,15 +72,25 @@ def slices(column: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, int, np.nd
 
 
 class Hasher:
-    """Hashes of any spans of one byte array."""
+    """Hashes of any spans of one byte array.
+
+    Sums modulo a power of two collide on long regular words, so spans of more
+    than ``LONG`` bytes, which are few, are hashed one by one.
+    """
 
     def __init__(self, data: np.ndarray):
+        self.data = data
         self.q = _grown("q", _PINV, len(data) + 1)
         self.sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(_BYTE[data] * _grown("p", _P, len(data)), out=self.sums[1:])
 
     def spans(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.sums[end] - self.sums[start]) * self.q[start] + (end - start).astype(np.uint64))
+        out = mix((self.sums[end] - self.sums[start]) * self.q[start] + (end - start).astype(np.uint64))
+        long = np.flatnonzero(end - start > LONG)
+        if len(long):
+            raw = memoryview(np.ascontiguousarray(self.data))
+            out[long] = [xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in zip(start[long].tolist(), end[long].tolist(), strict=True)]
+        return out
 
 
 def runs(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
