@@ -3,13 +3,14 @@
 A log has one row per event.  Events of a message (its first text, streamed
 deltas, edits, regenerations, a deletion) are folded in the order of their
 sequence numbers; the messages of a conversation are put in order and
-rendered.  Rows are gathered per message and then per conversation, each time
-with a partial gathering in the tasks that read them.
+rendered.  A log is dealt by conversation once: numbering, folding and
+rendering all work on that one shuffle.  A conversation ends as one string, so
+its messages do meet in one task.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .hashtable import once
@@ -48,14 +49,41 @@ def fold_events(log: DataFrame) -> DataFrame:
     """
     events = log.select("conv_id", "msg", "seq", F.coalesce("op", F.lit("message")).alias("op"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), "role")
     whole = events.groupBy("conv_id", "msg").agg(F.array_sort(F.collect_list(F.struct("seq", "op", "text", "role"))).alias("events"))
-
-    def apply(state: Column, e: Column) -> Column:
-        text = F.when(e["op"] == "delete", F.lit(None).cast("string")).when(e["op"] == "delta", F.concat(F.coalesce(state["text"], F.lit("")), e["text"])).otherwise(e["text"])
-        return F.struct(text.alias("text"), F.coalesce(e["role"], state["role"]).alias("role"))
-
-    start = F.struct(F.lit(None).cast("string").alias("text"), F.lit(None).cast("string").alias("role"))
-    folded = once(whole, "last", F.aggregate("events", start, apply))
-    return folded.select("conv_id", F.get("events", F.lit(0))["seq"].alias("turn"), "last.role", "last.text").where(F.col("text").isNotNull())
+    # a text is what its last event other than a delta left, and the deltas since
+    last = F.coalesce(F.array_max(F.transform("events", lambda e, i: F.when(e["op"] != "delta", i))), F.lit(0))
+    since = once(whole, "since", F.slice("events", last + 1, F.size("events")))
+    said = F.array_join(F.transform("since", lambda e: F.when(e["op"] == "delete", "").otherwise(e["text"])), "")
+    gone = (F.get("since", F.lit(0))["op"] == "delete") & (F.size("since") == 1)
+    role = F.element_at(F.filter("events", lambda e: e["role"].isNotNull()), -1)["role"]
+    role = F.when(F.exists("events", lambda e: e["role"].isNotNull()), role)
+    return since.where(~gone).select("conv_id", F.get("events", F.lit(0))["seq"].alias("turn"), role.alias("role"), said.alias("text"))
+
+
+def streamed(messages: DataFrame, step: int = 1000) -> DataFrame:
+    """A log (see ``fold_events``) of whole messages (conv_id, turn, role, text), as a chat service would have written it.
+
+    An assistant's message begins empty, is regenerated with its first
+    ``step`` characters and gets the others as deltas; any other message
+    begins empty and is edited.  Messages are numbered by turn, those of equal
+    turn by role and text, and repeated rows stay repeated messages.
+    """
+    text, role = F.coalesce(F.col("text").cast("string"), F.lit("")), F.coalesce(F.col("role").cast("string"), F.lit(""))
+    rows = messages.select("conv_id", "turn", role.alias("role"), text.alias("text"))
+    numbered = rows.withColumn("msg", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text")).cast("long"))
+    assistant = F.col("role") == "assistant"
+    parts = F.when(assistant, F.ceil(F.char_length("text") / step).cast("int")).otherwise(1)
+    later = F.transform(
+        F.sequence(F.lit(0), F.greatest(parts, F.lit(1)) - 1),
+        lambda i: F.struct(
+            (i + 1).cast("long").alias("n"),
+            F.when(~assistant, "edit").when(i == 0, "regenerate").otherwise("delta").alias("op"),
+            F.when(assistant, F.substring("text", i * step + 1, F.lit(step))).otherwise(F.col("text")).alias("text"),
+        ),
+    )
+    begin = F.array(F.struct(F.lit(0).cast("long").alias("n"), F.lit("message").alias("op"), F.lit("").alias("text")))
+    events = numbered.select("conv_id", "msg", "role", F.explode(F.concat(begin, later)).alias("e"))
+    # sequence numbers leave room for every event of the messages before
+    return events.select("conv_id", "msg", F.struct("msg", "e.n").alias("seq"), F.when(F.col("e.n") == 0, F.col("role")).alias("role"), "e.op", "e.text")
 
 
 def render(messages: DataFrame) -> DataFrame:
@@ -64,39 +92,21 @@ def render(messages: DataFrame) -> DataFrame:
     Messages (conv_id, turn, role, text) are ordered by turn, those of equal
     turn by role and text; repeated rows are repeated messages.  loss_spans
     (start, length in UTF-8 bytes of ``formatted``) cover exactly the escaped
-    texts of the assistant.  Null roles and texts are empty, a null conv_id
-    is a conversation of its own, an empty table gives none.
+    texts of the assistant.  Null roles and texts are empty, all rows with a
+    null conv_id are one conversation, an empty table gives none.
     """
-    turn = messages.select(
-        "conv_id",
-        "turn",
-        F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"),
-        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
-    )
-    parts = turn.select(
-        "conv_id",
-        F.struct(
-            "turn",
-            "role",
-            "text",
-            F.concat(F.lit(OPEN), escape_role(F.col("role")), F.lit("\n")).alias("head"),
-            escape(F.col("text")).alias("body"),
-        ).alias("part"),
-    ).select("conv_id", F.struct("part.turn", "part.role", "part.body", "part.head").alias("part"))
-    whole = parts.groupBy("conv_id").agg(F.array_sort(F.collect_list("part")).alias("parts"))
+    role, text = F.coalesce(F.col("role").cast("string"), F.lit("")), F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = messages.select("conv_id", "turn", role.alias("role"), text.alias("text"))
+    head = F.concat(F.lit(OPEN), escape_role(F.col("role")), F.lit("\n"))
     tail = CLOSE + "\n"
-    formatted = F.array_join(F.transform("parts", lambda p: F.concat(p["head"], p["body"], F.lit(tail))), "")
-    # where each message's text begins: a running sum over the messages
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,length:bigint>>").alias("spans"))
-
-    def step(state: Column, p: Column) -> Column:
-        begin = state["at"] + F.octet_length(p["head"])
-        length = F.octet_length(p["body"]).cast("long")
-        span = F.struct(begin.cast("long").alias("start"), length.alias("length"))
-        spans = F.when(p["role"] == "assistant", F.array_append(state["spans"], span)).otherwise(state["spans"])
-        return F.struct((begin + length + len(tail)).cast("long").alias("at"), spans.alias("spans"))
-
-    return whole.select("conv_id", formatted.alias("formatted"), F.aggregate("parts", start, step, lambda s: s["spans"]).alias("loss_spans"))
+    parts = rows.select("conv_id", "turn", "role", "text", head.alias("head"), escape(F.col("text")).alias("body"))
+    in_order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    size = (F.octet_length("head") + F.octet_length("body") + len(tail)).cast("long")
+    before = F.coalesce(F.sum(size).over(in_order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    span = F.struct((F.col("at") + F.octet_length("head")).alias("start"), F.octet_length("body").cast("long").alias("length"))
+    placed = parts.withColumn("at", before).select("conv_id", "at", F.concat("head", "body", F.lit(tail)).alias("piece"), F.when(F.col("role") == "assistant", span).alias("span"))
+    whole = placed.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("at", "piece"))).alias("pieces"), F.array_sort(F.collect_list("span")).alias("loss_spans"))
+    return whole.select("conv_id", F.array_join(F.transform("pieces", lambda p: p["piece"]), "").alias("formatted"), "loss_spans")
 
 
 def parse(rendered: DataFrame) -> DataFrame:
