@@ -17,7 +17,6 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .packing import NO_ID
 from .scratch import shared_folder
 from .textarrays import mix
 from .tokens import word_ids
@@ -29,8 +28,8 @@ READ = "slot bigint, shard bigint, byte_offset bigint, doc_id bigint, start bigi
 
 
 def record_type(window: int) -> np.dtype:
-    """A record: document, its ids before the sequence, ids in it, the ids, a line feed."""
-    return np.dtype([("doc_id", "<i8"), ("start", "<u8"), ("length", "<u4"), ("ids", "<u2", (window,)), ("end", "u1")])
+    """A record: document, whether it has no id, its ids before the sequence, ids in it, the ids, a line feed."""
+    return np.dtype([("doc_id", "<i8"), ("nameless", "u1"), ("start", "<u8"), ("length", "<u4"), ("ids", "<u2", (window,)), ("end", "u1")])
 
 
 def feistel(numbers: np.ndarray, size: int, key: int) -> np.ndarray:
@@ -65,20 +64,26 @@ def count_windows(docs: DataFrame, tokenizer_path: str, window: int = WINDOW) ->
     return docs.select(F.col("text").cast("string")).mapInArrow(run, "part int, n bigint")
 
 
-def slotted_windows(docs: DataFrame, tokenizer_path: str, before: dict[int, int], total: int, *, key: int, window: int = WINDOW) -> DataFrame:
-    """slot, record of every sequence; ``before`` has how many sequences the tasks before each one have."""
+def slotted_windows(docs: DataFrame, tokenizer_path: str, before: dict[int, tuple[int, int]], total: int, *, key: int, window: int = WINDOW) -> DataFrame:
+    """slot, record of every sequence; ``before`` has how many sequences the tasks before each one have, and it itself.
+
+    A task whose rows give another number than that fails, so that no slot is
+    lost or dealt twice.
+    """
     kind = record_type(window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, number = word_ids(tokenizer_path), before[TaskContext.get().partitionId()]
+        part = TaskContext.get().partitionId()
+        words, (number, own) = word_ids(tokenizer_path), before.get(part, (0, 0))
+        end = number + own
         for batch in batches:
-            doc = batch.column(0).fill_null(int(NO_ID)).to_numpy(zero_copy_only=False)
+            doc, nameless = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False), batch.column(0).is_null().to_numpy(zero_copy_only=False)
             for row, ids, lengths in words.batches(batch.column(1)):
                 per_doc = _window_counts(lengths, window)
                 owner = np.repeat(np.arange(len(lengths)), per_doc)
                 first = np.arange(len(owner)) - np.repeat(np.cumsum(per_doc) - per_doc, per_doc)
                 out = np.zeros(len(owner), kind)
-                out["doc_id"], out["start"], out["end"] = doc[row + owner], first * window, 10
+                out["doc_id"], out["nameless"], out["start"], out["end"] = doc[row + owner], nameless[row + owner], first * window, 10
                 taken = np.minimum(lengths[owner] - first * window, window)
                 out["length"] = taken
                 flat = np.repeat((np.cumsum(lengths) - lengths)[owner] + first * window, taken)
@@ -86,8 +91,12 @@ def slotted_windows(docs: DataFrame, tokenizer_path: str, before: dict[int, int]
                 out["ids"][np.repeat(np.arange(len(owner)), taken), within] = ids[flat + within]
                 where = pa.array(np.arange(len(out) + 1) * kind.itemsize, pa.int32())
                 records = pa.BinaryArray.from_buffers(pa.binary(), len(out), [None, where.buffers()[1], pa.py_buffer(out.tobytes())])
-                yield pa.RecordBatch.from_arrays([pa.array(feistel(np.arange(number, number + len(out)), total, key)), records], ["slot", "record"])
                 number += len(out)
+                if number > end:
+                    raise ValueError(f"task {part} has other rows than when its sequences were counted")
+                yield pa.RecordBatch.from_arrays([pa.array(feistel(np.arange(number - len(out), number), total, key)), records], ["slot", "record"])
+        if number != end:
+            raise ValueError(f"task {part} has other rows than when its sequences were counted")
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "slot bigint, record binary")
 
@@ -98,14 +107,14 @@ def write_training_order(docs: DataFrame, tokenizer_path: str, folder: str, *, k
     Sequences are numbered in the order of the tasks and their rows: a first
     pass counts each task's sequences, a second one writes them.  ``docs``
     must give the same rows in the same tasks both times, as a scan of a table
-    does, so a lost task is redone with the same numbers.  An empty table
-    writes no shard.
+    does, so a lost task is redone with the same numbers; a task that has
+    another number of sequences fails.  An empty table writes no shard.
     """
     spark = docs.sparkSession
     # one row for each task
     total, before = 0, {}
     for part, n in sorted((r["part"], r["n"]) for r in count_windows(docs, tokenizer_path, window).collect()):
-        before[part] = total
+        before[part] = total, n
         total += n
     if not total:
         return 0
@@ -140,7 +149,7 @@ def read_training_order(spark: SparkSession, folder: str, *, window: int = WINDO
                 ids = pa.BinaryArray.from_buffers(pa.binary(), len(rows), [None, where.buffers()[1], pa.py_buffer(raw.tobytes())])
                 doc = rows["doc_id"].astype(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(slots), pa.array(np.full(len(rows), shard, np.int64)), pa.array((slots % per_shard) * kind.itemsize), pa.array(doc, mask=doc == NO_ID), pa.array(rows["start"].astype(np.int64)), pa.array(lengths), ids],
+                    [pa.array(slots), pa.array(np.full(len(rows), shard, np.int64)), pa.array((slots % per_shard) * kind.itemsize), pa.array(doc, mask=rows["nameless"] == 1), pa.array(rows["start"].astype(np.int64)), pa.array(lengths), ids],
                     ["slot", "shard", "byte_offset", "doc_id", "start", "length", "ids_le"],
                 )
 
