@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -26,8 +26,12 @@ ORDER = 4
 DISCOUNT = 0.75
 #: Labelled texts of each language that counts, and that the rejection, come from.
 MAX_TEXTS, MAX_CALIBRATION = 2000, 1000
-#: N-grams met less often than this in the sample are not kept at the highest order.
-SLACK = 0.5
+#: Characters of the texts of each language that counts come from.
+MAX_CHARACTERS = 8_000_000
+#: A text is rejected beyond this quantile of the entropies of labelled texts, plus so many nats.
+QUANTILE, SLACK = 0.99, 0.5
+#: Letters of a text depend on each other: they count as so many independent ones at most in the score.
+EVIDENCE = 100
 NO_LANGUAGE = "und"
 PART = 1 << 19
 _U = np.uint64
@@ -98,8 +102,16 @@ def sample_texts(docs: DataFrame, lang: Column, salt: int, most: int) -> DataFra
     sizes = rows.groupBy("lang").count().where(F.col("count") > 0)
     share = sizes.select("lang", (F.least(F.lit(1.0), F.lit(1.2 * most) / F.col("count")) * (1 << 40)).alias("below"))
     near = rows.join(F.broadcast(share), "lang").where("h < below").drop("below")  # a row for each language
-    best = near.groupBy("lang").agg(F.slice(F.array_sort(F.collect_list("h")), most, 1).alias("last")).select("lang", F.get("last", F.lit(0)).alias("last"))
-    return near.join(F.broadcast(best), "lang").where("last IS NULL OR h <= last").select("lang", "text")
+    placed = near.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text")))
+    return placed.where(F.col("place") <= most).select("lang", "text", "h")
+
+
+def within(texts: DataFrame, most: int) -> DataFrame:
+    """The first texts of each language by hash that together have ``most`` characters at most, and the first one in any case."""
+    by_hash = Window.partitionBy("lang").orderBy("h", "text")
+    before = F.coalesce(F.sum(F.char_length("text")).over(by_hash.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sized = texts.withColumn("end", before + F.char_length("text")).withColumn("first", F.row_number().over(by_hash) == 1)
+    return sized.where((F.col("end") <= most) | F.col("first")).select("lang", "text")
 
 
 def gram_counts(texts: DataFrame) -> pd.DataFrame:
@@ -204,22 +216,24 @@ class Models:
         entropy, n_letters = self.entropies(texts)
         best = entropy.argmin(axis=1)
         low = entropy.min(axis=1)
-        # odds against the other languages: the entropy gap times the length, of which at most 100 letters count
-        gap = (entropy - low[:, None]) * np.minimum(n_letters, 100)[:, None]
+        # odds against the other languages: the entropy gap times the independent letters
+        gap = (entropy - low[:, None]) * np.minimum(n_letters, EVIDENCE)[:, None]
         score = 1 / np.exp(-gap).sum(axis=1)
         none = n_letters == 0
         return np.where(none, -1, best), np.where(none, 0.0, score), np.where(none, np.inf, low)
 
 
-def fit(labelled: DataFrame, *, lang: str = "lang", max_texts: int = MAX_TEXTS, max_calibration: int = MAX_CALIBRATION) -> Models | None:
+def fit(labelled: DataFrame, *, lang: str = "lang", max_texts: int = MAX_TEXTS, max_calibration: int = MAX_CALIBRATION, max_characters: int = MAX_CHARACTERS) -> Models | None:
     """Models from ``labelled`` (doc_id, text, language); None if no row has a language and a text.
 
-    At most ``max_texts`` texts of each language are counted, and at most
+    At most ``max_texts`` texts of each language, with ``max_characters`` in
+    all (and one text in any case), are counted; their n-grams are summed by
+    Spark, and what reaches the driver has that bound.  At most
     ``max_calibration`` others fix, for each language, the entropy beyond
-    which a text is rejected: the highest among them plus ``SLACK``.
+    which a text is rejected: the ``QUANTILE`` among them plus ``SLACK``.
     """
     counted = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(4)) != 0
-    counts = gram_counts(sample_texts(labelled.where(counted), F.col(lang), 2, max_texts))
+    counts = gram_counts(within(sample_texts(labelled.where(counted), F.col(lang), 2, max_texts), max_characters))
     if not len(counts):
         return None
     models = Models(counts)
@@ -233,8 +247,8 @@ def fit(labelled: DataFrame, *, lang: str = "lang", max_texts: int = MAX_TEXTS,
                 met = which >= 0
                 yield pa.RecordBatch.from_arrays([pa.array(which[met]), pa.array(low[met])], ["which", "entropy"])
 
-    rest = sample_texts(labelled.where(~counted), F.col(lang), 3, max_calibration)
-    highest = rest.mapInArrow(run, "which bigint, entropy double").groupBy("which").agg(F.max("entropy").alias("entropy")).collect()  # a row for each language
+    rest = sample_texts(labelled.where(~counted), F.col(lang), 3, max_calibration).select("lang", "text")
+    highest = rest.mapInArrow(run, "which bigint, entropy double").groupBy("which").agg(F.percentile("entropy", QUANTILE).alias("entropy")).collect()  # a row for each language
     models.cut = np.full(len(models.languages), np.inf)
     for r in highest:
         models.cut[r["which"]] = r["entropy"] + SLACK
@@ -246,8 +260,9 @@ def identify(docs: DataFrame, models: Models | None) -> DataFrame:
 
     lang_pred is a learned language, or ``und`` with score 0 and rejected
     where the text is null or has no letter, or nothing was learned.  score is
-    the odds of the language among those learned, from 0 to 1.  rejected says
-    that the text is unlike any labelled one.  Only the text is looked at;
+    the odds of the language among those learned, from 0 to 1, a text counting
+    as ``EVIDENCE`` independent letters at most.  rejected says that the text
+    is less like its language than nearly all labelled ones.  Only the text is looked at;
     null ids and repeated rows are judged like any other.
     """
     docs = docs.drop("lang_pred", "score", "rejected")
