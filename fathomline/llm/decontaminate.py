@@ -1,10 +1,11 @@
 """Operator 2: benchmark decontamination with DataFrame functions only.
 
-Normalised windows of the benchmark go into a hash table, keyed by the longest
-word of each window.  A document looks up its words, and only where a word is
-such an anchor is the window around it compared, word by word.  Every document
-is handled in its own row: nothing is shuffled but the benchmark.  A benchmark
-too large for such a table takes the other way, a join on window hashes.
+Normalised windows of the benchmark go into a hash table, keyed by the word of
+each window that the fewest other windows have.  A document looks up its words,
+and only where a word is such an anchor is the window around it compared, word
+by word.  Every document is handled in its own row: nothing is shuffled but the
+benchmark.  A benchmark too large for such a table takes the other way, a join
+on window hashes, whose hits are compared word by word as well.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .hashtable import bucket, buckets_for, lookup_table, once
+from .names import free_name
 from .scratch import written
 
 SIZE = 10
@@ -39,19 +41,17 @@ def benchmark_windows(benchmark: DataFrame, size: int = SIZE) -> DataFrame:
     items = once(benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text"), "words", words_of(F.col("text"))).where(F.size("words") > 0)
     starts = F.sequence(F.lit(0), F.greatest(F.size("words") - size, F.lit(0)))
     grams = items.select("item_id", "words", F.explode(starts).alias("at")).select("item_id", F.expr(f"slice(words, at + 1, {size})").alias("gram"))
-    longest = F.array_max(F.transform("gram", lambda w, i: F.struct(F.length(w).alias("l"), (-i).alias("i"))))
-    return (
-        grams.groupBy("gram")
-        .agg(F.array_sort(F.collect_set("item_id")).alias("items"))
-        .withColumn("off", -longest["i"])
-        .select("gram", F.size("gram").alias("n"), F.element_at("gram", F.col("off") + 1).alias("anchor"), "off", "items")
-    )
+    windows = written(grams.groupBy("gram").agg(F.array_sort(F.collect_set("item_id")).alias("items")))
+    places = windows.select("gram", F.posexplode("gram").alias("off", "word"))
+    common = places.groupBy("word").agg(F.count(F.lit(1)).alias("times"))
+    rarest = F.min(F.struct("times", -F.length("word"), "off", "word")).alias("best")
+    anchors = places.join(common, "word").groupBy("gram").agg(rarest).select("gram", F.col("best.off").alias("off"), F.col("best.word").alias("anchor"))
+    return windows.join(anchors, "gram").select("gram", F.size("gram").alias("n"), "anchor", "off", "items")
 
 
-def _hits_in_row(docs: DataFrame, windows: DataFrame, rows: int) -> DataFrame:
+def _hits_in_row(docs: DataFrame, words: Column, hits: str, windows: DataFrame, rows: int) -> DataFrame:
     buckets = buckets_for(rows)
     table = lookup_table(windows, "anchor", buckets)
-    words = F.col("_words")
 
     def entries(i: Column) -> Column:
         return F.element_at(table, bucket(F.get(words, i), buckets))
@@ -65,64 +65,71 @@ def _hits_in_row(docs: DataFrame, windows: DataFrame, rows: int) -> DataFrame:
 
     places = F.when(F.size(words) > 0, F.sequence(F.lit(0), F.size(words) - 1))
     anchors = F.filter(places, lambda i: entries(i).isNotNull())
-    return once(docs, "_hits", F.coalesce(F.flatten(F.transform(anchors, found)), F.array()).cast(HITS))
+    return once(docs, hits, F.coalesce(F.flatten(F.transform(anchors, found)), F.array()).cast(HITS))
 
 
-def _hits_by_join(docs: DataFrame, windows: DataFrame) -> DataFrame:
-    """For benchmarks of any size: hashes of the documents' windows meet those of the benchmark in a shuffle."""
+def _hits_by_join(docs: DataFrame, words: Column, hits: str, windows: DataFrame) -> DataFrame:
+    """For benchmarks of any size: hashes of the documents' windows meet those of the benchmark in a shuffle.
+
+    A document gets the windows whose hashes it met, and compares their words
+    with its own.
+    """
 
     def hashed(gram: Column) -> list[Column]:
         return [F.xxhash64(gram).alias("h"), F.hash(gram, F.lit(1)).alias("g")]
 
     sizes = [r["n"] for r in windows.select("n").distinct().collect()]  # ten at most
-    key = [F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_text")]
 
     def places_of(n: int) -> Column:
-        starts = F.transform(F.sequence(F.lit(0), F.size("_words") - n), lambda i: F.struct(i.alias("start"), F.lit(n).alias("n")))
-        return F.when(F.size("_words") >= n, starts).otherwise(F.array().cast("array<struct<start:int,n:int>>"))
+        starts = F.transform(F.sequence(F.lit(0), F.size("w") - n), lambda i: F.struct(i.alias("start"), F.lit(n).alias("n")))
+        return F.when(F.size("w") >= n, starts).otherwise(F.array().cast("array<struct<start:int,n:int>>"))
 
-    places = F.flatten(F.array(*map(places_of, sizes)))
-    spans = docs.select(*key, "_words", F.explode(places).alias("p")).select("_id", "_text", "p.start", "p.n", F.expr("slice(_words, p.start + 1, p.n)").alias("gram")).select("_id", "_text", "start", "n", *hashed(F.col("gram")))
-    met = spans.join(windows.select(*hashed(F.col("gram")), "n", "items"), ["h", "g", "n"])
-    hits = met.groupBy("_id", "_text").agg(F.collect_set(F.struct("start", "n", "items")).cast(HITS).alias("_hits"))
-    joined = docs.withColumn("_text", F.xxhash64("text")).alias("d").join(hits.alias("h"), F.col("d.doc_id").eqNullSafe(F.col("h._id")) & (F.col("d._text") == F.col("h._text")), "left")
-    return joined.select(*[F.col(f"d.{c}") for c in docs.columns], F.coalesce("h._hits", F.array().cast(HITS)).alias("_hits"))
+    keyed = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("name"), words.alias("w"))
+    spans = keyed.select("id", "name", "w", F.explode(F.flatten(F.array(*map(places_of, sizes)))).alias("p")).select("id", "name", "p.start", "p.n", F.expr("slice(w, p.start + 1, p.n)").alias("gram"))
+    met = spans.select("id", "name", "start", "n", *hashed(F.col("gram"))).join(windows.select(*hashed(F.col("gram")), "n", "gram", "items"), ["h", "g", "n"])
+    found = met.groupBy("id", "name").agg(F.collect_set(F.struct("start", "n", "gram", "items")).alias("met"))
+    same = F.col("d.doc_id").eqNullSafe(F.col("m.id")) & (F.xxhash64("d.text") == F.col("m.name"))
+    joined = docs.alias("d").join(found.alias("m"), same, "left")
+    own = F.filter(F.coalesce("m.met", F.array()), lambda h: F.slice(words, h["start"] + 1, h["n"]) == h["gram"])
+    return joined.select("d.*", F.transform(own, lambda h: F.struct(h["start"].alias("start"), h["n"].alias("n"), h["items"].alias("items"))).cast(HITS).alias(hits))
 
 
-def with_hits(docs: DataFrame, benchmark: DataFrame, *, size: int = SIZE, table_bytes: int = TABLE_BYTES) -> DataFrame:
-    """``docs`` with _words (normalised) and _hits (start, n, items of every window that occurs).
+def with_hits(docs: DataFrame, benchmark: DataFrame, *, size: int = SIZE, table_bytes: int = TABLE_BYTES) -> tuple[DataFrame, str, str]:
+    """``docs`` with two more columns, and their names: words (normalised) and hits (start, n, items of every window that occurs).
 
     Null and wordless texts have no words and no hits, wordless items no
     window; an item without id can be hit but is no item of ``items``.
-    Repeated rows are each judged by their own text.  ``docs`` may have any
-    other columns but _words and _hits.
+    Repeated rows are each judged by their own text.  The new columns have
+    names that ``docs`` hasn't.
     """
     windows = written(benchmark_windows(benchmark, size))
     n, n_bytes = windows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length(F.array_join("gram", " ")) * 2 + 100 + 8 * F.size("items")), F.lit(0))).first()
-    docs = once(docs, "_words", words_of(F.col("text").cast("string")))
+    words, hits = free_name(docs, "words"), free_name(docs, "hits")
+    docs = once(docs, words, words_of(F.col("text").cast("string")))
     if not n:
-        return docs.withColumn("_hits", F.array().cast(HITS))
-    return _hits_in_row(docs, windows, n) if n_bytes <= table_bytes else _hits_by_join(docs, windows)
+        return docs.withColumn(hits, F.array().cast(HITS)), words, hits
+    found = _hits_in_row(docs, F.col(words), hits, windows, n) if n_bytes <= table_bytes else _hits_by_join(docs, F.col(words), hits, windows)
+    return found, words, hits
 
 
-def _covered() -> Column:
-    return F.array_distinct(F.flatten(F.transform("_hits", lambda h: F.sequence(h["start"], h["start"] + h["n"] - 1))))
+def _covered(hits: str) -> Column:
+    return F.array_distinct(F.flatten(F.transform(hits, lambda h: F.sequence(h["start"], h["start"] + h["n"] - 1))))
 
 
 def hit_report(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """Per document: doc_id, n_words, n_hit (words inside an occurring window), items (ids as sorted strings), contaminated."""
-    found = with_hits(docs.select("doc_id", "text"), benchmark, **options)
-    items = F.array_sort(F.transform(F.array_distinct(F.flatten(F.transform("_hits", lambda h: h["items"]))), lambda x: x.cast("string")))
+    found, words, hits = with_hits(docs.select("doc_id", "text"), benchmark, **options)
+    items = F.array_sort(F.transform(F.array_distinct(F.flatten(F.transform(hits, lambda h: h["items"]))), lambda x: x.cast("string")))
     return found.select(
         "doc_id",
-        F.size("_words").cast("long").alias("n_words"),
-        F.when(F.size("_hits") > 0, F.size(_covered())).otherwise(0).cast("long").alias("n_hit"),
+        F.size(words).cast("long").alias("n_words"),
+        F.when(F.size(hits) > 0, F.size(_covered(hits))).otherwise(0).cast("long").alias("n_hit"),
         items.alias("items"),
     ).withColumn("contaminated", F.col("n_hit") > 0)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, remove: str = "spans", **options) -> DataFrame:
-    """``docs`` without benchmark text, its columns unchanged.
+    """``docs`` without benchmark text, its columns unchanged, whatever their names.
 
     remove="documents" drops hit documents.  remove="spans" takes the hit
     words, each with what separates it from the next word, out of the text
@@ -131,16 +138,17 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, remove: str = "spans
     """
     if remove not in ("spans", "documents"):
         raise ValueError(f"remove: {remove!r}")
-    found = with_hits(docs, benchmark, **options)
-    clean = F.size("_hits") == 0
+    found, words, hits = with_hits(docs, benchmark, **options)
+    clean = F.size(hits) == 0
     if remove == "documents":
         return found.where(clean).select(*docs.columns)
-    found = once(found, "_hit", F.when(~clean, _covered())).where(clean | (F.size("_hit") < F.size("_words")))
+    hit = free_name(found, "hit")
+    found = once(found, hit, F.when(~clean, _covered(hits))).where(clean | (F.size(hit) < F.size(words)))
     gaps = F.split("text", ANY_CASE_WORD, -1)
-    words = F.regexp_extract_all("text", F.lit(ANY_CASE_WORD), F.lit(0))
+    said = F.regexp_extract_all("text", F.lit(ANY_CASE_WORD), F.lit(0))
     # which words stay, as an array of flags: one pass over the hit places
-    stay = F.transform(F.sequence(F.lit(0), F.size("_words") - 1), lambda i: ~F.array_contains(F.col("_hit"), i))
-    parts = F.zip_with(F.zip_with(words, F.slice(gaps, 2, F.size("_words")), lambda w, g: F.concat(w, g)), stay, lambda t, s: F.when(s, t).otherwise(""))
+    stay = F.transform(F.sequence(F.lit(0), F.size(words) - 1), lambda i: ~F.array_contains(F.col(hit), i))
+    parts = F.zip_with(F.zip_with(said, F.slice(gaps, 2, F.size(words)), lambda w, g: F.concat(w, g)), stay, lambda t, s: F.when(s, t).otherwise(""))
     text = F.when(clean, F.col("text")).otherwise(F.concat(F.get(gaps, F.lit(0)), F.array_join(parts, "")))
     kept = found.withColumn("text", text)
     if "n_chars" in docs.columns:
