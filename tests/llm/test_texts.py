@@ -2,7 +2,10 @@
 
 import collections
 import gzip
+import ipaddress
+import random
 import re
+import zlib
 
 import pytest
 from oracle import SF, rows_of, sql_rows
@@ -106,14 +109,29 @@ def test_chat_round_trip(spark):
 def test_events_fold(spark):
     rows = [
         (1, 1, 1, "user", "message", "hi"), (1, 2, 2, "assistant", "message", "He"), (1, 2, 3, None, "delta", "llo"), (1, 2, 4, None, "regenerate", "Good"), (1, 2, 5, None, "delta", " day"), (1, 1, 6, None, "edit", "hello"),
-        (1, 3, 7, "user", "message", "gone"), (1, 3, 8, None, "delete", None), (1, 4, 9, "user", None, None),
+        (1, 3, 7, "user", "message", "gone"), (1, 3, 8, None, "delete", None), (1, 4, 9, "user", None, None), (1, 5, 10, "user", "message", "x"), (1, 5, 11, None, "delete", None), (1, 5, 12, None, "delta", "back"),
     ]
     log = spark.createDataFrame(rows, "conv_id bigint, msg bigint, seq bigint, role string, op string, text string")
     got = chat.fold_events(log).orderBy("turn").collect()
-    assert [(r["turn"], r["role"], r["text"]) for r in got] == [(1, "user", "hello"), (2, "assistant", "Good day"), (9, "user", "")]
+    assert [(r["turn"], r["role"], r["text"]) for r in got] == [(1, "user", "hello"), (2, "assistant", "Good day"), (9, "user", ""), (10, "user", "back")]
     assert chat.fold_events(log.where("false")).count() == 0
 
 
+def test_messages_go_through_the_fold(spark):
+    draw = random.Random(8)
+    rows = [(c, draw.randrange(3), draw.choice(["user", "assistant", "system"]), "".join(draw.choice("<|\\ab") for _ in range(draw.randrange(9)))) for c in range(12) for _ in range(5)]
+    rows += [(1, 0, "user", "<|x"), (1, 0, "user", "<a"), (1, 0, "user", "<a"), (2, 9, "assistant", "y" * 2500), (2, 9, None, None), (None, 1, "assistant", "z"), (None, 0, "user", "q")]
+    log = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    events = chat.streamed(log, 1000)
+    assert {r["op"] for r in events.select("op").distinct().collect()} == {"message", "edit", "regenerate", "delta"}
+    got = {r["conv_id"]: r for r in chat.parse(chat.render(chat.fold_events(events))).collect()}
+    want = collections.defaultdict(list)
+    for c, turn, role, text in rows:
+        want[c].append((turn, role or "", text or ""))
+    assert {c: [(t["role"], t["text"]) for t in r["turns"]] for c, r in got.items()} == {c: [x[1:] for x in sorted(w)] for c, w in want.items()}
+    assert all(r["loss_text"] == "".join(t for _, role, t in sorted(want[c]) if role == "assistant") for c, r in got.items())
+
+
 # 5
 
 
@@ -125,13 +143,28 @@ def test_archives(spark, tmp_path):
     got = {r["page_id"]: r for r in warc.with_originals(warc.read_archives(spark, folder)).collect()}
     assert {i: (r["record_type"], r["refers_to"]) for i, r in got.items()} == {5: ("revisit", 3), 3: ("response", None), 1: ("response", None), 2: ("revisit", 1), None: ("revisit", 3), 9: ("response", None)}
     assert bytes(got[3]["payload"]).decode() == rows[1][2] and got[5]["payload_bytes"] == len(rows[0][2]) and got[5]["payload_digest"] == got[3]["payload_digest"]
-    assert all(gzip.decompress(f.read_bytes()).startswith(b"WARC/1.1\r\n") for f in (tmp_path / "w").glob("*.gz"))
+    assert len({r["record_id"] for r in got.values()}) == len(rows)
+    for f in (tmp_path / "w").glob("part-*"):
+        content = f.read_bytes()
+        found = list(warc.members(memoryview(content)))
+        assert gzip.decompress(content) == b"".join(r for _, r in found) and 1 <= len(found) <= 2
+        for offset, record in found:  # a record alone, from its offset
+            assert zlib.decompressobj(31).decompress(content[offset:]) == record
+            assert warc.parse_record(record)[0]["WARC-Record-ID"].startswith("<urn:uuid:")
     warc.write_archives(pages, f"{folder}2", min_payload=1)
     assert {r["page_id"]: r["record_type"] for r in warc.read_archives(spark, f"{folder}2").collect()}[2] == "response"
     warc.write_archives(pages.where("false"), f"{folder}3")
     assert warc.read_archives(spark, f"{folder}3").count() == 0
 
 
+def test_members_of_any_length():
+    big = b"x" * (1 << 24)
+    content = warc.member(b"a") + warc.member(big) + warc.member(b"b")
+    assert warc.member(big).endswith(b"\0") and [r for _, r in warc.members(memoryview(content))] == [b"a", big, b"b"]
+    with pytest.raises(ValueError):
+        list(warc.members(memoryview(content[:-4])))
+
+
 # 8
 
 
@@ -143,7 +176,7 @@ def test_surrogates(spark, odd, none):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("value", F.lit("v"))
     got = {r["doc_id"]: r for r in pii.replace_pii(docs, key="k").collect()}
     mails = re.findall(r"\S+@\S+invalid", got[1]["text"])
-    assert len(set(mails)) == 1 and mails[0] == got[None]["text"] and "555-3824" not in got[1]["text"]
+    assert len({m.lower() for m in mails}) == 1 and mails[1] == got[None]["text"] and "555-3824" not in got[1]["text"]
     assert len({re.sub(r"\D", "", x) for x in re.findall(r"\+1 [^+]*\d", got[1]["text"])}) == 1
     cards = re.findall(r"(?:card|or|not) ((?:\d ?){16})", got[2]["text"])
     assert cards[0].replace(" ", "") == cards[1] != "4111111111111111" and cards[2] == "4111111111111112"
@@ -171,13 +204,81 @@ def test_secrets_of_any_length_and_form(spark):
 
 def test_colliding_surrogates_are_drawn_again(spark, monkeypatch):
     # two digits in place of a whole address leave a hundred surrogates, so most of 40 collide
-    monkeypatch.setattr(pii, "_surrogate", lambda e, key: F.concat(F.substring(e["digits"], 1, 2), F.lit("@x.invalid")))
+    monkeypatch.setattr(pii, "_surrogate", lambda e: F.concat(F.substring(e["digits"], 1, 2), F.lit("@x.invalid")))
     docs = spark.createDataFrame([(i, f"write to a{i}@b.org please") for i in range(40)], "doc_id bigint, text string")
     for table_rows in (0, 1000):
         texts = [r["text"] for r in pii.replace_pii(docs, key="k", table_rows=table_rows).collect()]
         assert len(set(texts)) == 40 and not any("b.org" in t for t in texts)
 
 
+def mentions_of(spark, text):
+    row = spark.createDataFrame([(text,)], "text string").select(pii.described(pii.entities_of(F.col("text"))).alias("e")).first()
+    return [(e["mention"], e["kind"]) for e in row["e"]]
+
+
+@pytest.mark.parametrize(
+    "text, kind",
+    [("API_KEY=abcd1234efgh5678", "secret"), ("Password: hunter2secret99", "secret"), ("password=123456789013", "secret"), ("token: AB12CDEF34", "secret"), ('"api-key": "x1y2z3w4v5"', "secret"),
+     ("from 2001:db8::8a2e:370:7334 on", "ip6"), ("fe80::1ff:fe23:4567:890a", "ip6"), ("my name is John Smith", "name"), ("DE89 3704 0044 0532 0130 00", "iban")],
+)
+def test_probes_are_found_and_replaced(spark, text, kind):
+    (mention, found), = mentions_of(spark, text)
+    assert found == kind
+    got = pii.replace_pii(spark.createDataFrame([(1, text)], "doc_id bigint, text string"), key="k").first()["text"]
+    assert mention not in got and len(got) == len(text) or kind == "name"
+
+
+@pytest.mark.parametrize("text", ["at 12:30:45 std::vector x[::2]", "version 1.2.3 of 2024-01-01", "the secret: nothing", "name: unknown thing"])
+def test_what_is_no_entity(spark, text):
+    assert mentions_of(spark, text) == []
+
+
+def test_surrogates_keep_their_form(spark):
+    docs = spark.createDataFrame([(1, "a DE89370400440532013000 b DE89 3704 0044 0532 0130 00 c Ann.Lee7@Mail.example.org d 2001:DB8::1 e 2001:0db8:0:0:0:0:0:1")], "doc_id bigint, text string")
+    got = pii.replace_pii(docs, key="k").first()["text"]
+    a, b, mail, short, full = re.fullmatch(r"a (\S+) b (DE\d\d(?: \d{4}){4} \d\d) c (\S+) d (\S+) e (\S+)", got).groups()
+    assert a == b.replace(" ", "") and int("".join(str(int(c, 36)) for c in a[4:] + a[:4])) % 97 == 1
+    assert re.fullmatch(r"[A-Z][a-z]{2}\.[A-Z][a-z]{2}\d@[A-Z][a-z]{3}\.[a-z]{7}\.invalid", mail)
+    address = ipaddress.ip_address
+    assert address(short) == address(full) != address("2001:db8::1") and "::" in short
+
+
+def test_forms_with_no_free_surrogate_end(spark):
+    # every surrogate of the form is an entity itself
+    docs = spark.createDataFrame([(i, f"token=________{i}") for i in range(10)], "doc_id bigint, text string")
+    texts = [r["text"] for r in pii.replace_pii(docs, key="k").collect()]
+    assert len(set(texts)) == 10 and all(re.fullmatch(r"token=________\d-[0-9a-f]{16}", t) for t in texts)
+
+
+def test_distinct_and_the_same_throughout(spark):
+    # brute force over all mentions: a function of the entity, one to one, and away from all entities
+    draw = random.Random(4)
+    first, family = ["Anna", "Bert", "Cleo", "Dora"], ["Miller", "Stone", "Иванова", "Petrov"]
+    people = [f"{draw.choice(['Mr', 'Mrs', 'Dr'])} {draw.choice(first)} {draw.choice(family)}" for _ in range(60)]
+    mails = [f"u{draw.randrange(30)}@{draw.choice(['A.org', 'a.org', 'b.net'])}" for _ in range(60)]
+    rows = [(i, f"{p} writes to {m} now") for i, (p, m) in enumerate(zip(people, mails, strict=True))]
+    got = {r["doc_id"]: r["text"] for r in pii.replace_pii(spark.createDataFrame(rows, "doc_id bigint, text string"), key="k").collect()}
+    maps = {"family": {}, "given": {}, "mail": {}}
+    for i, text in rows:
+        title, given, last, mail = re.fullmatch(r"(\w+) (\w+) (\w+) writes to (\S+) now", text).groups()
+        new_title, new_given, new_last, new_mail = re.fullmatch(r"(\w+) (\w+) (\w+) writes to (\S+) now", got[i]).groups()
+        assert title == new_title
+        for kind, old, new in (("family", last, new_last), ("given", (title, given), new_given), ("mail", mail.lower(), new_mail.lower())):
+            assert maps[kind].setdefault(old, new) == new
+    for kind, found in maps.items():
+        assert len(set(found.values())) == len(found) and not set(found.values()) & set(found)
+
+
+def test_clashing_names(spark, items):
+    names = ["_mentions", "_found", "_text", "_words", "_hits", "_hit", "words", "hits", "hit", "found", "new_text", "n_entities", "kinds", "d", "m"]
+    docs = spark.createDataFrame([(1, "quick brown fox jumps over the lazy dog while seven a b mail x1@y.org")], "doc_id bigint, text string").select("*", *[F.lit(n).alias(n) for n in names])
+    for table_bytes in (0, 1 << 20):
+        clean = decontaminate.decontaminate(docs, items, table_bytes=table_bytes)
+        assert clean.columns == docs.columns and clean.first()["text"] == "a b mail x1@y.org"
+    out = pii.replace_pii(docs, key="k")
+    assert out.columns == [*docs.columns, "_n_entities", "_kinds"] and "y.org" not in out.first()["text"] and out.first()["kinds"] == "kinds"
+
+
 # 9
 
 

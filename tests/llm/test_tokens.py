@@ -10,7 +10,7 @@ import pytest
 from oracle import SF
 from tokenizers import Tokenizer
 
-from fathomline.llm import bpe_counts, packing, queries, training_order
+from fathomline.llm import bpe_counts, packing, quality, queries, training_order
 from fathomline.llm.tokens import WordIds
 
 WORDS, BYTES = (public_tokenizers.path(x) for x in ("word_bpe_49k.json", "byte_bpe_50k.json"))
@@ -35,6 +35,23 @@ def test_ids_are_the_librarys(texts):
     assert got == ids_of(WORDS, texts)
 
 
+def thue_morse(n):
+    """Two words of n letters whose sums modulo a power of two agree."""
+    ones = [bin(i).count("1") % 2 for i in range(n)]
+    return ["".join("ab"[x] for x in ones), "".join("ba"[x] for x in ones)]
+
+
+@pytest.mark.parametrize("n", [1 << 10, 1 << 12])
+def test_long_regular_words(n):
+    for texts in ([f"{w} end" for w in thue_morse(n)], thue_morse(n)):
+        assert bpe_counts.TokenCounter(BYTES).lengths(pa.array(texts))[1].tolist() == [len(x) for x in ids_of(BYTES, texts)]
+        got = [x.tolist() for _, ids, lengths in WordIds(WORDS).batches(pa.array(texts)) for x in np.split(ids, np.cumsum(lengths)[:-1])]
+        assert got == ids_of(WORDS, texts)
+    data = "\n".join([*thue_morse(n), thue_morse(n)[0]]).encode()
+    found = quality.slice_statistics(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+    assert found[quality.STATISTICS.index("n_dup_lines")].tolist() == [1]
+
+
 def test_count_query(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
     want = {d["doc_id"]: (len((d["text"] or "").encode()), len(i)) for d, i in zip(docs, ids_of(BYTES, [d["text"] for d in docs]), strict=True)}
@@ -85,6 +102,38 @@ def test_packing_edges(odd, none):
     assert packing.pack_documents(none, WORDS).count() == 0
 
 
+def test_short_sequences_dont_grow_with_partitions(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    for parts in (4, 64):
+        used = packing.pack_documents(docs.repartition(parts, "doc_id"), WORDS).groupBy("sequence_id").sum("length").collect()
+        assert sum(r[1] <= 64 for r in used) == 0
+
+
+def test_last_cuts_are_the_cheapest(monkeypatch):
+    monkeypatch.setattr(packing, "LEAST_POWER", 4)
+    draw, width = random.Random(6), 16
+    for _ in range(60):
+        n = draw.randint(1, 11)
+        penalty = [draw.choice([0, 1, 5]) for _ in range(n)]
+        padding = lambda k: 0 if k >= 4 and k & (k - 1) == 0 else width - k
+        price = lambda chosen: sum(padding(b - a) for a, b in zip([0, *chosen], chosen)) + sum(penalty[c - 1] for c in chosen[:-1])  # noqa: B023, E731
+        every = [price([i + 1 for i in range(n) if i == n - 1 or mask >> i & 1]) for mask in range(1 << (n - 1))]
+        assert price(packing.last_cuts(np.array(penalty), width)) == min(every)
+
+
+def test_smallest_id_is_an_id(spark):
+    docs = spark.createDataFrame([(-(2**63), "a b"), (None, "c")], "doc_id bigint, text string")
+    assert {r["doc_id"] for r in packing.pack_documents(docs, WORDS).collect()} == {-(2**63), None}
+    assert {r["doc_id"] for r in training_order.training_order(docs, WORDS, key=1).collect()} == {-(2**63), None}
+
+
+def test_other_rows_than_counted_fail(spark):
+    docs = spark.createDataFrame([(i, "a b c") for i in range(4)], "doc_id bigint, text string").coalesce(1)
+    for counted in ({0: (0, 3)}, {0: (0, 5)}, {}):
+        with pytest.raises(Exception, match="other rows"):
+            training_order.slotted_windows(docs, WORDS, counted, 5, key=1).collect()
+
+
 def test_cuts_are_the_cheapest():
     draw = random.Random(3)
     for _ in range(200):
