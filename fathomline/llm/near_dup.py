@@ -104,6 +104,27 @@ def _ragged(column: pa.ChunkedArray | pa.Array, kind: type) -> tuple[np.ndarray,
     return data.view(kind), np.diff(where) // np.dtype(kind).itemsize
 
 
+def _short(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """The 48 bits after the first ``bits`` of each hash, as six bytes each."""
+    return ((hashes << _U(bits)) >> _U(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].ravel()
+
+
+def _long(short: np.ndarray, part: int, bits: int) -> np.ndarray:
+    """Hashes of the range ``part`` from six bytes each; see ``_mask``."""
+    out = np.zeros((len(short) // 6, 8), np.uint8)
+    out[:, :6] = short.reshape(-1, 6)
+    return (out.view("<u8").ravel() << _U(16)) >> _U(bits) | _U(part << (64 - bits))
+
+
+def _mask(bits: int) -> np.uint64:
+    """Of hashes that are dealt by their first ``bits``: the bits that are compared, 48 more or all."""
+    return _U((1 << 64) - (1 << max(0, 16 - bits)))
+
+
+def range_bits(n_bytes: int) -> int:
+    return min(24, max(4, (n_bytes // RANGE_BYTES).bit_length()))
+
+
 def idf_weights(counts: np.ndarray, n_texts: int) -> np.ndarray:
     """From 1 for a shingle of one text to 1/2 for one of all texts, falling with the logarithm of the count."""
     widest = np.log((1 + n_texts) / 2)
@@ -140,14 +161,15 @@ def distinct_texts(docs: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "node binary, text string, size bigint, chunk bigint")
 
 
-def shared_shingles(texts: DataFrame, size: int, n_bytes: int) -> DataFrame:
+def shared_shingles(texts: DataFrame, size: int, bits: int) -> DataFrame:
     """chunk, shingles, counts: in how many texts each shingle is that more than one text has.
 
     A chunk sends one sorted array of distinct hashes, with counts, to every
-    range of hashes.  A shingle has one entry per chunk at most, however many
-    texts have it, so a range holds what its share of all shingles is.
+    range of hashes (those with the same first ``bits``).  A shingle has one
+    entry per chunk at most, however many texts have it, so a range holds what
+    its share of all shingles is.
     """
-    bits = min(24, max(4, (n_bytes // RANGE_BYTES).bit_length()))
+    mask = _mask(bits)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -155,13 +177,14 @@ def shared_shingles(texts: DataFrame, size: int, n_bytes: int) -> DataFrame:
             edges = np.flatnonzero(np.diff(chunk, prepend=-1, append=-1))
             for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
                 hashes = np.concatenate([Shingles(data, offsets, size).hashes for _, _, data, offsets in slices(batch.column(1).slice(a, b - a))])
-                values, times = np.unique(hashes, return_counts=True)
+                values, times = np.unique(hashes & mask, return_counts=True)
                 which, first = np.unique(values >> _U(64 - bits), return_index=True)
                 n = np.diff(np.append(first, len(values)))
-                yield pa.RecordBatch.from_arrays([pa.array(which.astype(np.int32)), pa.array(np.full(len(which), chunk[a])), _blobs(values, n), _blobs(times.astype(np.uint32), n)], ["part", "chunk", "shingles", "counts"])
+                yield pa.RecordBatch.from_arrays([pa.array(which.astype(np.int32)), pa.array(np.full(len(which), chunk[a])), _blobs(_short(values, bits), 6 * n), _blobs(times.astype(np.uint32), n)], ["part", "chunk", "shingles", "counts"])
 
     def count(table: pa.Table) -> pa.Table:
-        hashes, lengths = _ragged(table.column("shingles"), np.uint64)
+        short, lengths = _ragged(table.column("shingles"), np.uint8)
+        hashes, lengths = _long(short, table.column("part")[0].as_py(), bits), lengths // 6
         values, inverse = np.unique(hashes, return_inverse=True)
         total = np.zeros(len(values), np.int64)
         np.add.at(total, inverse, _ragged(table.column("counts"), np.uint32)[0])
@@ -191,7 +214,7 @@ def draw(hashes: np.ndarray, weights: np.ndarray, first: np.ndarray) -> np.ndarr
     return out
 
 
-def signatures(texts: DataFrame, shared: DataFrame, n_texts: int, size: int) -> DataFrame:
+def signatures(texts: DataFrame, shared: DataFrame, n_texts: int, size: int, bits: int) -> DataFrame:
     """node, size, counts (of texts with each distinct shingle of the text, in its order), bands (each names its samples)."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -204,8 +227,9 @@ def signatures(texts: DataFrame, shared: DataFrame, n_texts: int, size: int) ->
             s = Shingles(data, offsets, size)
             n_docs = np.ones(len(s.hashes), np.uint32)
             if len(known):
-                at = np.minimum(np.searchsorted(known, s.hashes), len(known) - 1)
-                met = known[at] == s.hashes
+                hashes = s.hashes & _mask(bits)
+                at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+                met = known[at] == hashes
                 n_docs[met] = times[at[met]]
             first = np.flatnonzero(np.diff(s.row, prepend=-1))
             drawn = draw(s.hashes, s.times * idf_weights(n_docs, n_texts), first)
@@ -354,7 +378,8 @@ def node_classes(docs: DataFrame, *, words: int = WORDS, similarity: float = SIM
     """node, component of all texts that are similar to another one; a component is named by its smallest node."""
     texts = written(distinct_texts(docs))
     n_texts, n_bytes = texts.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
-    drawn = written(signatures(texts, shared_shingles(texts, words, n_bytes), n_texts, words))
+    bits = range_bits(n_bytes)
+    drawn = written(signatures(texts, shared_shingles(texts, words, bits), n_texts, words, bits))
     bucketed = drawn.select("node", "size", F.posexplode("bands").alias("band", "key")).select(F.xxhash64("band", "key").alias("bucket"), "node", "size")
     shared = bucketed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = written(bucketed.join(shared, "bucket"))

@@ -27,5 +27,5 @@ def written(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder as Parquet and read back."""
     spark = df.sparkSession
     path = shared_folder(spark)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -40,7 +40,7 @@ def weigher(texts):
 
 
 def classes_of(texts, limit=0.8):
-    """Smallest id of every text's class, from all pairs of texts that share a shingle."""
+    """Smallest id of every text's class, from all pairs of texts."""
     sets, similarity = weigher(texts.values())
     parent = {w: w for w in sets}
 
@@ -50,13 +50,11 @@ def classes_of(texts, limit=0.8):
             i = parent[i]
         return i
 
-    having = collections.defaultdict(list)
-    for w, x in sets.items():
-        for s in x:
-            having[s].append(w)
-    for a, b in {(a, b) for group in having.values() for a in group for b in group if a < b}:
-        if root(a) != root(b) and similarity(a, b) >= limit:
-            parent[root(a)] = root(b)
+    nodes = list(sets)
+    for i, a in enumerate(nodes):
+        for b in nodes[i + 1 :]:
+            if not sets[a].keys().isdisjoint(sets[b]) and root(a) != root(b) and similarity(a, b) >= limit:
+                parent[root(a)] = root(b)
     least = {}
     for i, t in texts.items():
         if w := words_of(t):
@@ -181,13 +179,21 @@ def test_samples_agree_as_often_as_sets_are_alike():
     assert abs(same / 300 / 30 - 1 / 4) < 0.03  # (1) / (2 + 1 + 1)
 
 
+@pytest.mark.parametrize("bits", [4, 10, 20])
+def test_hashes_in_six_bytes(bits):
+    hashes = np.random.default_rng(1).integers(0, 1 << 64, 1000, np.uint64)
+    part = int(hashes[0]) >> (64 - bits)
+    of = hashes[hashes >> np.uint64(64 - bits) == part] & near_dup._mask(bits)
+    assert (near_dup._long(near_dup._short(of, bits), part, bits) == of).all()
+
+
 def test_counts_are_exact_whatever_the_chunks(spark, monkeypatch):
     monkeypatch.setattr(near_dup, "CHUNK_BYTES", 300)
     texts = [" ".join(f"w{(i * j) % 7}" for j in range(12)) for i in range(60)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     made = near_dup.distinct_texts(docs).cache()
-    shared = near_dup.shared_shingles(made, 5, 1 << 20)
-    rows = {bytes(r["node"]): np.frombuffer(r["counts"], np.uint32).tolist() for r in near_dup.signatures(made, shared, made.count(), 5).collect()}
+    shared = near_dup.shared_shingles(made, 5, 6)
+    rows = {bytes(r["node"]): np.frombuffer(r["counts"], np.uint32).tolist() for r in near_dup.signatures(made, shared, made.count(), 5, 6).collect()}
     sets = {words_of(t): shingles(words_of(t)) for t in texts}
     counts = collections.Counter(s for x in sets.values() for s in x)
     for r in made.collect():
