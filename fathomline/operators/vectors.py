@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..model import load, r6
+from ..model import load, r6, tokens
 
 VECTORS, QUERY_VECTORS = 2048, 512
 DEPTH = 20
@@ -60,12 +60,12 @@ def lane(spark: SparkSession, sf_dir: str, dims: int | None = None, depth: int =
     return search(v, v.where("vec_id % 20 = 0"), depth, dims)
 
 
-def _lane_sql(name: str, dims: int | None) -> str:
+def _lane_sql(name: str, dims: int | None, depth: int = DEPTH) -> str:
     cut = f"[1:{dims}]" if dims else ""
     return f"""{name} AS (SELECT query_id, query_label, vec_id, label, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM (
   SELECT q.vec_id AS query_id, q.label::BIGINT AS query_label, v.vec_id, v.label::BIGINT AS label,
     round(list_dot_product(q.e, v.e) / (sqrt(list_dot_product(q.e, q.e)) * sqrt(list_dot_product(v.e, v.e))), 6) AS score
-  FROM (SELECT vec_id, label, (embedding::DOUBLE[]){cut} AS e FROM embeddings WHERE vec_id % 20 = 0) q, (SELECT vec_id, label, (embedding::DOUBLE[]){cut} AS e FROM embeddings) v WHERE q.vec_id <> v.vec_id) QUALIFY rank <= {DEPTH})"""
+  FROM (SELECT vec_id, label, (embedding::DOUBLE[]){cut} AS e FROM embeddings WHERE vec_id % 20 = 0) q, (SELECT vec_id, label, (embedding::DOUBLE[]){cut} AS e FROM embeddings) v WHERE q.vec_id <> v.vec_id) QUALIFY rank <= {depth})"""
 
 
 LANES = f"{_lane_sql('d', None)}, {_lane_sql('c', COARSE)}"
@@ -176,36 +176,72 @@ def per_doc_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.withColumn("place", F.row_number().over(w).cast("long")).where("place <= 10").select("query_id", "vec_id", "label", "rank", "nth", "place")
 
 
-def knee_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many hits stand before the first gap of 0.01 and twice the median gap at least, between 3 and 12."""
-    w = Window.partitionBy("query_id").orderBy("rank")
-    g = lane(spark, sf_dir).withColumn("gap", F.round(F.col("score") - F.lead("score").over(w), 6))
-    m = g.groupBy("query_id").agg(F.median("gap").alias("mid"))
-    big = (F.col("gap") >= F.greatest(F.lit(0.01), F.round(2 * F.col("mid"), 6))) & F.col("rank").between(3, 12)
-    return g.join(m, "query_id").groupBy("query_id").agg(F.coalesce(F.min(F.when(big, F.col("rank"))), F.lit(12)).cast("long").alias("kept"))
+FLOOR, CEILING = 3, 12
 
 
-KNEE_SQL = f"""WITH {_lane_sql("d", None)}, g AS (SELECT query_id, rank, round(score - lead(score) OVER (PARTITION BY query_id ORDER BY rank), 6) AS gap FROM d), m AS (SELECT query_id, median(gap) AS mid FROM g GROUP BY 1)
-SELECT query_id, coalesce(min(rank) FILTER (gap >= greatest(0.01::DOUBLE, round(2 * mid, 6)) AND rank BETWEEN 3 AND 12), 12)::BIGINT AS kept FROM g JOIN m USING (query_id) GROUP BY 1"""
-
+def knee_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many hits stand before the largest gap between 3 and 12, if it is 0.01 and twice the median gap at least; null where there is none.
 
-def mmr_select(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Eight diverse hits of each query, chosen greedily from its 20: 0.72 score less 0.28 likeness to those chosen."""
-    v = load(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    pool = lane(spark, sf_dir).join(v, "vec_id").select("query_id", "vec_id", "score", "embedding")
+    Only the first 13 distances are looked at, and gaps under 0 don't count
+    for the median.  With fewer than four hits or two gaps there is no knee.
+    """
+    w = Window.partitionBy("query_id").orderBy("rank")
+    d = lane(spark, sf_dir).where(F.col("rank") <= CEILING + 1).withColumn("distance", F.round(1 - F.col("score"), 6))
+    g = d.withColumn("gap", F.round(F.col("distance") - F.lag("distance").over(w), 6)).withColumn("cut", F.col("rank") - 1)
+    m = g.groupBy("query_id").agg(F.median(F.when(F.col("gap") >= 0, F.col("gap"))).alias("mid"), F.count(F.when(F.col("gap") >= 0, 1)).alias("n_gaps"), F.count(F.lit(1)).alias("n"))
+    fits = F.col("cut").between(FLOOR, CEILING) & (F.col("gap") >= F.greatest(F.lit(0.01), F.round(2 * F.col("mid"), 6))) & (F.col("n") > FLOOR) & (F.col("n_gaps") > 1)
+    best = F.max(F.when(fits, F.struct("gap", (-F.col("cut")).alias("earlier"))))
+    return g.join(m, "query_id").groupBy("query_id").agg((-best["earlier"]).alias("kept"))
+
+
+KNEE_SQL = f"""WITH {_lane_sql("d", None)}, v AS (SELECT query_id, rank, round(1 - score, 6) AS distance FROM d WHERE rank <= {CEILING + 1}),
+g AS (SELECT query_id, rank - 1 AS cut, round(distance - lag(distance) OVER (PARTITION BY query_id ORDER BY rank), 6) AS gap FROM v),
+m AS (SELECT query_id, median(gap) FILTER (gap >= 0) AS mid, count(*) FILTER (gap >= 0) AS n_gaps, count(*) AS n FROM g GROUP BY 1),
+f AS (SELECT g.query_id, cut, gap FROM g JOIN m USING (query_id) WHERE cut BETWEEN {FLOOR} AND {CEILING} AND gap >= greatest(0.01::DOUBLE, round(2 * mid, 6)) AND n > {FLOOR} AND n_gaps > 1)
+SELECT query_id, (SELECT cut FROM f WHERE f.query_id = m.query_id ORDER BY gap DESC, cut LIMIT 1) AS kept FROM m"""
+
+
+#: Weights of relevance and diversity, penalties of a document and a page that are there already.
+RELEVANCE, DIVERSITY, DOC_REPEAT, PAGE_REPEAT = 0.72, 0.28, 0.06, 0.04
+MOST_OF_DOC, MOST_OF_PAGE, MOST_DOCS, MMR_PICKS = 2, 1, 6, 8
+
+
+def mmr_pick(frame: pd.DataFrame) -> pd.DataFrame:
+    """Greedy choice from a pool of (query_id, vec_id, doc, page, distance, words): of each page the nearest hit, then by relevance, likeness to those chosen, and repeats."""
+    frame = frame.sort_values(["distance", "vec_id"], ignore_index=True).drop_duplicates(["doc", "page"], ignore_index=True)
+    words = [frozenset(w) for w in frame["words"]]
+    like = lambda a, b: len(a & b) / len(a | b) if a and b else 0.0
+    chosen: list[int] = []
+    while len(chosen) < MMR_PICKS:
+        docs, pages = frame["doc"][chosen].tolist(), list(zip(frame["doc"][chosen], frame["page"][chosen], strict=True))
+        best, best_score = None, -np.inf
+        for i in range(len(frame)):
+            doc, page = frame["doc"][i], (frame["doc"][i], frame["page"][i])
+            full = len(set(docs)) >= MOST_DOCS and doc not in docs
+            if i in chosen or docs.count(doc) >= MOST_OF_DOC or pages.count(page) >= MOST_OF_PAGE or full:
+                continue
+            relevance = -frame["distance"][i]
+            if chosen:
+                relevance = RELEVANCE * relevance - DIVERSITY * max(like(words[i], words[j]) for j in chosen)
+            score = relevance - DOC_REPEAT * docs.count(doc) - PAGE_REPEAT * pages.count(page)
+            if score > best_score + 1e-12:
+                best, best_score = i, score
+        if best is None:
+            break
+        chosen.append(best)
+    return pd.DataFrame({"query_id": frame["query_id"][0], "vec_id": frame["vec_id"][chosen].to_numpy(), "place": np.arange(1, len(chosen) + 1)})
+
+
+def mmr_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id, vec_id, doc (label), page, distance, words of each query's 20 hits; a vector's words are those of the document of its id."""
+    texts = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), F.array_distinct(tokens(F.col("text"))).alias("words"))
+    hits = lane(spark, sf_dir).select("query_id", "vec_id", F.col("label").alias("doc"), (F.col("vec_id") % 5).alias("page"), F.round(1 - F.col("score"), 6).alias("distance"))
+    return hits.join(texts, "vec_id", "left").withColumn("words", F.coalesce("words", F.array().cast("array<string>")))
 
-    def pick(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["score", "vec_id"], ascending=[False, True], ignore_index=True)
-        m = np.array(frame["embedding"].tolist(), float)
-        m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-        like, chosen = m @ m.T, []
-        while len(chosen) < min(8, len(m)):
-            left = [i for i in range(len(m)) if i not in chosen]
-            value = [round(0.72 * frame["score"][i] - 0.28 * (max(like[i, j] for j in chosen) if chosen else 0), 6) for i in left]
-            chosen.append(left[int(np.argmax(value))])
-        return pd.DataFrame({"query_id": frame["query_id"][0], "vec_id": frame["vec_id"][chosen].to_numpy(), "place": np.arange(1, len(chosen) + 1)})
 
-    return pool.groupBy("query_id").applyInPandas(pick, "query_id bigint, vec_id bigint, place bigint")  # 20 rows to a group
+def mmr_select(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight diverse hits of each query, chosen greedily from its 20 (a choice depends on all before it, so a group of 20 rows goes to Python)."""
+    return mmr_pool(spark, sf_dir).groupBy("query_id").applyInPandas(mmr_pick, "query_id bigint, vec_id bigint, place bigint")
 
 
 QUERIES = {f.__name__: f for f in (dense_knn, multi_vector_min, rrf_fuse, boosted_fusion, protected_union, minmax_rerank, doc_routing, routed_stage2, per_doc_quota, knee_cut, mmr_select)}
@@ -217,7 +253,10 @@ ORACLES = {
     "protected_union": f"WITH {FUSED}, r AS (SELECT *, CASE WHEN dr <= 8 THEN 0 ELSE 1 END::BIGINT AS lane, round(rrf, 9) AS x FROM f) SELECT query_id, vec_id, lane, row_number() OVER (PARTITION BY query_id ORDER BY lane, CASE WHEN lane = 0 THEN dr END, x DESC, vec_id) AS place FROM r QUALIFY place <= 24",
     "minmax_rerank": MINMAX_SQL,
     "doc_routing": f"WITH {_lane_sql('d', None)}, {ROUTES} SELECT query_id, label, n, first, score, route, margin FROM ro",
-    "routed_stage2": f"WITH {_lane_sql('d', None)}, {ROUTES}, s AS (SELECT d.query_id, vec_id, d.label, round(1 - d.score - CASE route WHEN 1 THEN 0.2::DOUBLE ELSE 0.13::DOUBLE END, 6) AS distance FROM d JOIN ro ON ro.query_id = d.query_id AND ro.label = d.label AND route <= 2) SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS place FROM s QUALIFY place <= 10",
+    "routed_stage2": f"""WITH {_lane_sql('d', None)}, {ROUTES}, x AS (SELECT ro.query_id, v.vec_id, v.label::BIGINT AS label, route, (q.embedding::DOUBLE[]) AS a, (v.embedding::DOUBLE[]) AS b
+  FROM ro JOIN embeddings q ON q.vec_id = ro.query_id JOIN embeddings v ON v.label = ro.label AND v.vec_id <> ro.query_id WHERE route <= 2),
+s AS (SELECT query_id, vec_id, label, round(1 - round(list_dot_product(a, b) / (sqrt(list_dot_product(a, a)) * sqrt(list_dot_product(b, b))), 6) - CASE route WHEN 1 THEN 0.2::DOUBLE ELSE 0.13::DOUBLE END, 6) AS distance FROM x)
+SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS place FROM s QUALIFY place <= 10""",
     "per_doc_quota": f"WITH {_lane_sql('d', None)}, s AS (SELECT *, row_number() OVER (PARTITION BY query_id, label ORDER BY rank) AS nth FROM d QUALIFY nth <= 2) SELECT query_id, vec_id, label, rank, nth, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS place FROM s QUALIFY place <= 10",
     "knee_cut": KNEE_SQL,
 }
