@@ -202,9 +202,9 @@ TABLE_SQL = "WITH s AS (SELECT p_brand AS table_id, round(0.22::DOUBLE * count(*
 def set_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per source: good labelled against toxic documents as sets."""
     j = load(spark, sf_dir, "documents").join(load(spark, sf_dir, "labels"), "doc_id")
-    s = j.groupBy("source").agg(F.collect_set(F.when(F.col("quality") == 1, F.col("doc_id"))).alias("a"), F.collect_set(F.when(F.col("toxic") == 1, F.col("doc_id"))).alias("b"))
-    size = lambda c: F.size(c).cast("long")
-    return s.select("source", size(F.array_intersect("a", "b")).alias("both"), size(F.array_except("a", "b")).alias("only_good"), size(F.array_union("a", "b")).alias("any"), (F.size(F.array_except("b", "a")) == 0).alias("toxic_in_good"))
+    good, toxic = F.col("quality") == 1, F.col("toxic") == 1
+    n = lambda c: F.count(F.when(c, 1))
+    return j.groupBy("source").agg(n(good & toxic).alias("both"), n(good & ~toxic).alias("only_good"), n(good | toxic).alias("any"), (n(toxic & ~good) == 0).alias("toxic_in_good"))
 
 
 SET_SQL = "SELECT source, count(*) FILTER (quality = 1 AND toxic = 1) AS both, count(*) FILTER (quality = 1 AND toxic <> 1) AS only_good, count(*) FILTER (quality = 1 OR toxic = 1) AS any, count(*) FILTER (toxic = 1 AND quality <> 1) = 0 AS toxic_in_good FROM documents JOIN labels USING (doc_id) GROUP BY 1"

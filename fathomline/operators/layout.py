@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..model import load
@@ -41,23 +41,18 @@ def boxes(parts: DataFrame) -> DataFrame:
 
 
 def block_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Blocks of a page in reading order, merged with the one above where the gap is small and the columns agree."""
-
-    def merge(frame: pd.DataFrame) -> pd.DataFrame:
-        out: list[list] = []
-        for r in frame.sort_values(["x0", "y0", "block"]).itertuples(index=False):
-            if out and abs(out[-1][2] - r.x0) <= 25 and -1e9 < r.y0 - out[-1][5] <= 15:
-                out[-1][3], out[-1][5], out[-1][6] = max(out[-1][3], r.x1), max(out[-1][5], r.y1), out[-1][6] + 1
-            else:
-                out.append([r.page, r.block, r.x0, r.x1, r.y0, r.y1, 1])
-        return pd.DataFrame(out, columns=["page", "block", "x0", "x1", "y0", "y1", "n"])
-
-    return boxes(load(spark, sf_dir, "part")).groupBy("page").applyInPandas(merge, "page bigint, block bigint, x0 double, x1 double, y0 double, y1 double, n bigint")
+    """Blocks of a page in reading order, merged with the one above where the gap is small and the columns agree: gaps and islands."""
+    order = Window.partitionBy("page").orderBy("x0", "y0", "block")
+    above = F.max("y1").over(Window.partitionBy("page", "x0").orderBy("y0", "block").rowsBetween(Window.unboundedPreceding, -1))
+    joins = (F.lag("x0").over(order) == F.col("x0")) & (F.col("y0") - above <= 15)
+    begun = boxes(load(spark, sf_dir, "part")).withColumn("begins", F.when(joins, 0).otherwise(1))
+    runs = begun.withColumn("run", F.sum("begins").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    first = F.min(F.struct("y0", "block"))["block"].alias("block")
+    return runs.groupBy("page", "run").agg(first, F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("y0").alias("y0"), F.max("y1").alias("y1"), F.count(F.lit(1)).alias("n")).drop("run")
 
 
 QUERIES = {f.__name__: f for f in (farthest_point, block_merge)}
 ORACLES = {
-    # the merge is a run of blocks, each near the lowest edge before it: gaps and islands
     "block_merge": """WITH b AS (SELECT p_partkey // 100 AS page, p_partkey AS block, (p_partkey % 3 * 200)::DOUBLE AS x0, (p_partkey % 3 * 200 + 150)::DOUBLE AS x1, (p_partkey % 97 * 10)::DOUBLE AS y0, (p_partkey % 97 * 10 + 8)::DOUBLE AS y1 FROM part),
 g AS (SELECT *, CASE WHEN lag(x0) OVER w = x0 AND y0 - max(y1) OVER (PARTITION BY page, x0 ORDER BY y0, block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) <= 15 THEN 0 ELSE 1 END AS s FROM b WINDOW w AS (PARTITION BY page ORDER BY x0, y0, block)),
 k AS (SELECT *, sum(s) OVER (PARTITION BY page ORDER BY x0, y0, block ROWS UNBOUNDED PRECEDING) AS k FROM g)

@@ -13,9 +13,8 @@ TOP = 5
 
 def postings(docs: DataFrame) -> DataFrame:
     """doc_id, term, tf, len: one row per document and term."""
-    words = docs.select("doc_id", F.explode(tokens(F.col("text"))).alias("term"))
-    tf = words.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
-    return tf.withColumn("len", F.sum("tf").over(Window.partitionBy("doc_id")))
+    words = docs.select("doc_id", tokens(F.col("text")).alias("w")).select("doc_id", F.size("w").cast("long").alias("len"), F.explode("w").alias("term"))
+    return words.groupBy("doc_id", "term", "len").agg(F.count(F.lit(1)).alias("tf")).select("doc_id", "term", "tf", "len")
 
 
 def query_terms(items: DataFrame) -> DataFrame:
@@ -26,13 +25,16 @@ def query_terms(items: DataFrame) -> DataFrame:
 def top_ranked(scored: DataFrame, group: str, item: str, n: int) -> DataFrame:
     """The ``n`` best items of each group with their rank; ties by item."""
     w = Window.partitionBy(group).orderBy(F.desc("score"), item)
-    return scored.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= n)
+    # a bare row number under a bound: each task sends its own best rows only
+    best = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+    return best.withColumn("rank", F.col("rank").cast("long"))
 
 
 def okapi(docs: DataFrame, items: DataFrame) -> DataFrame:
     """item_id, doc_id, score of every document that shares a term; scores of zero or less are dropped."""
     p = postings(docs)
-    sizes = docs.agg(F.count(F.lit(1)).alias("n"), (F.sum(F.size(tokens(F.col("text")))) / F.count(F.lit(1))).alias("avgdl"))
+    # the occurrences of all postings are all words: their shuffle is shared
+    sizes = docs.agg(F.count(F.lit(1)).alias("n")).join(p.agg(F.sum("tf").alias("words")), F.lit(True), "left").select("n", (F.col("words") / F.col("n")).alias("avgdl"))
     df = p.groupBy("term").agg(F.count(F.lit(1)).alias("df")).join(sizes, F.lit(True), "left")
     raw = df.withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.agg(F.avg("raw").alias("mean"))
