@@ -1,10 +1,13 @@
 """Every query with SQL gives the rows of its SQL; the others are held against brute force."""
 
+import statistics
+
 import numpy as np
 import pytest
 from oracle import SF, rows_of, sql_rows
 
 from fathomline import registry
+from fathomline.operators import vectors
 
 
 @pytest.mark.parametrize("name", sorted(registry.ORACLES))
@@ -17,11 +20,49 @@ def test_names_match():
     assert registry.FLAGSHIP in registry.QUERIES
 
 
-def test_mmr_takes_the_best_hit_first(spark):
-    best = {r["query_id"]: r["vec_id"] for r in registry.QUERIES["dense_knn"](spark, SF).where("rank = 1").collect()}
-    picked = registry.QUERIES["mmr_select"](spark, SF).collect()
-    assert {r["query_id"]: r["vec_id"] for r in picked if r["place"] == 1} == best
-    assert len({(r["query_id"], r["vec_id"]) for r in picked}) == len(picked)
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a and b else 0.0
+
+
+def test_diverse_choice_against_brute_force(spark):
+    pool = {}
+    for r in vectors.mmr_pool(spark, SF).collect():
+        pool.setdefault(r["query_id"], []).append((r["distance"], r["vec_id"], r["doc"], r["page"], set(r["words"])))
+    expected = set()
+    for q, rows in pool.items():
+        best = {}
+        for row in sorted(rows, key=lambda r: r[:2]):
+            best.setdefault(row[2:4], row)
+        left, chosen = sorted(best.values(), key=lambda r: r[:2]), []
+        while left and len(chosen) < 8:
+            docs = [c[2] for c in chosen]
+            allowed = [r for r in left if docs.count(r[2]) < 2 and (r[2] in docs or len(set(docs)) < 6)]
+            if not allowed:
+                break
+
+            def score(r):
+                relevance = 0.72 * -r[0] - 0.28 * max(jaccard(r[4], c[4]) for c in chosen) if chosen else -r[0]  # noqa: B023
+                return relevance - 0.06 * docs.count(r[2])  # noqa: B023
+
+            top = max(map(score, allowed))
+            pick = next(r for r in allowed if score(r) > top - 1e-12)
+            left.remove(pick)
+            chosen.append(pick)
+        expected |= {(q, r[1], i) for i, r in enumerate(chosen, 1)}
+    got = registry.QUERIES["mmr_select"](spark, SF).collect()
+    assert {(r["query_id"], r["vec_id"], r["place"]) for r in got} == expected
+
+
+def test_knees_by_the_rule(spark):
+    hits = {}
+    for r in vectors.lane(spark, SF).collect():
+        hits.setdefault(r["query_id"], []).append((r["rank"], round(1 - r["score"], 6)))
+    for r in registry.QUERIES["knee_cut"](spark, SF).collect():
+        d = [x for _, x in sorted(hits[r["query_id"]])][:13]
+        gaps = [round(b - a, 6) for a, b in zip(d, d[1:])]
+        least = max(0.01, round(2 * statistics.median([g for g in gaps if g >= 0]), 6))
+        fits = [(g, -cut) for cut, g in enumerate(gaps, 1) if 3 <= cut <= 12 and g >= least]
+        assert r["kept"] == (-max(fits)[1] if fits else None)
 
 
 def test_the_second_stage_searches_all_rows_of_the_routed_labels(spark, tmp_path):
@@ -42,15 +83,32 @@ def test_the_second_stage_searches_all_rows_of_the_routed_labels(spark, tmp_path
     assert {(r["query_id"], r["vec_id"], r["place"]) for r in got} == expected
 
 
-def test_farthest_points_are_distinct(spark):
-    rows = registry.QUERIES["farthest_point"](spark, SF).collect()
-    assert len({r["p_partkey"] for r in rows}) == len(rows)
-    assert max(r["place"] for r in rows) == 12
+def test_farthest_points_against_brute_force(spark):
+    pages = {}
+    for r in spark.read.parquet(f"{SF}/part.parquet").collect():
+        name = r["p_name"] or ""
+        pages.setdefault(r["p_partkey"] // 100, {})[r["p_partkey"]] = {name[i : i + 3] for i in range(max(1, len(name) - 2))}
+    expected = set()
+    for page, grams in pages.items():
+        far = lambda a, b: 1 - len(a & b) / max(1, len(a | b))
+        chosen = [min(grams, key=lambda k: (-len(grams[k]), k))]  # noqa: B023
+        while len(chosen) < min(12, len(grams)):
+            rest = [k for k in sorted(grams) if k not in chosen]
+            chosen.append(max(rest, key=lambda k: (min(far(grams[k], grams[c]) for c in chosen), -k)))  # noqa: B023
+        expected |= {(page, k, i) for i, k in enumerate(chosen, 1)}
+    got = registry.QUERIES["farthest_point"](spark, SF).collect()
+    assert {(r["page"], r["p_partkey"], r["place"]) for r in got} == expected
 
 
-def test_boundary_chunks_cover_every_word(spark):
-    words = {r["doc_id"]: len((r["text"] or "").split()) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
-    rows = registry.QUERIES["boundary_chunks"](spark, SF).toPandas()
-    assert (rows.groupby("doc_id")["n_words"].sum() == rows["doc_id"].drop_duplicates().map(words).to_numpy()).all()
-    assert rows["n_words"].max() <= 120
-    assert np.isin(rows["doc_id"].unique(), list(words)).all()
+def test_boundary_chunks_against_brute_force(spark):
+    expected = set()
+    for r in spark.read.parquet(f"{SF}/documents.parquet").collect():
+        words, at, chunk = (r["text"] or "").split(), 0, 0
+        while at < len(words):
+            n = len(words[at : at + 120])
+            ends = [k for k in range(81, n + 1) if words[at + k - 1].endswith((".", "!", "?"))]
+            n = max(ends) if ends and at + n < len(words) else n
+            expected.add((r["doc_id"], chunk, at, n))
+            at, chunk = at + n, chunk + 1
+    got = registry.QUERIES["boundary_chunks"](spark, SF).collect()
+    assert {(r["doc_id"], r["chunk"], r["first_word"], r["n_words"]) for r in got} == expected
