@@ -3,6 +3,7 @@
 import collections
 import gzip
 import ipaddress
+import math
 import random
 import re
 import zlib
@@ -306,5 +307,63 @@ def test_probabilities_add_up(spark):
     assert len(models.languages) == 2 and set(counts["n"]) == {1, 2, 3, 4}
 
 
+def kneser_ney(samples, order=4, discount=0.75):
+    """language -> cross-entropy of a text, by dictionaries: letters in lower case, single spaces, one before each text."""
+    plain = lambda t: " " + " ".join("".join(c.lower() if c.isalpha() else " " for c in t).split()) + (" " if t and not t[-1].isalpha() else "")
+    counts = {lang: collections.Counter() for lang, _ in samples}
+    for lang, text in samples:
+        t = plain(text)
+        counts[lang].update(t[i : i + n] for n in range(1, order + 1) for i in range(len(t) - n + 1))
+    kinds = len({g for c in counts.values() for g in c if len(g) == 1}) + 1
+
+    def weights(lang, n):
+        grams = counts[lang]
+        if n == order:
+            return {g: v for g, v in grams.items() if len(g) == n}
+        return collections.Counter(g[1:] for g in grams if len(g) == n + 1)
+
+    tables = {lang: {n: weights(lang, n) for n in range(1, order + 1)} for lang in counts}
+    heads = {lang: {n: collections.defaultdict(list) for n in t} for lang, t in tables.items()}
+    for lang, t in tables.items():
+        for n, w in t.items():
+            for g, v in w.items():
+                heads[lang][n][g[:-1]].append(v)
+
+    def p(lang, gram):
+        n = len(gram)
+        if n == 0:
+            return 1 / kinds
+        beside = heads[lang][n].get(gram[:-1], [])
+        lower = p(lang, gram[1:])
+        if not beside:
+            return lower
+        return max(tables[lang][n].get(gram, 0) - discount, 0) / sum(beside) + discount * len(beside) / sum(beside) * lower
+
+    def entropy(lang, text):
+        t = plain(text)
+        return -sum(math.log(p(lang, t[max(0, i - order + 1) : i + 1])) for i in range(len(t))) / len(t)
+
+    return entropy
+
+
+def test_entropies_against_brute_force(spark):
+    samples = [("en", "The cat sat on the mat, the rat ran."), ("en", "A hat and a bat"), ("de", "Die Katze saß auf der Matte"), ("de", "der Hut und die Ratte")]
+    models = language.Models(language.gram_counts(spark.createDataFrame(samples, "lang string, text string")))
+    exact = kneser_ney(samples)
+    texts = ["the mat", "die Matte", "Xylophon q", "a", "Über 12 Katzen. "]
+    got, _ = models.entropies(texts)
+    for i, text in enumerate(texts):
+        for j, lang in enumerate(models.languages):
+            assert abs(got[i, j] - exact(lang, text)) < 1e-4, (text, lang)
+
+
+def test_one_odd_row_disables_no_rejection(spark):
+    rows = [(i, " ".join(f"{a}{b}" for a in ("the", "cat", "mat") for b in (" sat", " on", f" ran{'abcdefgh'[i % 8]}")), "en") for i in range(400)]
+    odd = [(1000 + i, "ξψζ ωφχ " * 9, "en") for i in range(1)]
+    strange = spark.createDataFrame([(1, "ђћџ љњж " * 9)], "doc_id bigint, text string")
+    models = language.fit(spark.createDataFrame(rows + odd, "doc_id bigint, text string, lang string"))
+    assert language.identify(strange, models).first()["rejected"]
+
+
 def test_scratch_is_new_each_time(spark):
     assert shared_folder(spark) != shared_folder(spark)
