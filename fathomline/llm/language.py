@@ -29,7 +29,7 @@ MAX_TEXTS, MAX_CALIBRATION = 2000, 1000
 #: Characters of the texts of each language that counts come from.
 MAX_CHARACTERS = 8_000_000
 #: A text is rejected beyond this quantile of the entropies of labelled texts, plus so many nats.
-QUANTILE, SLACK = 0.99, 0.5
+QUANTILE, SLACK = 0.995, 0.75
 #: Letters of a text depend on each other: they count as so many independent ones at most in the score.
 EVIDENCE = 100
 NO_LANGUAGE = "und"
