@@ -41,7 +41,8 @@ _HEX = "[0-9A-Fa-f]{1,4}"
 #: kind: pattern; of two that fit at a place the first is taken.
 PATTERNS = {
     "secret": r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])|(?<![A-Za-z0-9])(?:gh[pousr]_[A-Za-z0-9]{36,}|sk-[A-Za-z0-9]{20,}|xox[baprs]-[A-Za-z0-9-]{10,})"
-    rf"|(?<={_SECRET_CUE}[\"']? ?[=:] ?[\"']?)(?=[A-Za-z+/_\-]*[0-9])[A-Za-z0-9+/_\-]{{8,}}",
+    # the short look behind rules nearly all places out before the long one
+    rf"|(?<=[=:] ?[\"']?)(?<={_SECRET_CUE}[\"']? ?[=:] ?[\"']?)(?=[A-Za-z+/_\-]*[0-9])[A-Za-z0-9+/_\-]{{8,}}",
     "email": r"(?<![\p{L}0-9._%+\-])[\p{L}0-9._%+\-]+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ip": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9]|\.[0-9])",
@@ -51,24 +52,35 @@ PATTERNS = {
     "card": r"(?<![0-9A-Za-z.])(?:(?:4[0-9]{3}|5[1-5][0-9]{2}|2(?:22[1-9]|2[3-9][0-9]|[3-6][0-9]{2}|7[01][0-9]|720)|35[0-9]{2}|6(?:011|5[0-9]{2}|4[4-9][0-9]|2[0-9]{2}))(?:[ \-]?[0-9]{4}){3}|3[47][0-9]{2}[ \-]?[0-9]{6}[ \-]?[0-9]{5})(?![0-9A-Za-z])",
     "ssn": r"(?<![0-9\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-])",
     "phone": r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .\-]?)?\([0-9]{2,4}\)[ .\-]?[0-9]{3,4}[ .\-]?[0-9]{3,4}(?![0-9])|(?<![0-9A-Za-z.\-])\+[0-9]{1,3}(?:[ .\-]?[0-9]{2,4}){2,5}(?![0-9])|(?<![0-9A-Za-z.\-])[0-9]{3}[ .\-][0-9]{3}[ .\-][0-9]{4}(?![0-9.\-])",
-    "name": rf"(?<!\p{{L}})(?:{_TITLE})\.? {_NAME}(?: {_NAME})?|(?<={_NAME_CUE} ?)(?<!\p{{L}}){_NAME} {_NAME}(?!\p{{L}})",
+    "name": rf"(?<!\p{{L}})(?:{_TITLE})\.? {_NAME}(?: {_NAME})?|(?<=[ :,])(?={_NAME} \p{{Lu}})(?<={_NAME_CUE} ?){_NAME} {_NAME}(?!\p{{L}})",
 }
 PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: As ``PATTERN``, with secrets as its one group: they can have the form of any other kind.
 _SECRET_GROUP = "|".join(f"({p})" if k == "secret" else f"(?:{p})" for k, p in PATTERNS.items())
 #: What every secret has or follows.
 _SECRET_HINT = rf"AKIA|ASIA|gh[pousr]_|sk-|xox|{_SECRET_CUE}[\"']? ?[=:]"
-#: What every entity has: most texts without it need no further look.
-HINT = rf"[0-9@]|(?:{_TITLE})\.? \p{{Lu}}|{_NAME_CUE} ?\p{{Lu}}|sk-|xox|gh[pousr]_"
+#: One of these, or a digit or an at sign, is in every text with an entity.
+HINTS = ["AKIA", "ASIA", "sk-", "xox", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", *sorted({t for ts in TITLES.values() for t in ts})]
+LOWER_HINTS = ["my name is", "name:", "name :", "signed", "regards,", "sincerely,", "contact"]
+
+
+def hinted(text: Column) -> Column:
+    """Whether a text may hold an entity: plain searches are faster than a pattern, and most texts need no further look."""
+    low = F.lower(text)
+    found = text.rlike("[0-9@]")
+    for h in HINTS:
+        found = found | text.contains(h)
+    for h in LOWER_HINTS:
+        found = found | low.contains(h)
+    return found
 
 
 def entities_of(text: Column) -> Column:
     """mention, secret (whether it matched as one) of the mentions in their order; none in a null text."""
-    none = F.array().cast("array<string>")
     found = lambda pattern, group: F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    mentions = F.coalesce(F.when(text.rlike(HINT), found(PATTERN, 0)), none)
-    secrets = F.when(text.rlike(_SECRET_HINT), found(_SECRET_GROUP, 1)).otherwise(none)
-    return F.zip_with(mentions, secrets, lambda m, s: F.struct(m.alias("mention"), (F.coalesce(s, F.lit("")) != "").alias("secret")))
+    plain = F.transform(found(PATTERN, 0), lambda m: F.struct(m.alias("mention"), F.lit(False).alias("secret")))
+    marked = F.zip_with(found(PATTERN, 0), found(_SECRET_GROUP, 1), lambda m, s: F.struct(m.alias("mention"), (s != "").alias("secret")))
+    return F.coalesce(F.when(hinted(text), F.when(text.rlike(_SECRET_HINT), marked).otherwise(plain)), F.array().cast("array<struct<mention:string,secret:boolean>>"))
 
 
 def kind_of(mention: Column) -> Column:
