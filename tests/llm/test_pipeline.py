@@ -31,10 +31,6 @@ def test_stages(spark):
     assert packed.select("doc_id").distinct().count() == docs.count()
 
 
-def test_run(spark):
-    assert corpus_pipeline.run(spark, SF).count() > 0
-
-
 @pytest.fixture(scope="module")
 def wide(odd):
     """Odd rows with columns whose names stages use themselves."""

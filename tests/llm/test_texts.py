@@ -212,26 +212,28 @@ def test_colliding_surrogates_are_drawn_again(spark, monkeypatch):
         assert len(set(texts)) == 40 and not any("b.org" in t for t in texts)
 
 
-def mentions_of(spark, text):
-    row = spark.createDataFrame([(text,)], "text string").select(pii.described(pii.entities_of(F.col("text"))).alias("e")).first()
-    return [(e["mention"], e["kind"]) for e in row["e"]]
-
-
-@pytest.mark.parametrize(
-    "text, kind",
-    [("API_KEY=abcd1234efgh5678", "secret"), ("Password: hunter2secret99", "secret"), ("password=123456789013", "secret"), ("token: AB12CDEF34", "secret"), ('"api-key": "x1y2z3w4v5"', "secret"),
-     ("from 2001:db8::8a2e:370:7334 on", "ip6"), ("fe80::1ff:fe23:4567:890a", "ip6"), ("my name is John Smith", "name"), ("DE89 3704 0044 0532 0130 00", "iban")],
-)
-def test_probes_are_found_and_replaced(spark, text, kind):
-    (mention, found), = mentions_of(spark, text)
-    assert found == kind
-    got = pii.replace_pii(spark.createDataFrame([(1, text)], "doc_id bigint, text string"), key="k").first()["text"]
-    assert mention not in got and len(got) == len(text) or kind == "name"
-
-
-@pytest.mark.parametrize("text", ["at 12:30:45 std::vector x[::2]", "version 1.2.3 of 2024-01-01", "the secret: nothing", "name: unknown thing"])
-def test_what_is_no_entity(spark, text):
-    assert mentions_of(spark, text) == []
+def mentions_of(spark, texts):
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string").select("i", pii.described(pii.entities_of(F.col("text"))).alias("e")).collect()
+    return [[(e["mention"], e["kind"]) for e in r["e"]] for r in sorted(rows)]
+
+
+PROBES = {
+    "API_KEY=abcd1234efgh5678": "secret", "Password: hunter2secret99": "secret", "password=123456789013": "secret", "token: AB12CDEF34": "secret", '"api-key": "x1y2z3w4v5"': "secret",
+    "from 2001:db8::8a2e:370:7334 on": "ip6", "fe80::1ff:fe23:4567:890a": "ip6", "my name is John Smith": "name", "DE89 3704 0044 0532 0130 00": "iban",
+}
+
+
+def test_probes_are_found_and_replaced(spark):
+    found = mentions_of(spark, PROBES)
+    assert [[kind for _, kind in f] for f in found] == [[k] for k in PROBES.values()]
+    docs = spark.createDataFrame(list(enumerate(PROBES)), "doc_id bigint, text string")
+    for r in pii.replace_pii(docs, key="k").collect():
+        text, ((mention, kind),) = list(PROBES)[r["doc_id"]], found[r["doc_id"]]
+        assert mention not in r["text"] and (len(r["text"]) == len(text) or kind == "name")
+
+
+def test_what_is_no_entity(spark):
+    assert mentions_of(spark, ["at 12:30:45 std::vector x[::2]", "version 1.2.3 of 2024-01-01", "the secret: nothing", "name: unknown thing", "", None]) == [[]] * 6
 
 
 def test_surrogates_keep_their_form(spark):
