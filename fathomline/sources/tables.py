@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -60,3 +63,13 @@ def where_clause(condition: dict) -> Column:
     for x in parts[1:]:
         out = out & x
     return out
+
+
+def scratch_folder(spark: SparkSession) -> str:
+    """A new sub-folder of ``spark.checkpoint.dir``; where that is unset a session on one machine takes a temporary folder, and on a cluster it is an error."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="fathomline-")
+    return f"{base.rstrip('/')}/fathomline-{uuid.uuid4().hex}"

@@ -8,23 +8,12 @@ than that are dropped, and a session is written once, when it is over.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from ..model import load
-
-
-def _folder(spark: SparkSession) -> str:
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="fathomline-stream-")
-    return f"{base.rstrip('/')}/fathomline-stream-{uuid.uuid4().hex}"
+from ..sources.tables import scratch_folder
 
 
 def events_stream(spark: SparkSession, sf_dir: str, files_per_trigger: int | None = None) -> DataFrame:
@@ -59,7 +48,7 @@ def stream_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = events_stream(spark, sf_dir).withWatermark("ts", "2 days")
     d = e.groupBy(F.window("ts", "1 day"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 6).alias("total"), F.max("value").alias("most"))
     out = d.select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "event_type", "n", "total", "most")
-    return _changes(out, ["day", "event_type"], "n", _folder(spark))
+    return _changes(out, ["day", "event_type"], "n", scratch_folder(spark))
 
 
 SESSION_GAP, SESSION_DELAY, REPEAT_DELAY = "6 hours", "1 day", "2 hours"
@@ -80,7 +69,7 @@ def first_of_minute(events: DataFrame) -> DataFrame:
 
 def appended(out: DataFrame) -> DataFrame:
     """Run ``out`` in append mode and read what it wrote."""
-    folder = _folder(out.sparkSession)
+    folder = scratch_folder(out.sparkSession)
     finished(out.writeStream.format("parquet").option("path", f"{folder}/out").outputMode("append"), folder)
     return out.sparkSession.read.schema(out.schema).parquet(f"{folder}/out")
 
