@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from .operators import corpus, evidence, grounding, hybrid, layout, reports, scalars, tables, texts, vectors, voyages
+from .operators import corpus, evidence, grounding, hybrid, layout, lookups, reports, scalars, tables, texts, vectors, voyages
 from .streaming import twins
 
-_MODULES = (voyages, texts, vectors, hybrid, evidence, tables, grounding, scalars, corpus, layout, reports, twins)
+_MODULES = (voyages, texts, vectors, hybrid, evidence, tables, grounding, scalars, corpus, lookups, layout, reports, twins)
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
 FLAGSHIP = "carbon_rating"
