@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_counts, chat, decontaminate, language, near_dup, packing, pii, quality, training_order, warc
+from . import bpe_counts, chat, collocations, decontaminate, filter_audit, language, near_dup, packing, pii, quality, simhash, training_order, warc
 from .scratch import shared_folder, written
 
 #: Key of the training order and of surrogates; a production run takes its own from a secret store.
@@ -99,6 +99,22 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > 512)
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and what links of two bits or fewer join."""
+    found = simhash.simhash_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The strongest phrases of each language in all documents."""
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five filters on all documents in every order."""
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_near_duplicates": op1_near_duplicates,
     "op2_decontamination": op2_decontamination,
@@ -110,10 +126,15 @@ QUERIES = {
     "op8_pii": op8_pii,
     "op9_language_id": op9_language_id,
     "op10_token_counts": op10_token_counts,
+    "op11_simhash": op11_simhash,
+    "op12_collocations": op12_collocations,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 ORACLES: dict[str, str] = {
     "op2_decontamination": decontaminate.SQL,
     "op4_chat_format": chat.SQL,
     "op5_warc": warc.SQL,
+    "op12_collocations": collocations.SQL,
+    "op13_filter_audit": filter_audit.SQL,
 }
