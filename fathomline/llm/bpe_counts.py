@@ -18,8 +18,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textarrays import slices
-from .tokens import _KIND, Kept, unique_units
+from .textarrays import numbered, slices
+from .tokens import _KIND, Kept
 
 #: Fixed: how the byte-level vocabulary cuts texts into pre-tokens.
 PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -136,8 +136,8 @@ class TokenCounter:
             cut[after - 1] = True  # the last white-space character leaves the others, with what follows or by itself
             cut[offsets[offsets < len(data)]] = True
             start = np.flatnonzero(cut)
-            hashes, inverse, texts = unique_units(data, start, np.append(start[1:], len(data)))
-            number = self.kept.find(hashes, texts, self._make)[inverse]
+            unit, units = numbered(data, start, np.append(start[1:], len(data)))
+            number = self.kept.find(units, self._make)[unit]
             total = np.concatenate([[0], np.cumsum(self.kept.values[number].astype(np.int64))])
             bounds = np.searchsorted(start, offsets, "left")
             n_tokens[row:end] = total[bounds[1:]] - total[bounds[:-1]]

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .hotkeys import hot_keys, spread_join
 from .scratch import written
-from .textarrays import LOWER, Hasher, per_row, ragged_take, runs, slices
+from .textarrays import LOWER, hashed, mix, numbered, per_row, runs, slices, spans, strings
 
 WORDS, LEAST, TOP, COVERED = 4, 30, 2000, 80
 #: Bytes of pieces that are counted at once, bytes that go into duckdb at once, and its memory: they change no result.
@@ -37,12 +37,6 @@ _BLOCK = pa.schema([("lang", pa.string()), ("words", pa.int8()), ("phrase", pa.b
 # --- pieces ---------------------------------------------------------------------------------------
 
 
-def _strings(values: np.ndarray, ends: np.ndarray) -> pa.Array:
-    """Consecutive parts of ``values`` that end at ``ends``, as binary values."""
-    offsets = np.concatenate([[0], ends]).astype(np.int64)
-    return pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
-
-
 def pieces_of(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]:
     """The pieces of a slice of texts that have words, one space between two, and the row of each."""
     data = LOWER[data]
@@ -61,7 +55,7 @@ def pieces_of(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarr
     letters = np.ones(len(joined), bool)
     letters[upto[~last] - 1] = False
     joined[letters] = data[inside]
-    return _strings(joined, upto[last]), row[new]
+    return strings(joined, upto[last]), row[new]
 
 
 def pieces(docs: DataFrame) -> DataFrame:
@@ -104,17 +98,17 @@ def chunk_counts(lang: pa.Array, piece: pa.Array, m: np.ndarray, buckets: int, w
     counts, bounds = per_row(start, offsets)
     row = np.repeat(np.arange(len(counts)), counts)
     left = bounds[1:][row] - np.arange(len(start))  # words from here to the end of the piece
-    letters, sizes = ragged_take(data, np.stack([start, end], axis=1).ravel(), np.arange(0, 2 * len(start), 2))
-    coded = _strings(letters, np.cumsum(sizes)).dictionary_encode()
+    unit, units = numbered(data, start, end)
     # numbers in the order of words, so that like phrases stand together and pack well
-    place = np.argsort(np.argsort(np.array(coded.dictionary.to_pylist(), object))) if len(coded.dictionary) else np.zeros(0, np.int64)
-    tongues = lang.dictionary_encode()
-    word = tongues.indices.to_numpy().astype(np.int64)[row] * len(coded.dictionary) + place[coded.indices.to_numpy()]
-    hasher = Hasher(data)
+    place = np.argsort(np.argsort(np.array(units.to_pylist(), object), kind="stable"), kind="stable") if len(units) else np.zeros(0, np.int64)
+    word = lang.dictionary_encode().indices.to_numpy().astype(np.int64)[row] * len(units) + place[unit]
+    named = hashed(units)[unit]
+    mixed = np.zeros(len(start), np.uint64)
     number: dict[int, np.ndarray] = {}
     parts = []
     for n in range(1, words + 1):
         at = np.flatnonzero(left >= n)
+        mixed[at] = mix(mixed[at] * np.uint64(0x9E3779B97F4A7C15) + named[at + n - 1])
         if n == 1:
             keys = word
         else:  # the phrase without its last two words, or last one, and those: both have a number of their own
@@ -125,12 +119,11 @@ def chunk_counts(lang: pa.Array, piece: pa.Array, m: np.ndarray, buckets: int, w
         number[n][at] = own
         first = at[first]
         a, b = start[first], end[first + n - 1]
-        parts.append(((hasher.spans(a, b) % np.uint64(buckets)).astype(np.int64), row[first], np.full(len(first), n, np.int8), a, b, f))
+        parts.append(((mixed[first] % np.uint64(buckets)).astype(np.int64), row[first], np.full(len(first), n, np.int8), a, b, f))
     bucket, owner, n_words, a, b, f = (np.concatenate(x) for x in zip(*parts, strict=True))
     order = np.argsort(bucket, kind="stable")
     bucket, a, b = bucket[order], a[order], b[order]
-    letters, sizes = ragged_take(data, np.stack([a, b], axis=1).ravel(), np.arange(0, 2 * len(a), 2))
-    phrase = _strings(letters, np.cumsum(sizes)).cast(pa.binary())
+    phrase = spans(data, a, b).cast(pa.binary())
     table = pa.record_batch([lang.take(pa.array(owner[order])).cast(pa.string()), pa.array(n_words[order]), phrase, pa.array(f[order])], schema=_BLOCK)
     edge = np.flatnonzero(np.diff(bucket, prepend=-1))
     for begin, size in zip(edge.tolist(), np.diff(np.append(edge, len(bucket))).tolist(), strict=True):

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import written
-from .textarrays import WHITE, Hasher, mix, per_row, row_sums, runs, slices, windows
+from .textarrays import WHITE, numbered, per_row, row_sums, runs, slices
 
 TREES, SUBSAMPLE, DEPTH = 100, 256, 8
 #: Labelled rows that the trees may be grown from.
@@ -32,9 +32,9 @@ _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 
 
-def _repeated(hashes: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of each hash, whether its row has it twice or more, and whether it had it before."""
-    key = mix(hashes ^ (row.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9FB21C651E98DF25))
+def _repeated(numbers: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each unit, whether its row has it twice or more, and whether it had it before."""
+    key = row * (numbers.max(initial=0) + 1) + numbers
     _, first, inverse, times = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
     again = np.ones(len(key), bool)
     again[first] = False
@@ -44,9 +44,8 @@ def _repeated(hashes: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def slice_statistics(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     """The ``STATISTICS`` of each row of a slice."""
     n = len(offsets) - 1
-    hasher = Hasher(data)
     start, end = runs(~WHITE[data], offsets)
-    words, (n_words, bounds) = hasher.spans(start, end), per_row(start, offsets)
+    (words, distinct), (n_words, bounds) = numbered(data, start, end), per_row(start, offsets)
     row = np.repeat(np.arange(n), n_words)
     by_byte = lambda mask: row_sums(mask, offsets)
     word_chars = by_byte(~WHITE[data] & ((data & 0xC0) != 0x80))
@@ -55,8 +54,8 @@ def slice_statistics(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     place = np.arange(len(words)) - bounds[:-1][row]
     whole = np.flatnonzero(place + 3 <= n_words[row])
     if len(whole):
-        three, owner = windows(words, n_words, bounds, 3)
-        three = three[n_words[owner] >= 3]
+        _, two = np.unique(words[whole] * len(distinct) + words[whole + 1], return_inverse=True)
+        _, three = np.unique(two * len(distinct) + words[whole + 2], return_inverse=True)
         twice, _ = _repeated(three, row[whole])
         for j in range(3):
             covered[whole[twice] + j] = True
@@ -71,7 +70,8 @@ def slice_statistics(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     n_lines, line_bounds = per_row(line_start, offsets)
     line_row = np.repeat(np.arange(n), n_lines)
     full = np.searchsorted(start, line_end) > np.searchsorted(start, line_start)
-    _, again = _repeated(hasher.spans(line_start, line_end - closed)[full], line_row[full])
+    lines, _ = numbered(data, line_start[full], (line_end - closed)[full])
+    _, again = _repeated(lines, line_row[full])
     dup = np.zeros(len(line_start), bool)
     dup[np.flatnonzero(full)[again]] = True
     upper, digit = (data >= 65) & (data <= 90), (data >= 48) & (data <= 57)

@@ -1,10 +1,11 @@
 """Whole batches of texts as numpy arrays.
 
 A batch of strings is one byte array with row offsets, exactly as Arrow
-holds it.  Units of text (words, lines, pre-tokens) are spans of that array
-and every span gets a 64-bit hash, short ones from prefix sums, so no Python
-loop runs over words.  Batches are handled in slices of about ``SLICE_BYTES``; a longer
-text is a slice of its own, never cut.
+holds it.  Units of text (words, lines, pre-tokens) are spans of that array;
+equal spans of a slice get one number by their bytes, so that Python handles
+distinct units only and no two units are ever taken for one.  Batches are
+handled in slices of about ``SLICE_BYTES``; a longer text is a slice of its
+own, never cut.
 """
 
 from __future__ import annotations
@@ -16,12 +17,6 @@ import pyarrow as pa
 import xxhash
 
 SLICE_BYTES = 1 << 20
-LONG = 256
-
-_P = 0x9E3779B97F4A7C15 | 1
-_PINV = pow(_P, -1, 1 << 64)
-#: One random-looking odd word per byte value: a byte's contribution to a hash.
-_powers = {"p": np.ones(1, np.uint64), "q": np.ones(1, np.uint64)}
 
 WHITE = np.zeros(256, bool)
 WHITE[[9, 10, 11, 12, 13, 32]] = True
@@ -42,17 +37,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)
-
-
-def _grown(name: str, base: int, n: int) -> np.ndarray:
-    have = _powers[name]
-    while len(have) < n:
-        have = np.concatenate([have, have * (have[-1:] * np.uint64(base))])
-    _powers[name] = have
-    return have[:n]
-
-
 def slices(column: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, row after the last, bytes, offsets) per slice; null is empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -71,26 +55,27 @@ def slices(column: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, int, np.nd
         row = end
 
 
-class Hasher:
-    """Hashes of any spans of one byte array.
+def strings(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Consecutive parts of a byte array that end at ``ends``, as binary values."""
+    offsets = np.concatenate([[0], ends]).astype(np.int64)
+    return pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def spans(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
+    """These parts of a byte array, which may overlap, as binary values."""
+    letters, sizes = ragged_take(data, np.stack([start, end], axis=1).ravel(), np.arange(0, 2 * len(start), 2))
+    return strings(letters, np.cumsum(sizes))
+
 
-    Sums modulo a power of two collide on long regular words, so spans of more
-    than ``LONG`` bytes, which are few, are hashed one by one.
-    """
+def numbered(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """The number of each span among the distinct ones, told apart by their bytes, and these."""
+    coded = spans(data, start, end).dictionary_encode()
+    return coded.indices.to_numpy().astype(np.int64), coded.dictionary
 
-    def __init__(self, data: np.ndarray):
-        self.data = data
-        self.q = _grown("q", _PINV, len(data) + 1)
-        self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_BYTE[data] * _grown("p", _P, len(data)), out=self.sums[1:])
 
-    def spans(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        out = mix((self.sums[end] - self.sums[start]) * self.q[start] + (end - start).astype(np.uint64))
-        long = np.flatnonzero(end - start > LONG)
-        if len(long):
-            raw = memoryview(np.ascontiguousarray(self.data))
-            out[long] = [xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in zip(start[long].tolist(), end[long].tolist(), strict=True)]
-        return out
+def hashed(units: pa.Array) -> np.ndarray:
+    """XXH3 of each unit."""
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, units.to_pylist()), np.uint64, len(units))
 
 
 def runs(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -13,9 +13,10 @@ import re
 import numpy as np
 import pyarrow as pa
 
-from .textarrays import LOWER, Hasher, ragged_take, slices
+from .textarrays import LOWER, numbered, ragged_take, slices
 
-KEPT_UNITS = 2_000_000
+#: A worker forgets its units beyond so many: that changes no result.
+KEPT_UNITS = 500_000
 _KIND = np.zeros(256, np.uint8)  # 0: joins whatever stands beside it
 _KIND[[9, 10, 11, 12, 13, 32]] = 1
 _KIND[48:58] = 2
@@ -30,58 +31,47 @@ def _starts(row_offsets: np.ndarray, n: int, cut: np.ndarray) -> np.ndarray:
 
 
 class Kept:
-    """What is known of units: sorted hashes with a ragged array of values."""
+    """What is known of units: a number for each, found by its bytes, and a ragged array of values."""
 
     def __init__(self, kind: type = np.uint16) -> None:
         self.kind = kind
         self.clear()
 
     def clear(self) -> None:
-        self.hashes = np.zeros(0, np.uint64)
-        self.where = np.zeros(0, np.int32)
+        self.numbers: dict[bytes, int] = {}
         self.bounds = np.zeros(1, np.int64)
         self.values = np.zeros(0, self.kind)
 
-    def find(self, hashes: np.ndarray, texts, make) -> np.ndarray:
-        """Numbers of the units; ``make(list of bytes)`` gives values and lengths of those not met before."""
-        if len(self.hashes) > KEPT_UNITS:
+    def find(self, units: pa.Array, make) -> np.ndarray:
+        """Numbers of distinct units; ``make(list of bytes)`` gives values and lengths of those not met before."""
+        if len(self.numbers) > KEPT_UNITS:
             self.clear()
-        at = np.searchsorted(self.hashes, hashes)
-        known = np.zeros(len(hashes), bool)
-        inside = at < len(self.hashes)
-        known[inside] = self.hashes[at[inside]] == hashes[inside]
-        if not known.all():
-            new = np.flatnonzero(~known)
-            values, lengths = make(texts(new))
-            first = len(self.bounds) - 1
+        raw = units.to_pylist()
+        known = self.numbers.get
+        found = np.fromiter((known(u, -1) for u in raw), np.int64, len(raw))
+        new = np.flatnonzero(found < 0)
+        if len(new):
+            fresh = [raw[i] for i in new.tolist()]
+            values, lengths = make(fresh)
+            found[new] = np.arange(len(new)) + len(self.bounds) - 1
+            self.numbers.update(zip(fresh, found[new].tolist(), strict=True))
             self.values = np.concatenate([self.values, values.astype(self.kind)])
             self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(lengths)])
-            fresh = hashes[new]  # sorted, as hashes are
-            self.where = np.insert(self.where, at[new], (first + np.arange(len(new))).astype(np.int32))
-            self.hashes = np.insert(self.hashes, at[new], fresh)
-            at = np.searchsorted(self.hashes, hashes)
-        return self.where[at]
-
-
-def unique_units(data: np.ndarray, start: np.ndarray, end: np.ndarray):
-    """Sorted distinct hashes, each span's number among them, and a reader of their bytes."""
-    hashes, first, inverse = np.unique(Hasher(data).spans(start, end), return_index=True, return_inverse=True)
-    raw = data.tobytes()
-
-    def texts(which: np.ndarray) -> list[bytes]:
-        spans = first[which]
-        return [raw[a:b] for a, b in zip(start[spans].tolist(), end[spans].tolist(), strict=True)]
-
-    return hashes, inverse, texts
+        return found
 
 
 class WordIds:
-    """Ids of a tokenizer that drops white space and lower-cases (``word_bpe_49k.json``)."""
+    """Ids of a tokenizer that drops white space and lower-cases (``word_bpe_49k.json``).
+
+    Ids are kept in 16 bits, here and in what is written: a larger vocabulary is an error.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        if self.tokenizer.get_vocab_size() > 1 << 16:
+            raise ValueError(f"{path}: ids of more than 16 bits")
         self.special = re.compile(b"|".join(re.escape(t.content.encode()) for t in self.tokenizer.get_added_tokens_decoder().values()))
         self.closes = np.zeros(1 << 16, bool)
         for token, i in self.tokenizer.get_vocab().items():
@@ -132,8 +122,8 @@ class WordIds:
             finish = np.append(start[1:], len(data))
             words = kind[start] != 1
             start, finish = start[words], finish[words]
-            hashes, inverse, texts = unique_units(data, start, finish)
-            number = self.kept.find(hashes, texts, self._make)[inverse]
+            unit, units = numbered(data, start, finish)
+            number = self.kept.find(units, self._make)[unit]
             if only_lengths:
                 ids, lengths = None, (self.kept.bounds[1:] - self.kept.bounds[:-1])[number]
             else:

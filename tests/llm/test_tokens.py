@@ -35,23 +35,32 @@ def test_ids_are_the_librarys(texts):
     assert got == ids_of(WORDS, texts)
 
 
-def thue_morse(n):
-    """Two words of n letters whose sums modulo a power of two agree."""
+def thue_morse(n, blocks=("a", "b")):
+    """Two words of n blocks whose sums modulo a power of two agree, or may."""
     ones = [bin(i).count("1") % 2 for i in range(n)]
-    return ["".join("ab"[x] for x in ones), "".join("ba"[x] for x in ones)]
+    return ["".join(blocks[x] for x in ones), "".join(blocks[1 - x] for x in ones)]
 
 
-@pytest.mark.parametrize("n", [1 << 10, 1 << 12])
-def test_long_regular_words(n):
-    for texts in ([f"{w} end" for w in thue_morse(n)], thue_morse(n)):
-        assert bpe_counts.TokenCounter(BYTES).lengths(pa.array(texts))[1].tolist() == [len(x) for x in ids_of(BYTES, texts)]
-        got = [x.tolist() for _, ids, lengths in WordIds(WORDS).batches(pa.array(texts)) for x in np.split(ids, np.cumsum(lengths)[:-1])]
+@pytest.mark.parametrize("words", [*(thue_morse(n) for n in (64, 128, 200, 256, 1 << 10, 1 << 12)), *(thue_morse(n, ("efefffee", "fefeeeff")) for n in (8, 16, 25, 32, 512))], ids=lambda w: f"{w[0][:2]}{len(w[0])}")
+def test_regular_words(words):
+    counter, ids_by = bpe_counts.TokenCounter(BYTES), WordIds(WORDS)
+    # together in one batch, and then one after the other
+    for texts in ([f"{w} end" for w in words], words, [words[1] + "!"], [words[0] + "!"]):
+        assert counter.lengths(pa.array(texts))[1].tolist() == [len(x) for x in ids_of(BYTES, texts)]
+        got = [x.tolist() for _, ids, lengths in ids_by.batches(pa.array(texts)) for x in np.split(ids, np.cumsum(lengths)[:-1])]
         assert got == ids_of(WORDS, texts)
-    data = "\n".join([*thue_morse(n), thue_morse(n)[0]]).encode()
+    data = "\n".join([*words, words[0]]).encode()
     found = quality.slice_statistics(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
     assert found[quality.STATISTICS.index("n_dup_lines")].tolist() == [1]
 
 
+def test_workers_forget(monkeypatch, texts):
+    monkeypatch.setattr("fathomline.llm.tokens.KEPT_UNITS", 3)
+    counter = bpe_counts.TokenCounter(BYTES)
+    for _ in range(3):
+        assert counter.lengths(pa.array(texts))[1].tolist() == [len(x) for x in ids_of(BYTES, texts)]
+
+
 def test_count_query(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
     want = {d["doc_id"]: (len((d["text"] or "").encode()), len(i)) for d, i in zip(docs, ids_of(BYTES, [d["text"] for d in docs]), strict=True)}
