@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..model import TOKENS_SQL, load, r6, tokens
 from ..sources.tables import scratch_folder
 from .evidence import CUE_SQL, cue_scores
-from .texts import postings
+from .inverted import add_documents, build_index
 
 CHUNK_WORDS, STRIDE, LEAST_CHARS = 60, 50, 40
 
@@ -100,18 +100,17 @@ SELECT conv_id, turn, route, confidence, coalesce(last_value(CASE WHEN confidenc
 
 
 def index_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The postings written to the shared folder, dealt by a term's first letter, and read back; another number of rows than was written is an error."""
-    folder = scratch_folder(spark)
-    p = postings(load(spark, sf_dir, "documents")).withColumn("letter", F.substring("term", 1, 1))
-    p.write.partitionBy("letter").parquet(f"{folder}/postings")
-    spark.createDataFrame([(p.count(),)], "n bigint").write.json(f"{folder}/manifest")
-    back = spark.read.schema("doc_id bigint, term string, tf bigint, len bigint, letter string").parquet(f"{folder}/postings")
-    if back.count() != spark.read.schema("n bigint").json(f"{folder}/manifest").first()["n"]:
-        raise ValueError("the index has other rows than its manifest says")
-    return back.groupBy("letter").agg(F.count(F.lit(1)).alias("n_postings"), F.countDistinct("term").alias("n_terms"), F.sum("tf").alias("n_words"))
+    """An index of all documents, to which the labelled ones are added once more: what is live afterwards, by a term's first letter, and the index's own counts."""
+    docs, folder = load(spark, sf_dir, "documents").select("doc_id", "text"), scratch_folder(spark)
+    build_index(docs, folder)
+    index = add_documents(docs.join(load(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi"), folder)
+    letter = F.substring("term", 1, 1).alias("letter")
+    live = index.postings().groupBy(letter).agg(F.count(F.lit(1)).alias("n_postings"), F.countDistinct("term").alias("n_terms"), F.sum("tf").alias("n_words"))
+    counted = index.terms().groupBy(letter).agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
+    return live.join(counted, "letter", "left").withColumn("n_docs", F.lit(index.n).cast("long"))
 
 
-ROUNDTRIP_SQL = f"WITH t AS (SELECT doc_id, unnest({TOKENS_SQL}) AS term FROM documents), p AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY 1, 2) SELECT term[1] AS letter, count(*) AS n_postings, count(DISTINCT term) AS n_terms, CAST(sum(tf) AS BIGINT) AS n_words FROM p GROUP BY 1"
+ROUNDTRIP_SQL = f"WITH t AS (SELECT doc_id, unnest({TOKENS_SQL}) AS term FROM documents), p AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY 1, 2) SELECT term[1] AS letter, count(*) AS n_postings, count(DISTINCT term) AS n_terms, CAST(sum(tf) AS BIGINT) AS n_words, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf, (SELECT count(*) FROM documents) AS n_docs FROM p GROUP BY 1"
 
 
 def manifest_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:

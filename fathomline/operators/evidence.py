@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..model import TOKENS_SQL, load, r6, tokens
-from .texts import OKAPI, okapi, top_ranked
+from .inverted import okapi, text_index
+from .texts import OKAPI, top_ranked
 
 
 def _n(w) -> Column:
@@ -40,7 +41,7 @@ SLOT_SQL = "WITH s AS (SELECT doc_id, lang, source, n_chars, least(row_number()
 def doc_diverse_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each item's twenty best documents: the first three, then one of each source not seen yet, then the rest; ten in all."""
     docs = load(spark, sf_dir, "documents")
-    top = top_ranked(okapi(docs, load(spark, sf_dir, "benchmark")), "item_id", "doc_id", 20).join(docs.select("doc_id", "source"), "doc_id")
+    top = top_ranked(okapi(text_index(spark, sf_dir), load(spark, sf_dir, "benchmark")), "item_id", "doc_id", 20).join(docs.select("doc_id", "source"), "doc_id")
     first = F.min("rank").over(Window.partitionBy("item_id", "source"))
     lane = F.when(F.col("rank") <= 3, 0).when(F.col("rank") == first, 1).otherwise(2).cast("long")
     t = top.withColumn("lane", lane)
@@ -212,7 +213,7 @@ SET_SQL = "SELECT source, count(*) FILTER (quality = 1 AND toxic = 1) AS both, c
 
 def retrieval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per item over its ten best documents: first labelled good one, share of good ones, precision at 3 and 10."""
-    top = top_ranked(okapi(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark")), "item_id", "doc_id", 10)
+    top = top_ranked(okapi(text_index(spark, sf_dir), load(spark, sf_dir, "benchmark")), "item_id", "doc_id", 10)
     j = top.join(load(spark, sf_dir, "labels"), "doc_id", "left").withColumn("good", F.coalesce(F.col("quality") == 1, F.lit(False)))
     at = lambda k: r6(F.count(F.when(F.col("good") & (F.col("rank") <= k), 1)) / k)
     return j.groupBy("item_id").agg(F.min(F.when(F.col("good"), F.col("rank"))).alias("first_good"), F.count(F.when(F.col("quality").isNotNull(), 1)).alias("n_labelled"), at(3).alias("p_at_3"), at(10).alias("p_at_10"), F.bool_or("good").alias("hit"))
@@ -240,25 +241,10 @@ s AS (SELECT conv_id, turn, a, CASE WHEN len({_QT}) = 0 THEN 1.0::DOUBLE ELSE le
 SELECT conv_id, turn, round(cover, 6) AS coverage, round(0.6::DOUBLE * cover + 0.2::DOUBLE * least(1.0::DOUBLE, coalesce(length(a), 0) / 400::DOUBLE) + 0.2::DOUBLE * CASE WHEN regexp_matches(lower(coalesce(a, '')), 'cannot|nicht|pas|no ') THEN 0 ELSE 1 END, 6) AS quality FROM s"""
 
 
-def claim_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sentences of documents as claims with the number that they cite: missing, out of range, or found among the source's languages."""
-    d = load(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    lines = d.select("doc_id", "source", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line", "claim"))
-    cited = lines.select("doc_id", "source", F.col("line").cast("long").alias("line"), F.expr("try_cast(nullif(regexp_extract(claim, '([0-9]{1,6})', 1), '') AS BIGINT)").alias("cited"))
-    n = d.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
-    reason = F.when(F.col("cited").isNull(), "missing").when((F.col("cited") < 1) | (F.col("cited") > F.col("n")), "out_of_range").otherwise("ok")
-    return cited.join(n, "source").select("doc_id", "line", "cited", reason.alias("reason"))
-
-
-CLAIM_SQL = """WITH l AS (SELECT doc_id, source, unnest(string_split(coalesce(text, ''), chr(10))) AS claim, unnest(range(0, len(string_split(coalesce(text, ''), chr(10))))) AS line FROM documents),
-c AS (SELECT doc_id, source, line, TRY_CAST(nullif(regexp_extract(claim, '([0-9]{1,6})', 1), '') AS BIGINT) AS cited FROM l), n AS (SELECT source, count(*) AS n FROM documents GROUP BY 1)
-SELECT doc_id, line, cited, CASE WHEN cited IS NULL THEN 'missing' WHEN cited < 1 OR cited > n THEN 'out_of_range' ELSE 'ok' END AS reason FROM c JOIN n USING (source)"""
-
-
 def citation_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbers of each item's sources in the order of their first hit."""
     docs = load(spark, sf_dir, "documents")
-    top = top_ranked(okapi(docs, load(spark, sf_dir, "benchmark")), "item_id", "doc_id", 20).join(docs.select("doc_id", "source"), "doc_id")
+    top = top_ranked(okapi(text_index(spark, sf_dir), load(spark, sf_dir, "benchmark")), "item_id", "doc_id", 20).join(docs.select("doc_id", "source"), "doc_id")
     first = top.groupBy("item_id", "source").agg(F.min("rank").alias("first"), F.count(F.lit(1)).alias("n"))
     return first.withColumn("citation", _n(Window.partitionBy("item_id").orderBy("first")))
 
@@ -286,7 +272,7 @@ def boundary_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "documents").select("doc_id", "text").mapInPandas(cut, "doc_id bigint, chunk bigint, first_word bigint, n_words bigint")
 
 
-QUERIES = {f.__name__: f for f in (round_robin_merge, slot_first, doc_diverse_union, stratified_sample, neighbor_expand, turn_window, cue_scores, mode_classify, topic_cluster, cells_long, schema_agg, cell_intersection, table_score, set_metrics, retrieval_metrics, answer_score, claim_verify, citation_order, boundary_chunks)}
+QUERIES = {f.__name__: f for f in (round_robin_merge, slot_first, doc_diverse_union, stratified_sample, neighbor_expand, turn_window, cue_scores, mode_classify, topic_cluster, cells_long, schema_agg, cell_intersection, table_score, set_metrics, retrieval_metrics, answer_score, citation_order, boundary_chunks)}
 ORACLES = {
     "round_robin_merge": ROUND_SQL,
     "slot_first": SLOT_SQL,
@@ -304,6 +290,5 @@ ORACLES = {
     "set_metrics": SET_SQL,
     "retrieval_metrics": METRICS_SQL,
     "answer_score": ANSWER_SQL,
-    "claim_verify": CLAIM_SQL,
     "citation_order": CITATION_SQL,
 }

@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..model import TOKENS_SQL, load, r6, tokens
-from .texts import OKAPI, okapi, top_ranked
+from .inverted import okapi, text_index
+from .texts import OKAPI, top_ranked
 from .vectors import _lane_sql, lane
 
 POOL, PROTECTED, UNION = 80, 24, 120
@@ -25,7 +26,7 @@ def _n(w) -> Column:
 def sparse_pool(spark: SparkSession, sf_dir: str, depth: int) -> DataFrame:
     """item_id, doc_id, score, rank, source, lang: each item's best documents by BM25."""
     docs = load(spark, sf_dir, "documents")
-    return top_ranked(okapi(docs, load(spark, sf_dir, "benchmark")), "item_id", "doc_id", depth).join(docs.select("doc_id", "source", "lang"), "doc_id")
+    return top_ranked(okapi(text_index(spark, sf_dir), load(spark, sf_dir, "benchmark")), "item_id", "doc_id", depth).join(docs.select("doc_id", "source", "lang"), "doc_id")
 
 
 def _pool_sql(depth: int) -> str:
@@ -103,15 +104,15 @@ SELECT item_id, doc_id, source, rank, u = own AS hard, u = own OR count(*) FILTE
 
 
 def exact_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that hold the first three words of an item literally: 1.8 in the heading (first line), 1.0 elsewhere; at most twelve for each item."""
+    """Documents that hold any three consecutive words of an item literally: 1.8 in the heading (first line), 1.0 elsewhere; at most twelve for each item."""
 
-    def windows(df: DataFrame, key: str, text: Column, most: int | None = None) -> DataFrame:
+    def windows(df: DataFrame, key: str, text: Column) -> DataFrame:
         words = df.select(key, tokens(text).alias("w")).where(F.size("w") > 2)
-        last = F.size("w") - 2 if most is None else F.least(F.size("w") - 2, F.lit(most))
+        last = F.size("w") - 2
         return words.select(key, F.explode(F.transform(F.sequence(F.lit(1), last), lambda i: F.array_join(F.slice("w", i, 3), " "))).alias("literal")).distinct()
 
     docs = load(spark, sf_dir, "documents")
-    wanted = windows(load(spark, sf_dir, "benchmark"), "item_id", F.col("text"), 1)
+    wanted = windows(load(spark, sf_dir, "benchmark"), "item_id", F.col("text"))
     anywhere = windows(docs, "doc_id", F.col("text")).join(wanted, "literal").select("item_id", "doc_id", F.lit(1.0).alias("score"))
     heading = windows(docs, "doc_id", F.get(F.split("text", "\n"), F.lit(0))).join(wanted, "literal").select("item_id", "doc_id", F.lit(1.8).alias("score"))
     best = anywhere.union(heading).groupBy("item_id", "doc_id").agg(F.max("score").alias("score"))
@@ -120,7 +121,7 @@ def exact_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _W3 = "unnest([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FOR i IN range(1, len(w) - 1)])"
-LITERAL_SQL = f"""WITH q AS (SELECT item_id, w[1] || ' ' || w[2] || ' ' || w[3] AS literal FROM (SELECT item_id, {TOKENS_SQL} AS w FROM benchmark) WHERE len(w) > 2),
+LITERAL_SQL = f"""WITH q AS (SELECT DISTINCT item_id, {_W3} AS literal FROM (SELECT item_id, {TOKENS_SQL} AS w FROM benchmark) WHERE len(w) > 2),
 a AS (SELECT doc_id, {_W3} AS literal, 1.0::DOUBLE AS score FROM (SELECT doc_id, {TOKENS_SQL} AS w FROM documents) WHERE len(w) > 2),
 h AS (SELECT doc_id, {_W3} AS literal, 1.8::DOUBLE AS score FROM (SELECT doc_id, {TOKENS_SQL.replace("coalesce(text, '')", "coalesce(split_part(text, chr(10), 1), '')")} AS w FROM documents) WHERE len(w) > 2),
 s AS (SELECT item_id, doc_id, max(score) AS score FROM (SELECT * FROM a UNION ALL SELECT * FROM h) JOIN q USING (literal) GROUP BY 1, 2)

@@ -68,8 +68,8 @@ t AS (SELECT page, count(*) AS n, string_agg(name, chr(10) ORDER BY x0, y0, bloc
 
 
 def tier_boosts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hits with a boost for their tier (by length), what they share with the item's first words (0.4 at most), and a penalty for other languages; ranked anew."""
-    first = load(spark, sf_dir, "benchmark").select("item_id", F.slice(F.array_distinct(tokens(F.col("text"))), 1, 12).alias("asked"))
+    """Hits with a boost for their tier (by length), what words they share with the item (0.4 at most), and a penalty for other languages; ranked anew."""
+    first = load(spark, sf_dir, "benchmark").select("item_id", F.array_distinct(tokens(F.col("text"))).alias("asked"))
     texts = load(spark, sf_dir, "documents").select("doc_id", "n_chars", F.array_distinct(tokens(F.col("text"))).alias("words"))
     p = sparse_pool(spark, sf_dir, 40).join(texts, "doc_id").join(first, "item_id")
     tier = F.when(F.col("n_chars") >= 4000, 0.35).when(F.col("n_chars") >= 1500, 0.18).when(F.col("n_chars") >= 400, -0.08).otherwise(-0.22)
@@ -79,16 +79,16 @@ def tier_boosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.withColumn("place", _n(Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id"))).where("place <= 20")
 
 
-TIER_SQL = f"""WITH {_pool_sql(40)}, a AS (SELECT item_id, (list_distinct_ordered)[1:12] AS asked FROM (SELECT item_id, list_reduce(list_prepend([]::VARCHAR[], [[x] FOR x IN {TOKENS_SQL}]), lambda s, x: CASE WHEN list_contains(s, x[1]) THEN s ELSE s || x END) AS list_distinct_ordered FROM benchmark)),
+TIER_SQL = f"""WITH {_pool_sql(40)}, a AS (SELECT item_id, list_distinct({TOKENS_SQL}) AS asked FROM benchmark),
 s AS (SELECT p.item_id, p.doc_id, round(1.0::DOUBLE / (60 + rank) + CASE WHEN n_chars >= 4000 THEN 0.35::DOUBLE WHEN n_chars >= 1500 THEN 0.18::DOUBLE WHEN n_chars >= 400 THEN -0.08::DOUBLE ELSE -0.22::DOUBLE END
   + least(0.4::DOUBLE, 0.06::DOUBLE * len(list_intersect(asked, list_distinct({TOKENS_SQL})))) - CASE WHEN coalesce(p.lang, '') <> 'en' THEN 0.1::DOUBLE ELSE 0 END, 6) AS score FROM p JOIN documents d ON d.doc_id = p.doc_id JOIN a ON a.item_id = p.item_id)
 SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS place FROM s QUALIFY place <= 20"""
 
 
 def table_aware_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Text hits and table rows of one question in one list: rows get 0.2 more, six texts and eight rows at most, an id once; question ``97 * i`` goes with item ``i``."""
+    """Text hits and table rows of one question in one list: rows get 0.2 more, six texts and eight rows at most, an id once; question ``20 * i`` goes with item ``i``."""
     t = sparse_pool(spark, sf_dir, 6).select("item_id", F.lit("text").alias("kind"), F.col("doc_id").alias("id"), F.round(1 / (60 + F.col("rank")), 6).alias("score"))
-    rows = stage2(spark, sf_dir).where("place <= 8").select((F.col("question_id") / 97).cast("long").alias("item_id"), F.lit("row").alias("kind"), F.col("row_id").alias("id"), F.round(1 / (60 + F.col("place")) + 0.2, 6).alias("score"))
+    rows = stage2(spark, sf_dir).where("place <= 8").select((F.col("question_id") / 20).cast("long").alias("item_id"), F.lit("row").alias("kind"), F.col("row_id").alias("id"), F.round(1 / (60 + F.col("place")) + 0.2, 6).alias("score"))
     both = t.unionByName(rows).groupBy("item_id", "kind", "id").agg(F.max("score").alias("score"))
     return both.withColumn("place", _n(Window.partitionBy("item_id").orderBy(F.desc("score"), "kind", "id"))).where("place <= 10")
 
@@ -97,7 +97,7 @@ def _merge_sql() -> str:
     text = _pool_sql(6).replace("WITH ", "")
     tables = STAGE2
     return f"""WITH tx AS (WITH {text} SELECT item_id, 'text' AS kind, doc_id AS id, round(1.0::DOUBLE / (60 + rank), 6) AS score FROM p),
-rw AS (WITH {tables} SELECT question_id // 97 AS item_id, 'row' AS kind, row_id AS id, round(1.0::DOUBLE / (60 + place) + 0.2::DOUBLE, 6) AS score FROM st WHERE place <= 8)
+rw AS (WITH {tables} SELECT question_id // 20 AS item_id, 'row' AS kind, row_id AS id, round(1.0::DOUBLE / (60 + place) + 0.2::DOUBLE, 6) AS score FROM st WHERE place <= 8)
 SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, kind, id) AS place FROM (SELECT item_id, kind, id, max(score) AS score FROM (SELECT * FROM tx UNION ALL SELECT * FROM rw) GROUP BY 1, 2, 3) QUALIFY place <= 10"""
 
 
@@ -127,9 +127,9 @@ SELECT item_id, CASE WHEN regexp_matches(t, '\n.*\n') THEN 'list' WHEN regexp_ma
 
 
 def merged_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of each conversation the user's and the assistant's first words in one text, a placeholder where one is missing, with terms spelled out."""
+    """Of each conversation what the user and the assistant said first in one text, a placeholder where one is missing, with terms spelled out."""
     c = load(spark, sf_dir, "conversations")
-    first = lambda role: F.min(F.when(F.col("role") == role, F.struct("turn", F.substring(F.coalesce("text", F.lit("")), 1, 40).alias("said"))))["said"]
+    first = lambda role: F.min(F.when(F.col("role") == role, F.struct("turn", F.coalesce("text", F.lit("")).alias("said"))))["said"]
     m = c.groupBy("conv_id").agg(first("user").alias("asked"), first("assistant").alias("answered"))
     text = F.concat(F.coalesce("asked", F.lit("(no question)")), F.lit("\n\n"), F.coalesce("answered", F.lit("(no answer)")))
     for term, name in TERMS.items():
@@ -140,20 +140,19 @@ def merged_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 _MERGED = "coalesce(asked, '(no question)') || chr(10) || chr(10) || coalesce(answered, '(no answer)')"
 for _term, _name in TERMS.items():
     _MERGED = f"replace({_MERGED}, '{_term}', '{_name}')"
-MERGED_SQL = f"""WITH r AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn, left(coalesce(text, ''), 40)) AS k FROM conversations),
-m AS (SELECT c.conv_id, max(left(coalesce(text, ''), 40)) FILTER (role = 'user' AND k = 1) AS asked, max(left(coalesce(text, ''), 40)) FILTER (role = 'assistant' AND k = 1) AS answered FROM r c GROUP BY 1)
+MERGED_SQL = f"""WITH r AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn, coalesce(text, '')) AS k FROM conversations),
+m AS (SELECT c.conv_id, max(coalesce(text, '')) FILTER (role = 'user' AND k = 1) AS asked, max(coalesce(text, '')) FILTER (role = 'assistant' AND k = 1) AS answered FROM r c GROUP BY 1)
 SELECT conv_id, sha256({_MERGED}) AS text_sha256, asked IS NOT NULL AND answered IS NOT NULL AS whole FROM m"""
 
 
 def vessel_track(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each vessel's known positions in order, every tenth one, with its number and the hours since the one before."""
+    """Each vessel's known positions in order, with its number and the hours since the one before."""
     w = Window.partitionBy("vessel").orderBy("ts", "event_id")
     t = sensor(spark, sf_dir).where("lat <> 0 AND lon <> 0").select("vessel", "ts", "event_id", "lat", "lon").withColumn("number", _n(w))
-    t = t.where("number % 10 = 1")
     return t.select("vessel", "number", "ts", "lat", "lon", r6(F.timestamp_diff("SECOND", F.lag("ts").over(w), F.col("ts")) / 3600).alias("hours"))
 
 
-TRACK_SQL = f"""WITH t AS (SELECT vessel, ts, event_id, lat, lon, row_number() OVER (PARTITION BY vessel ORDER BY ts, event_id) AS number FROM ({SENSOR_SQL}) WHERE lat <> 0 AND lon <> 0 QUALIFY number % 10 = 1)
+TRACK_SQL = f"""WITH t AS (SELECT vessel, ts, event_id, lat, lon, row_number() OVER (PARTITION BY vessel ORDER BY ts, event_id) AS number FROM ({SENSOR_SQL}) WHERE lat <> 0 AND lon <> 0)
 SELECT vessel, number, ts, lat, lon, round((epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY vessel ORDER BY ts, event_id))) // 1000000 / 3600::DOUBLE, 6) AS hours FROM t"""
 
 QUERIES = {f.__name__: f for f in (full_text_lookup, related_revisions, alias_expansion, page_texts, tier_boosts, table_aware_merge, coverage_records, question_category, merged_answers, vessel_track)}

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..model import DEFAULT_DWT, SENSOR_SQL, load, r6, sensor, tokens
 from .evidence import CUE_SQL, cue_scores
 from .layout import boxes
-from .texts import OKAPI, okapi, top_ranked
+from .inverted import okapi, text_index
+from .texts import OKAPI, top_ranked
 
 
 def dimension_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,7 +51,7 @@ TOP20 = "tops AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY
 
 def _top20(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
-    return top_ranked(okapi(docs, load(spark, sf_dir, "benchmark")), "item_id", "doc_id", 20).join(docs.select("doc_id", "source", "lang"), "doc_id")
+    return top_ranked(okapi(text_index(spark, sf_dir), load(spark, sf_dir, "benchmark")), "item_id", "doc_id", 20).join(docs.select("doc_id", "source", "lang"), "doc_id")
 
 
 def soft_language_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -155,13 +156,14 @@ MARKDOWN_SQL = r"SELECT p_partkey, '| ' || concat_ws(' | ', " + ", ".join(rf"rep
 
 
 def numeric_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Numbers and the word after each, over all documents."""
-    hits = F.explode(F.regexp_extract_all("text", F.lit("[0-9]{1,6} [a-z]{2,12}"), F.lit(0)))
-    t = load(spark, sf_dir, "documents").select("doc_id", hits.alias("hit")).select("doc_id", F.split_part("hit", F.lit(" "), F.lit(1)).cast("long").alias("number"), F.split_part("hit", F.lit(" "), F.lit(2)).alias("unit"))
+    """Whole numbers of any length and the word after each, over all documents; the largest as a double, null beyond 38 digits."""
+    hits = F.explode(F.regexp_extract_all("text", F.lit("[0-9]+ [a-z]{2,}"), F.lit(0)))
+    number = F.expr("cast(try_cast(split_part(hit, ' ', 1) AS decimal(38, 0)) AS double)")
+    t = load(spark, sf_dir, "documents").select("doc_id", hits.alias("hit")).select("doc_id", number.alias("number"), F.split_part("hit", F.lit(" "), F.lit(2)).alias("unit"))
     return t.groupBy("unit").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("n_docs"), F.max("number").alias("most"))
 
 
-NUMERIC_SQL = "SELECT split_part(hit, ' ', 2) AS unit, count(*) AS n, count(DISTINCT doc_id) AS n_docs, max(split_part(hit, ' ', 1)::BIGINT) AS most FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9]{1,6} [a-z]{2,12}')) AS hit FROM documents) GROUP BY 1"
+NUMERIC_SQL = "SELECT split_part(hit, ' ', 2) AS unit, count(*) AS n, count(DISTINCT doc_id) AS n_docs, max(TRY_CAST(split_part(hit, ' ', 1) AS DECIMAL(38, 0))::DOUBLE) AS most FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9]+ [a-z]{2,}')) AS hit FROM documents) GROUP BY 1"
 
 
 def bullet_budget(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,17 +6,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..model import TOKENS_SQL, load, r6, tokens
+from .inverted import EPSILON, K1, B, best_documents, okapi, text_index
 
-K1, B, EPSILON = 1.5, 0.75, 0.25
 TOP = 5
 
 
-def postings(docs: DataFrame) -> DataFrame:
-    """doc_id, term, tf, len: one row per document and term."""
-    words = docs.select("doc_id", tokens(F.col("text")).alias("w")).select("doc_id", F.size("w").cast("long").alias("len"), F.explode("w").alias("term"))
-    return words.groupBy("doc_id", "term", "len").agg(F.count(F.lit(1)).alias("tf")).select("doc_id", "term", "tf", "len")
-
-
 def query_terms(items: DataFrame) -> DataFrame:
     """item_id, term, qtf."""
     return items.select("item_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("item_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
@@ -30,20 +24,6 @@ def top_ranked(scored: DataFrame, group: str, item: str, n: int) -> DataFrame:
     return best.withColumn("rank", F.col("rank").cast("long"))
 
 
-def okapi(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """item_id, doc_id, score of every document that shares a term; scores of zero or less are dropped."""
-    p = postings(docs)
-    # the occurrences of all postings are all words: their shuffle is shared
-    sizes = docs.agg(F.count(F.lit(1)).alias("n")).join(p.agg(F.sum("tf").alias("words")), F.lit(True), "left").select("n", (F.col("words") / F.col("n")).alias("avgdl"))
-    df = p.groupBy("term").agg(F.count(F.lit(1)).alias("df")).join(sizes, F.lit(True), "left")
-    raw = df.withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    mean = raw.agg(F.avg("raw").alias("mean"))
-    idf = raw.join(mean, F.lit(True), "left").withColumn("idf", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw"))).select("term", "idf", "avgdl")
-    q = query_terms(items).join(idf, "term")
-    part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avgdl")))
-    return p.join(q, "term").groupBy("item_id", "doc_id").agg(r6(F.sum(part)).alias("score")).where("score > 0")
-
-
 OKAPI = f"""
 t AS (SELECT doc_id, unnest({TOKENS_SQL}) AS term FROM documents),
 tf AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY 1, 2),
@@ -59,13 +39,17 @@ sc AS (SELECT item_id, tf.doc_id, round(sum(qtf * idf * tf * {K1 + 1} / (tf + {K
 
 def token_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Document frequency and occurrences of every term."""
-    p = postings(load(spark, sf_dir, "documents"))
-    return p.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"), F.max("tf").alias("max_tf"))
+    return text_index(spark, sf_dir).terms().select("term", "df", "cf", "max_tf")
 
 
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five best documents for every benchmark item."""
-    return top_ranked(okapi(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark")), "item_id", "doc_id", TOP)
+    return top_ranked(okapi(text_index(spark, sf_dir), load(spark, sf_dir, "benchmark")), "item_id", "doc_id", TOP)
+
+
+def bm25_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``bm25_topk``, reading only blocks of the index whose bound reaches the fifth best score of the most promising ones."""
+    return top_ranked(best_documents(text_index(spark, sf_dir), load(spark, sf_dir, "benchmark"), TOP), "item_id", "doc_id", TOP)
 
 
 def fts_phrase_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,17 +84,16 @@ SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY
 
 def scoped_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best document of each source per item: capped idf weights, with a bonus for words in the heading (the first line)."""
-    docs = load(spark, sf_dir, "documents")
+    docs, index = load(spark, sf_dir, "documents"), text_index(spark, sf_dir)
     heads = docs.select("doc_id", "source", tokens(F.get(F.split("text", "\n"), F.lit(0))).alias("head"))
-    p = postings(docs).join(heads, "doc_id")
     sizes = docs.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
-    q = query_terms(load(spark, sf_dir, "benchmark"))
-    of_items = p.join(q.select("term").distinct(), "term", "left_semi")
+    q = index.weighted(load(spark, sf_dir, "benchmark")).select("item_id", "term")
+    of_items = index.postings(q).join(heads, "doc_id")
     df = of_items.groupBy("source", "term").agg(F.count(F.lit(1)).alias("df"))
     met = of_items.join(df, ["source", "term"]).join(sizes, "source")
     weight = F.least(F.lit(2.8), 0.75 + 0.38 * F.log(1 + (F.col("n") + 1) / (F.col("df") + 1.0)))
     part = weight * F.when(F.array_contains("head", F.col("term")), 1.45).otherwise(1.0)
-    scored = met.withColumn("part", part).join(q.select("item_id", "term"), "term").groupBy("item_id", "source", "doc_id").agg(F.sum("part").alias("s"), F.count(F.lit(1)).alias("hits"))
+    scored = met.withColumn("part", part).join(q, "term").groupBy("item_id", "source", "doc_id").agg(F.sum("part").alias("s"), F.count(F.lit(1)).alias("hits"))
     scored = scored.withColumn("score", r6(F.col("s") + F.least(F.lit(0.8), 0.08 * F.col("hits"))))
     best = Window.partitionBy("item_id", "source").orderBy(F.desc("score"), "doc_id")
     return scored.withColumn("n", F.row_number().over(best)).where("n = 1").select("item_id", "source", "doc_id", "hits", "score")
@@ -128,7 +111,7 @@ SELECT item_id, source, doc_id, hits, round(s + least(0.8::DOUBLE, 0.08::DOUBLE
 def lexical_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of each item's words that its best documents hold (five of them)."""
     q = query_terms(load(spark, sf_dir, "benchmark"))
-    p = postings(load(spark, sf_dir, "documents")).select("doc_id", "term")
+    p = text_index(spark, sf_dir).postings(q).select("doc_id", "term")
     total = q.groupBy("item_id").agg(F.count(F.lit(1)).alias("n"))
     met = p.join(q, "term").groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).alias("m")).join(total, "item_id")
     return top_ranked(met.select("item_id", "doc_id", r6(F.col("m") / F.col("n")).alias("score")), "item_id", "doc_id", TOP)
@@ -255,9 +238,8 @@ def source_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 def grouping_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Label means and medians overall, by language and by source."""
     d = load(spark, sf_dir, "documents").join(load(spark, sf_dir, "labels"), "doc_id", "left")
-    d.createOrReplaceTempView("fathomline_labelled")
     return spark.sql("""SELECT lang, source, CAST(grouping_id() AS BIGINT) AS cut, count(*) AS n, count(quality) AS n_labelled, round(avg(quality), 6) AS quality, round(avg(toxic), 6) AS toxic, CAST(median(n_chars) AS DOUBLE) AS median_chars
-      FROM fathomline_labelled GROUP BY GROUPING SETS ((), (lang), (source))""")
+      FROM {labelled} GROUP BY GROUPING SETS ((), (lang), (source))""", labelled=d)
 
 
 GROUPING_SQL = """SELECT lang, source, CAST(grouping(lang) * 2 + grouping(source) AS BIGINT) AS cut, count(*) AS n, count(quality) AS n_labelled, round(avg(quality), 6) AS quality, round(avg(toxic), 6) AS toxic, CAST(median(n_chars) AS DOUBLE) AS median_chars
@@ -329,10 +311,11 @@ def dup_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("source", "n", r6((F.col("n") - F.col("k")) / F.col("n")).alias("ratio"))
 
 
-QUERIES = {f.__name__: f for f in (token_stats, bm25_topk, fts_phrase_topk, scoped_sparse, lexical_overlap, char3_jaccard, ngram_cosine_vote, chunk_quality, index_eligibility, fixed_stride_chunks, doc_profile, source_histogram, grouping_summary, page_bands, path_source_category, sha1_doc_id, doc_role_ladder, near_dup_prefix, dup_ratio)}
+QUERIES = {f.__name__: f for f in (token_stats, bm25_topk, bm25_blocks, fts_phrase_topk, scoped_sparse, lexical_overlap, char3_jaccard, ngram_cosine_vote, chunk_quality, index_eligibility, fixed_stride_chunks, doc_profile, source_histogram, grouping_summary, page_bands, path_source_category, sha1_doc_id, doc_role_ladder, near_dup_prefix, dup_ratio)}
 ORACLES = {
     "token_stats": f"SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf, max(tf) AS max_tf FROM (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({TOKENS_SQL}) AS term FROM documents) GROUP BY 1, 2) GROUP BY 1",
     "bm25_topk": f"WITH {OKAPI} SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM sc QUALIFY rank <= {TOP}",
+    "bm25_blocks": f"WITH {OKAPI} SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM sc QUALIFY rank <= {TOP}",
     "fts_phrase_topk": FTS_SQL,
     "scoped_sparse": SCOPED_SQL,
     "lexical_overlap": OVERLAP_SQL,
