@@ -44,26 +44,31 @@ def final_class(length: Column, hashes: Column) -> Column:
 
 
 def surviving(rows: DataFrame) -> DataFrame:
-    """class, n of the classes of two rows and more that the refinement leaves; ``rows``: length, hashes."""
-    alive = rows.select(F.col("length").cast("long").alias("class"), "hashes")
+    """class, n of the classes of two rows and more that the refinement leaves; ``rows``: doc_id, length, hashes."""
+    alive = rows.select("doc_id", F.col("length").cast("long").alias("class"), "hashes")
     k, total, longest = 0, rows.count(), BLOCKS
     while True:
         counts = written(alive.groupBy("class").agg(F.count(F.lit(1)).alias("n")))
         if k >= longest:
             return counts.where("n > 1")
         hot = hot_keys(counts, ["class"], "n", total)
-        stay = spread_join(alive, counts, ["class"], hot).where("n > 1").select("class", "hashes")
-        alive = written(stay.select(refined(F.col("class"), F.col("hashes"), k).alias("class"), "hashes"))
+        stay = spread_join(alive, counts, ["class"], hot, "doc_id").where("n > 1")
+        alive = written(stay.select("doc_id", refined(F.col("class"), F.col("hashes"), k).alias("class"), "hashes"))
         total, longest = alive.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("hashes")), F.lit(0))).first()
         k += 1
 
 
-def measured(docs: DataFrame, hashed: Callable[[Column], Column], *columns: str) -> DataFrame:
-    """doc_id, part, fails (bits of A to D), length, hashes and class of every row, and ``columns``; nothing is shuffled."""
+def classed(docs: DataFrame, hashed: Callable[[Column], Column]) -> DataFrame:
+    """doc_id, part, text, length, hashes and class of every row; nothing is shuffled."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("part"), text.alias("text"))
-    base = once(base, "words", F.filter(F.split("text", r"[ \t-\r]+"), lambda w: w != ""))
     base = once(base, "hashes", block_hashes(F.col("text"), hashed)).withColumn("length", F.char_length("text"))
+    return base.withColumn("class", final_class(F.col("length"), F.col("hashes")))
+
+
+def measured(rows: DataFrame) -> DataFrame:
+    """``rows`` of ``classed`` without their texts and with ``fails``, the bits of filters A to D."""
+    base = once(rows, "words", F.filter(F.split("text", r"[ \t-\r]+"), lambda w: w != ""))
     n_words = F.size("words")
     conditions = [
         n_words < 100,
@@ -72,7 +77,7 @@ def measured(docs: DataFrame, hashed: Callable[[Column], Column], *columns: str)
         F.col("text").rlike(r"[#$%&*|]"),
     ]
     fails = sum((F.when(c, 1 << i).otherwise(0) for i, c in enumerate(conditions)), F.lit(0))
-    return base.select("doc_id", "part", fails.alias("fails"), "length", "hashes", final_class(F.col("length"), F.col("hashes")).alias("class"), *columns)
+    return base.select("doc_id", "part", fails.alias("fails"), "length", "hashes", "class")
 
 
 def masks(docs: DataFrame, hashed: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
@@ -83,20 +88,21 @@ def masks(docs: DataFrame, hashed: Callable[[Column], Column] = F.xxhash64) -> D
     makes another fail, and rows of one doc_id don't repeat each other.
     ``hashed`` names blocks; texts are compared in full whatever it does.
     """
-    rows = written(measured(docs, hashed))
+    rows = written(measured(classed(docs, hashed)))
     classes = surviving(rows)
     hot = hot_keys(classes, ["class"], "n", rows.count())
-    texts = measured(docs, hashed, "text").select("doc_id", "class", "text")
-    candidates = spread_join(texts, classes, ["class"], hot).where("n IS NOT NULL")
+    texts = classed(docs, hashed).select("doc_id", "class", "text")
+    candidates = spread_join(texts, classes, ["class"], hot, "doc_id").where("n IS NOT NULL")
     # equal texts are compared as keys of a group; a task sends each of them once
     firsts = written(candidates.groupBy("class", "text").agg(F.min("doc_id").alias("first_id")))
     whole = written(firsts.groupBy("class").agg(F.count(F.lit(1)).alias("n_texts"), F.min("first_id").alias("first_id")))
-    known = spread_join(rows, whole, ["class"], hot)
+    known = spread_join(rows, whole, ["class"], hot, "doc_id")
     out = known.where("n_texts IS NULL OR n_texts = 1").select("doc_id", "part", "fails", "first_id")
     mixed = whole.where("n_texts > 1").select("class")
     if not mixed.isEmpty():  # different texts with the same hashes: rows meet the first of their own text
-        own = measured(docs, hashed, "text").join(mixed, "class", "left_semi").join(firsts, ["class", "text"])
-        out = out.unionByName(own.select("doc_id", "part", "fails", "first_id"))
+        own = classed(docs, hashed).join(mixed, "class", "left_semi").join(firsts, ["class", "text"])
+        fails = measured(own.select("doc_id", "part", "text", "length", "hashes", F.struct("class", "first_id").alias("class")))
+        out = out.unionByName(fails.select("doc_id", "part", "fails", "class.first_id"))
     repeated = F.when(F.col("doc_id") > F.col("first_id"), 1 << 4).otherwise(0)
     return out.select("doc_id", "part", F.col("fails").bitwiseOR(repeated).alias("mask"))
 

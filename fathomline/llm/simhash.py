@@ -238,5 +238,5 @@ def simhash_duplicates(docs: DataFrame, *, words: int = WORDS, max_bits: int = M
     classes = components(written(links(prints.select("fingerprint"), max_bits=max_bits)))
     joined = written(prints.join(classes.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").withColumn("component", F.coalesce("component", "fingerprint")))
     found = written(joined.groupBy("component").agg(F.min("first_id").alias("component_id"), F.count(F.lit(1)).alias("size")))
-    by_print = spread_join(joined, found, ["component"], hot_keys(found, ["component"], "size", n_prints)).select("fingerprint", "component_id")
-    return spread_join(rows, by_print, ["fingerprint"], hot_keys(prints, ["fingerprint"], "n", n_rows)).select("doc_id", "fingerprint", "component_id")
+    by_print = spread_join(joined, found, ["component"], hot_keys(found, ["component"], "size", n_prints), "fingerprint").select("fingerprint", "component_id")
+    return spread_join(rows, by_print, ["fingerprint"], hot_keys(prints, ["fingerprint"], "n", n_rows), "doc_id").select("doc_id", "fingerprint", "component_id")
