@@ -17,7 +17,11 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def sensor(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The hourly log: vessel, ts, event_id, sog, lat, lon (0 means missing), oil, gas, co2 (kg)."""
-    e = load(spark, sf_dir, "events")
+    return log_of(load(spark, sf_dir, "events"))
+
+
+def log_of(e: DataFrame) -> DataFrame:
+    """Events as rows of the log; see ``sensor``."""
     i = F.col("event_id")
     oil = F.when(F.col("event_type").isin("click", "view"), F.col("value") * 3.0).otherwise(F.lit(0.0))
     gas = F.when(F.col("event_type") == "purchase", F.col("value") * 2.0).otherwise(F.lit(0.0))

@@ -47,7 +47,11 @@ HOP = f"2 * asin(sqrt(least(greatest(pow(sin((radians(lat) - radians(lag(lat) OV
 
 def voyage_figures(log: DataFrame) -> DataFrame:
     """Per voyage: hours (rows), tonnes, mean speed under way, miles (a row is an hour)."""
-    joined = range_join(log, segments(log).select("vessel", "voyage", "start_ts", "end_ts"), ["vessel"], "ts", "start_ts", "end_ts")
+    return figures_of(range_join(log, segments(log).select("vessel", "voyage", "start_ts", "end_ts"), ["vessel"], "ts", "start_ts", "end_ts"))
+
+
+def figures_of(joined: DataFrame) -> DataFrame:
+    """The figures of voyages from rows of the log beside their voyage."""
     under_way = F.col("sog") > SAILING_KNOTS
     return joined.groupBy("vessel", "voyage").agg(
         F.count(F.lit(1)).alias("hours"),
