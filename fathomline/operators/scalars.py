@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..model import load, r6, sensor
 from .intervals import range_join
-from .layout import boxes
 from .voyages import SCHEDULE_SQL, SEGMENTS, schedule_open_end, segments
 
 #: Clause numbers at the beginning of a text, the form of a voyage's id, and words for a condition and a period.
@@ -86,33 +85,6 @@ n AS (SELECT *, coalesce(lead(own) OVER (PARTITION BY p_brand ORDER BY p_partkey
 SELECT p_partkey, CASE WHEN len(own) = 0 THEN 0 ELSE round(len(list_filter(own, lambda q: len(list_filter(other, lambda t: contains(t, q) OR contains(q, t))) > 0))::DOUBLE / len(own), 6) END AS overlap FROM n"""
 
 
-def iou_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Boxes of a page without those that a surer box covers to 0.92 of their union.
-
-    A box is kept unless a kept one before it, by price, is that close; boxes
-    of one corner are at most 1.8 wide apart here, so all of them are close,
-    and the surest one of each corner is what stays.
-    """
-    b = _shifted(boxes(load(spark, sf_dir, "part")).drop("x0", "x1", "y0", "y1"), load(spark, sf_dir, "part"))
-    other = b.select("page", "corner", F.col("block").alias("o"), F.col("sure").alias("s"), F.col("x0").alias("ox"))
-    # only boxes of one corner can meet: an equi-join, with the overlap as its rest
-    wide = 150.0
-    common = F.greatest(F.lit(0.0), wide - F.abs(F.col("x0") - F.col("ox")))
-    near = (common / (2 * wide - common) >= 0.92) & ((F.col("s") > F.col("sure")) | ((F.col("s") == F.col("sure")) & (F.col("o") < F.col("block"))))
-    covered = b.join(other, ["page", "corner"]).where(near).select("block").distinct()
-    return b.join(covered, "block", "left_anti").select("page", "block", "corner", r6("x0").alias("x0"))
-
-
-def _shifted(blocks: DataFrame, parts: DataFrame) -> DataFrame:
-    k = F.col("p_partkey")
-    place = parts.select(k.alias("block"), (k % 20).alias("corner"), F.col("p_retailprice").alias("sure"), ((k % 4) * 200 + (k % 7) * 0.3).alias("x0"))
-    return blocks.join(place, "block")
-
-
-IOU_SQL = """WITH b AS (SELECT p_partkey // 100 AS page, p_partkey AS block, p_partkey % 20 AS corner, p_retailprice AS sure, (p_partkey % 4) * 200 + (p_partkey % 7) * 0.3::DOUBLE AS x0 FROM part)
-SELECT page, block, corner, round(x0, 6) AS x0 FROM b QUALIFY row_number() OVER (PARTITION BY page, corner ORDER BY sure DESC, block) = 1"""
-
-
 def voyage_arguments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A spoken argument of each order resolved to a voyage's id, a period and a condition."""
     i = F.col("o_orderkey")
@@ -194,8 +166,8 @@ def year_coercion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 YEAR_SQL = "SELECT TRY_CAST(TRY_CAST(t AS DOUBLE) AS INT) AS year, count(*) AS n FROM (SELECT CASE o_orderkey % 4 WHEN 0 THEN year(o_orderdate)::VARCHAR WHEN 1 THEN year(o_orderdate) || '.0' WHEN 2 THEN 'unknown' END AS t FROM orders) GROUP BY 1"
 
-QUERIES = {f.__name__: f for f in (subclauses, char_similarity, entity_overlap, iou_dedupe, voyage_arguments, voyage_lookup, voyage_union, corpus_grep, corpus_preparation, year_coercion)}
+QUERIES = {f.__name__: f for f in (subclauses, char_similarity, entity_overlap, voyage_arguments, voyage_lookup, voyage_union, corpus_grep, corpus_preparation, year_coercion)}
 ORACLES = {
-    "subclauses": SUBCLAUSE_SQL, "char_similarity": CHAR_SQL, "entity_overlap": ENTITY_SQL, "iou_dedupe": IOU_SQL, "voyage_arguments": ARGUMENT_SQL, "voyage_lookup": LOOKUP_SQL,
+    "subclauses": SUBCLAUSE_SQL, "char_similarity": CHAR_SQL, "entity_overlap": ENTITY_SQL, "voyage_arguments": ARGUMENT_SQL, "voyage_lookup": LOOKUP_SQL,
     "voyage_union": UNION_SQL, "corpus_grep": GREP_SQL, "corpus_preparation": PREPARATION_SQL, "year_coercion": YEAR_SQL,
 }
