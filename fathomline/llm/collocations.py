@@ -112,7 +112,7 @@ class Grams:
         # numbers in the order of words, so that like phrases stand together and pack well
         place = np.argsort(np.argsort(np.array(units.to_pylist(), object), kind="stable"), kind="stable") if len(units) else np.zeros(0, np.int64)
         self.word = self.lang.dictionary_encode().indices.to_numpy().astype(np.int64)[self.row] * len(units) + place[unit]
-        self.named, self.mixed = hashed(units)[unit], np.zeros(len(self.start), np.uint64)
+        self.named, self.mixed = hashed(self.data, self.start, self.end), np.zeros(len(self.start), np.uint64)
         self.number: dict[int, np.ndarray] = {}
 
     def level(self, n: int, at: np.ndarray) -> tuple[np.ndarray, ...]:

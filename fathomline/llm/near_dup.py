@@ -30,7 +30,7 @@ from pyspark.sql.types import StructType
 from .components import components, merged
 from .names import free_name
 from .scratch import written
-from .textarrays import ALNUM, LOWER, hashed, mix, numbered, per_row, ragged_take, row_sums, runs, slices, windows
+from .textarrays import ALNUM, LOWER, hashed, mix, per_row, ragged_take, row_sums, runs, slices, windows
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -66,8 +66,7 @@ class Words:
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
         data = LOWER[data]
         start, end = runs(ALNUM[data], offsets)
-        number, words = numbered(data, start, end)
-        self.hashes = hashed(words)[number]
+        self.hashes = hashed(data, start, end)
         self.counts, self.bounds = per_row(start, offsets)
 
     def nodes(self) -> pa.Array:

@@ -13,10 +13,10 @@ import re
 import numpy as np
 import pyarrow as pa
 
-from .textarrays import LOWER, numbered, ragged_take, slices
+from .textarrays import LOWER, hashed, numbered, ragged_take, slices
 
 #: A worker forgets its units beyond so many: that changes no result.
-KEPT_UNITS = 500_000
+KEPT_UNITS = 2_000_000
 _KIND = np.zeros(256, np.uint8)  # 0: joins whatever stands beside it
 _KIND[[9, 10, 11, 12, 13, 32]] = 1
 _KIND[48:58] = 2
@@ -31,32 +31,56 @@ def _starts(row_offsets: np.ndarray, n: int, cut: np.ndarray) -> np.ndarray:
 
 
 class Kept:
-    """What is known of units: a number for each, found by its bytes, and a ragged array of values."""
+    """What is known of units: found by hash, confirmed by their bytes, with a ragged array of values."""
 
     def __init__(self, kind: type = np.uint16) -> None:
         self.kind = kind
         self.clear()
 
     def clear(self) -> None:
-        self.numbers: dict[bytes, int] = {}
-        self.bounds = np.zeros(1, np.int64)
-        self.values = np.zeros(0, self.kind)
-
-    def find(self, units: pa.Array, make) -> np.ndarray:
-        """Numbers of distinct units; ``make(list of bytes)`` gives values and lengths of those not met before."""
-        if len(self.numbers) > KEPT_UNITS:
+        self.hashes = np.zeros(0, np.uint64)  # sorted
+        self.where = np.zeros(0, np.int32)
+        self.bounds, self.values = np.zeros(1, np.int64), np.zeros(0, self.kind)
+        self.ends, self.letters = np.zeros(1, np.int64), np.zeros(0, np.uint8)
+
+    def _same(self, numbers: np.ndarray, data: np.ndarray, offsets: np.ndarray, which: np.ndarray) -> np.ndarray:
+        """Have the units ``which`` of ``data`` the bytes of those known by ``numbers``?"""
+        same = self.ends[numbers + 1] - self.ends[numbers] == offsets[which + 1] - offsets[which]
+        mine, sizes = ragged_take(data, offsets, which[same])
+        theirs, _ = ragged_take(self.letters, self.ends, numbers[same])
+        wrong = np.flatnonzero(mine != theirs)
+        same[np.flatnonzero(same)[np.searchsorted(np.cumsum(sizes), wrong, "right")]] = False
+        return same
+
+    def find(self, units: pa.Array, make, hashed=hashed) -> np.ndarray:
+        """Numbers of distinct units, none of them empty; ``make(list of bytes)`` gives values and lengths of those not met before."""
+        if len(self.hashes) > KEPT_UNITS:
             self.clear()
-        raw = units.to_pylist()
-        known = self.numbers.get
-        found = np.fromiter((known(u, -1) for u in raw), np.int64, len(raw))
+        found = np.full(len(units), -1, np.int64)
+        offsets = np.frombuffer(units.buffers()[1], np.int64)[units.offset : units.offset + len(units) + 1]
+        data = np.frombuffer(units.buffers()[2], np.uint8) if len(units) else np.zeros(0, np.uint8)
+        hashes = hashed(data, offsets[:-1], offsets[1:])
+        order, at = np.argsort(hashes), np.zeros(len(hashes), np.int64)
+        at[order] = np.searchsorted(self.hashes, hashes[order])
+        met = np.flatnonzero(at < len(self.hashes))
+        met = met[self.hashes[at[met]] == hashes[met]]
+        numbers = self.where[at[met]].astype(np.int64)
+        same = self._same(numbers, data, offsets, met)
+        found[met[same]] = numbers[same]
         new = np.flatnonzero(found < 0)
         if len(new):
-            fresh = [raw[i] for i in new.tolist()]
-            values, lengths = make(fresh)
+            values, lengths = make(units.take(pa.array(new)).to_pylist())
             found[new] = np.arange(len(new)) + len(self.bounds) - 1
-            self.numbers.update(zip(fresh, found[new].tolist(), strict=True))
+            fresh, sizes = ragged_take(data, offsets, new)
             self.values = np.concatenate([self.values, values.astype(self.kind)])
             self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(lengths)])
+            self.letters = np.concatenate([self.letters, fresh])
+            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
+            # of several units with one hash only the first is found again; the others are made anew each time
+            _, first = np.unique(hashes[new], return_index=True)
+            first = first[~np.isin(new[first], met)]
+            self.where = np.insert(self.where, at[new[first]], found[new[first]].astype(np.int32))
+            self.hashes = np.insert(self.hashes, at[new[first]], hashes[new[first]])
         return found
 
 

@@ -11,7 +11,8 @@ from oracle import SF
 from tokenizers import Tokenizer
 
 from fathomline.llm import bpe_counts, packing, quality, queries, training_order
-from fathomline.llm.tokens import WordIds
+from fathomline.llm.textarrays import hashed
+from fathomline.llm.tokens import Kept, WordIds
 
 WORDS, BYTES = (public_tokenizers.path(x) for x in ("word_bpe_49k.json", "byte_bpe_50k.json"))
 
@@ -54,6 +55,32 @@ def test_regular_words(words):
     assert found[quality.STATISTICS.index("n_dup_lines")].tolist() == [1]
 
 
+@pytest.mark.parametrize("same", [1, 7], ids=["all", "many"])
+def test_units_whose_hashes_are_equal(same):
+    """Whatever the hash says, a unit has its own values."""
+    kept = Kept(np.int64)
+    make = lambda units: (np.array([int.from_bytes(u[-7:], "big") for u in units], np.int64), np.ones(len(units), np.int64))
+    weak = lambda data, start, end: (end - start).astype(np.uint64) * np.uint64(same > 1)
+    draw = random.Random(3)
+    for _ in range(20):
+        units = sorted({bytes(draw.choice(b"abc0123") for _ in range(draw.randrange(1, 7))) for _ in range(40)})
+        numbers = kept.find(pa.array(units, pa.large_binary()), make, weak)
+        assert kept.values[kept.bounds[numbers]].tolist() == [int.from_bytes(u, "big") for u in units]
+
+
+def test_hashes_depend_on_the_bytes_of_a_span_alone():
+    draw = random.Random(8)
+    units = sorted({bytes(draw.choice(b"ef") for _ in range(draw.randrange(1, 90))) for _ in range(5000)} | {w.encode() for n in (64, 128, 200, 256) for w in thue_morse(n)})
+
+    def of(order, gap):
+        data = gap.join(order) + gap
+        ends = np.cumsum([len(u) + len(gap) for u in order]) - len(gap)
+        return hashed(np.frombuffer(data, np.uint8), ends - [len(u) for u in order], ends)
+
+    a, b = of(units, b" "), of(units[::-1], b"efe")[::-1]
+    assert (a == b).all() and len(set(a.tolist())) == len(units)
+
+
 def test_workers_forget(monkeypatch, texts):
     monkeypatch.setattr("fathomline.llm.tokens.KEPT_UNITS", 3)
     counter = bpe_counts.TokenCounter(BYTES)
