@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..model import TOKENS_SQL, load, r6, tokens
 from .inverted import okapi, text_index
+from .ranks import ranked
 from .texts import OKAPI, top_ranked
 
 
@@ -20,8 +22,12 @@ def _n(w) -> Column:
 def round_robin_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources take turns, for each language: every source's longest document, then its next one."""
     d = load(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars")
-    r = d.withColumn("turn", _n(Window.partitionBy("lang", "source").orderBy(F.desc("n_chars"), "doc_id")))
-    return r.withColumn("place", _n(Window.partitionBy("lang").orderBy("turn", "source"))).select("doc_id", "lang", "source", "turn", "place")
+    r = ranked(d, ["lang", "source"], [F.desc("n_chars"), "doc_id"], "turn")
+    # before a turn of a source stand all earlier turns, and this turn of the sources before it
+    sizes = d.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n")).groupBy(F.col("lang").alias("l")).agg(F.collect_list(F.struct("source", "n")).alias("sources"))
+    earlier = F.aggregate("sources", F.lit(0).cast("long"), lambda a, x: a + F.least(x["n"], F.col("turn") - 1))
+    beside = F.size(F.filter("sources", lambda x: (x["source"] < F.col("source")) & (x["n"] >= F.col("turn"))))
+    return r.join(sizes, F.col("lang").eqNullSafe(F.col("l"))).select("doc_id", "lang", "source", "turn", (earlier + beside + 1).alias("place"))
 
 
 ROUND_SQL = "WITH r AS (SELECT doc_id, lang, source, row_number() OVER (PARTITION BY lang, source ORDER BY n_chars DESC, doc_id) AS turn FROM documents) SELECT *, row_number() OVER (PARTITION BY lang ORDER BY turn, source) AS place FROM r"
@@ -64,7 +70,7 @@ def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     # one row for each stratum
     extra = a.withColumn("i", _n(Window.partitionBy("total").orderBy(F.desc("rest"), F.desc("n"), "source", "lang"))).withColumn("left", F.lit(SAMPLE) - F.sum("base").over(Window.partitionBy("total")))
     quota = extra.select("source", "lang", (F.col("base") + (F.col("i") <= F.col("left")).cast("long")).alias("quota"))
-    drawn = d.withColumn("nth", _n(Window.partitionBy("source", "lang").orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id")))
+    drawn = d.withColumn("nth", _n(Window.partitionBy("source", "lang").orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id"))).where(F.col("nth") <= SAMPLE)  # no quota is larger
     return drawn.join(quota, ["source", "lang"]).where("nth <= quota").select("doc_id", "source", "lang", "quota")
 
 
@@ -254,22 +260,27 @@ SELECT item_id, source, min(rank) AS first, count(*) AS n, row_number() OVER (PA
 
 
 def boundary_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks of 120 words at most that end at a sentence where one ends in their last third."""
+    """Chunks of 120 words at most that end at a sentence where one ends in their last third; words are parted by ASCII white space."""
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"[ \t-\r]+"), lambda w: w != "")
+    # texts stay here: only the places of sentence ends go to Python, which steps from cut to cut
+    d = load(spark, sf_dir, "documents").select("doc_id", F.explode(F.array(words)).alias("w"))
+    ends = F.filter(F.transform("w", lambda w, i: F.when(w.rlike("[.!?]$"), i + 1)), lambda i: i.isNotNull())
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
-            for doc, text in zip(frame["doc_id"], frame["text"].fillna(""), strict=True):
-                words, at, i = text.split(), 0, 0
-                while at < len(words):
-                    end = min(at + 120, len(words))
-                    if end < len(words):
-                        end = next((j + 1 for j in range(end - 1, at + 79, -1) if words[j][-1] in ".!?"), end)
+            for doc, n, ends in zip(frame["doc_id"], frame["n"], frame["ends"], strict=True):
+                at, i = 0, 0
+                while at < n:
+                    end = min(at + 120, n)
+                    if end < n:
+                        last = np.searchsorted(ends, end, "right") - 1
+                        end = int(ends[last]) if last >= 0 and ends[last] > at + 80 else end
                     out.append((doc, i, at, end - at))
                     at, i = end, i + 1
             yield pd.DataFrame(out, columns=["doc_id", "chunk", "first_word", "n_words"])
 
-    return load(spark, sf_dir, "documents").select("doc_id", "text").mapInPandas(cut, "doc_id bigint, chunk bigint, first_word bigint, n_words bigint")
+    return d.select("doc_id", F.size("w").alias("n"), ends.alias("ends")).mapInPandas(cut, "doc_id bigint, chunk bigint, first_word bigint, n_words bigint")
 
 
 QUERIES = {f.__name__: f for f in (round_robin_merge, slot_first, doc_diverse_union, stratified_sample, neighbor_expand, turn_window, cue_scores, mode_classify, topic_cluster, cells_long, schema_agg, cell_intersection, table_score, set_metrics, retrieval_metrics, answer_score, citation_order, boundary_chunks)}

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..model import load, r6, sensor
 from .intervals import range_join
+from .ranks import with_next
 from .voyages import SCHEDULE_SQL, SEGMENTS, schedule_open_end, segments
 
 #: Clause numbers at the beginning of a text, the form of a voyage's id, and words for a condition and a period.
@@ -50,9 +51,9 @@ SELECT p_partkey, printf('%d_s%02d', p_partkey, i) AS chunk_id, piece, coalesce(
 def char_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Likeness of each part's name to the next one's of its brand: twice the common grams over all, 0.72 and more where one holds the other."""
     p = load(spark, sf_dir, "part")
-    w = Window.partitionBy("p_brand").orderBy("p_partkey")
     clean = lambda c: F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"\s+", "")
-    t = p.select("p_partkey", clean(F.col("p_name")).alias("a"), clean(F.lead("p_name").over(w)).alias("b"))
+    pairs = with_next(p.select("p_partkey", "p_brand", "p_name"), ["p_brand"], ["p_partkey"], "p_name", "after")
+    t = pairs.select("p_partkey", clean(F.col("p_name")).alias("a"), clean(F.col("after")).alias("b"))
     low, high = F.least(F.length("a"), F.length("b")), F.greatest(F.length("a"), F.length("b"))
     n = F.when(low < 6, 2).otherwise(3)
     grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c) - n + 1)), lambda i: F.substring(c, i, n)))
@@ -72,10 +73,9 @@ SELECT p_partkey, round(CASE WHEN low = 0 THEN 0 WHEN contains(a, b) OR contains
 
 def entity_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of a part's entities (words of its name, its type) that its brand's next part has, compared in upper case without white space."""
-    w = Window.partitionBy("p_brand").orderBy("p_partkey")
     compact = lambda a: F.filter(F.array_distinct(F.transform(a, lambda x: F.upper(F.regexp_replace(x, r"\s+", "")))), lambda x: x != "")
     e = load(spark, sf_dir, "part").select("p_partkey", "p_brand", compact(F.concat(F.split(F.coalesce("p_name", F.lit("")), " "), F.array(F.coalesce("p_type", F.lit(""))))).alias("own"))
-    n = e.withColumn("other", F.lead("own").over(w))
+    n = with_next(e, ["p_brand"], ["p_partkey"], "own", "other")
     hits = F.size(F.filter("own", lambda q: F.exists(F.coalesce("other", F.array().cast("array<string>")), lambda t: t.contains(q) | q.contains(t))))
     return n.select("p_partkey", F.when(F.size("own") == 0, 0.0).otherwise(r6(hits / F.size("own"))).alias("overlap"))
 

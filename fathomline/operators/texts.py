@@ -274,8 +274,8 @@ def sha1_doc_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = load(spark, sf_dir, "pages")
     stem = F.lower(F.regexp_replace(F.regexp_replace("url", "[?#].*$", ""), "[^A-Za-z0-9]+", "_"))
     named = p.select("page_id", "url", stem.alias("stem"))
-    n = F.count(F.lit(1)).over(Window.partitionBy("stem"))
-    return named.withColumn("n", n).select("page_id", F.when(F.col("n") > 1, F.concat("stem", F.lit("_"), F.substring(F.sha1(F.concat_ws("#", "url", "page_id")), 1, 8))).otherwise(F.col("stem")).alias("doc_key"))
+    shared = named.groupBy("stem").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return named.join(shared, "stem", "left").select("page_id", F.when(F.col("n") > 1, F.concat("stem", F.lit("_"), F.substring(F.sha1(F.concat_ws("#", "url", "page_id")), 1, 8))).otherwise(F.col("stem")).alias("doc_key"))
 
 
 SHA1_SQL = """SELECT page_id, CASE WHEN count(*) OVER (PARTITION BY stem) > 1 THEN stem || '_' || substr(sha1(url || '#' || page_id), 1, 8) ELSE stem END AS doc_key
