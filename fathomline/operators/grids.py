@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..model import load
 
@@ -171,6 +175,92 @@ v AS (SELECT q.label || '|' || path || '|' || coalesce(q.y::VARCHAR, 'any') AS q
 SELECT question_id, CASE WHEN count(value) = 0 THEN 'refused' WHEN min(value) <> max(value) THEN 'conflict' ELSE 'answered' END AS status, CASE WHEN min(value) = max(value) THEN min(value) END AS value, count(value) AS n_tables FROM v GROUP BY 1"""
 
 
+# --- quality --------------------------------------------------------------------------------------
+
+#: Names of columns that name nothing, and what a table loses for what it lacks.
+GENERIC = r"(?i)^(?:col(?:umn)?[_ ]?[0-9]+|content|value)$"
+LOSSES = {"text": 0.22, "caption": 0.06, "single": 0.36, "empty": 0.8, "many": 0.12}
+LONG_HEADER, MOST_COLUMNS, SPARSE = 90, 24, 0.34
+
+
+@F.pandas_udf(StringType())
+def clean_text(values: pd.Series) -> pd.Series:
+    """Compatibility forms, no soft hyphens, single blanks; null is empty."""
+    return values.map(lambda v: "" if v is None else " ".join(unicodedata.normalize("NFKC", v).replace("\u00ad", "").split()))
+
+
+def private_use(text: Column) -> Column:
+    """The share of characters without a meaning of their own (private use), 0 for an empty text."""
+    t = F.coalesce(text, F.lit(""))
+    return F.coalesce(F.char_length(F.regexp_replace(t, r"[^\p{Co}]", "")) / F.nullif(F.char_length(t), F.lit(0)), F.lit(0.0))
+
+
+def readable(text: Column, told: str = "[formula]") -> Column:
+    """A text with each run of private-use characters told by a word."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), r"\p{Co}+", f" {told} "), r"\s+", " "))
+
+
+def assess(cells: DataFrame, tables: DataFrame) -> DataFrame:
+    """table_id, n_columns, n_rows, density, generic, long_headers, private, score, status of tables (table_id, caption, strategy) with slots in ``cells``.
+
+    A column is one under a header and a row one with a value below the
+    headers.  A table without cells has neither.  ``pass`` needs 0.7, ``review``
+    0.58 and hardly any private-use characters, both two columns and a row.
+    """
+    heads = header_paths(cells)
+    columns = heads.groupBy("table_id").agg(F.count(F.lit(1)).alias("n_columns"), F.count(F.when(F.col("path").rlike(GENERIC), 1)).alias("g"), F.count(F.when(F.char_length("path") > LONG_HEADER, 1)).alias("l"), F.sum(F.char_length("path")).alias("head_size"), F.sum(F.char_length("path") * private_use(F.col("path"))).alias("head_private"))
+    body = cells.join(header_depth(cells), "table_id").where((F.col("row") >= F.col("depth")) & ~blank()).join(heads.select("table_id", "col"), ["table_id", "col"])
+    rows = body.groupBy("table_id").agg(F.countDistinct("row").alias("n_rows"), F.count(F.lit(1)).alias("filled"), F.sum(F.char_length("text")).alias("body_size"), F.sum(F.char_length("text") * private_use(F.col("text"))).alias("body_private"))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    t = tables.join(columns, "table_id", "left").join(rows, "table_id", "left").select(
+        "table_id", "caption", "strategy", zero("n_columns").alias("n_columns"), zero("n_rows").alias("n_rows"),
+        (zero("filled") / F.greatest(F.lit(1), zero("n_rows") * zero("n_columns"))).alias("density"), (zero("g") / F.greatest(F.lit(1), zero("n_columns"))).alias("generic"),
+        (zero("l") / F.greatest(F.lit(1), zero("n_columns"))).alias("long_headers"), ((zero("head_private") + zero("body_private")) / F.greatest(F.lit(1), zero("head_size") + zero("body_size"))).alias("private"),
+    )
+    lost = lambda c, n: F.when(c, n).otherwise(0.0)
+    pua = F.col("private")
+    score = (
+        1.0 - lost(F.col("strategy") == "text", LOSSES["text"]) - lost(F.coalesce(F.trim("caption"), F.lit("")) == "", LOSSES["caption"]) - lost(F.col("n_columns") < 2, LOSSES["single"]) - lost(F.col("n_rows") < 1, LOSSES["empty"])
+        - F.least(F.lit(0.34), F.col("generic") * 0.38) - lost(F.col("density") < SPARSE, F.least(F.lit(0.3), (SPARSE - F.col("density")) * 1.2)) - F.least(F.lit(0.28), F.col("long_headers") * 0.35)
+        - F.when(pua <= 0, 0.0).when(pua <= 0.06, F.least(F.lit(0.12), 0.04 + pua)).when(pua <= 0.2, 0.2).otherwise(0.28) - lost(F.col("n_columns") > MOST_COLUMNS, LOSSES["many"])
+    )
+    whole = (F.col("n_columns") >= 2) & (F.col("n_rows") >= 1)
+    scored = t.withColumn("score", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 3))
+    status = F.when((F.col("score") >= 0.7) & whole, "pass").when((F.col("score") >= 0.58) & whole & (pua < 0.01), "review").otherwise("reject")
+    return scored.select("table_id", "n_columns", "n_rows", F.round("density", 4).alias("density"), F.round("generic", 4).alias("generic"), F.round("long_headers", 4).alias("long_headers"), F.round("private", 6).alias("private"), "score", status.alias("status"))
+
+
+def grid_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of the yearly tables; those of even years have no caption, those of each third one come from text."""
+    slots = order_tables(load(spark, sf_dir, "orders"))
+    y = F.col("table_id")
+    info = slots.select("table_id").distinct().select("table_id", F.when(y % 2 == 1, F.concat(F.lit("Orders of "), y.cast("string"))).alias("caption"), F.when(y % 3 == 0, "text").otherwise("lines").alias("strategy"))
+    return assess(slots, info)
+
+
+GRID_QUALITY_SQL = """WITH f AS (SELECT DISTINCT year(o_orderdate) AS y, o_orderpriority AS p, o_orderstatus AS s FROM orders WHERE o_orderdate IS NOT NULL), n AS (SELECT y, 2 * count(DISTINCT s) AS n_columns, count(DISTINCT p) AS n_rows, 2 * count(*) AS filled FROM f GROUP BY 1),
+d AS (SELECT *, filled::DOUBLE / (n_columns * n_rows) AS density, round(1.0::DOUBLE - CASE WHEN y % 3 = 0 THEN 0.22::DOUBLE ELSE 0 END - CASE WHEN y % 2 = 0 THEN 0.06::DOUBLE ELSE 0 END - CASE WHEN filled::DOUBLE / (n_columns * n_rows) < 0.34 THEN least(0.3::DOUBLE, (0.34::DOUBLE - filled::DOUBLE / (n_columns * n_rows)) * 1.2::DOUBLE) ELSE 0 END, 3) AS score FROM n)
+SELECT y AS table_id, n_columns, n_rows, round(density, 4) AS density, 0.0::DOUBLE AS generic, 0.0::DOUBLE AS long_headers, 0.0::DOUBLE AS private, score, CASE WHEN score >= 0.7 THEN 'pass' WHEN score >= 0.58 THEN 'review' ELSE 'reject' END AS status FROM d"""
+
+
+def page_bodies(chunks: DataFrame, least: int = 60) -> DataFrame:
+    """page, n, text of chunks (page, text): the distinct bodies of ``least`` characters and more of a page, the longest first, ties by text."""
+    bodies = chunks.select("page", F.trim("text").alias("text")).where(F.char_length("text") >= least).distinct()
+    # a page's bodies meet in one row, as its text is one value
+    held = bodies.groupBy("page").agg(F.array_sort(F.collect_list(F.struct((-F.char_length("text")).alias("n"), "text"))).alias("b"))
+    return held.select("page", F.size("b").cast("long").alias("n"), F.array_join(F.transform("b", lambda x: x["text"]), "\n\n").alias("text"))
+
+
+def page_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of ten documents as the bodies of one page."""
+    d = load(spark, sf_dir, "documents").select(F.expr("doc_id div 10").alias("page"), F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("text"))
+    return page_bodies(d).select("page", "n", F.char_length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
+
+
+ASSEMBLY_SQL = """WITH l AS (SELECT DISTINCT page, trim(line, ' ') AS line FROM (SELECT doc_id // 10 AS page, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents) WHERE length(trim(line, ' ')) >= 60),
+t AS (SELECT page, count(*) AS n, string_agg(line, chr(10) || chr(10) ORDER BY length(line) DESC, line) AS text FROM l GROUP BY 1) SELECT page, n, length(text) AS n_chars, sha256(text) AS text_sha256 FROM t"""
+
+
 # --- formulas -------------------------------------------------------------------------------------
 
 
@@ -207,5 +297,5 @@ def formula_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 FORMULA_SQL = r"SELECT p_partkey AS line_id, regexp_replace(coalesce(p_brand, ''), '([0-9]+)', '^{\1}', 'g') || CASE WHEN coalesce(p_type, '') = '' THEN '' ELSE '_{' || left(p_type, 2) || '}' END AS text FROM part"
 
-QUERIES = {f.__name__: f for f in (coordinate_grid, header_answers, formula_lines)}
-ORACLES = {"coordinate_grid": GRID_SQL, "header_answers": ANSWERS_SQL, "formula_lines": FORMULA_SQL}
+QUERIES = {f.__name__: f for f in (coordinate_grid, header_answers, formula_lines, grid_quality, page_assembly)}
+ORACLES = {"coordinate_grid": GRID_SQL, "header_answers": ANSWERS_SQL, "formula_lines": FORMULA_SQL, "grid_quality": GRID_QUALITY_SQL, "page_assembly": ASSEMBLY_SQL}

@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from fathomline.operators import grids
 
 SLOTS = "table_id bigint, row bigint, col bigint, text string"
@@ -78,3 +80,31 @@ def test_formulas(spark):
     draw.shuffle(rows)
     got = grids.formulas(spark.createDataFrame(rows, "line_id bigint, x double, y double, size double, code int")).collect()
     assert {r["line_id"]: r["text"] for r in got} == {1: "x^{23}+alpha_{i}-1", 2: "ab", 4: "sum"}
+
+
+def test_quality_by_its_rule(spark):
+    body = [["r1", "1", "2"], ["r2", "3", ""]]
+    tables = {
+        1: [["", "length", "width"], *body], 2: [["", "column_1", "Value"], *body], 3: [["", "x" * 91, "y"], *body], 4: [["", "only"], ["r", "1"]], 5: [["", "a", "b"]],
+        6: [["", "a\ue000", "b"], ["r", "1", "2"]], 7: [["", *[f"c{i}x" for i in range(25)]], ["r", "1", *[""] * 24]],
+    }
+    info = [(i, "Table 1" if i != 1 else " ", "text" if i == 4 else "lines") for i in range(1, 9)]
+    got = {r["table_id"]: r for r in grids.assess(slots(spark, tables), spark.createDataFrame(info, "table_id bigint, caption string, strategy string")).collect()}
+    assert {i: (r["score"], r["status"]) for i, r in got.items()} == {
+        1: (0.94, "pass"), 2: (0.66, "review"), 3: (0.825, "pass"), 4: (0.42, "reject"), 5: (0.0, "reject"), 6: (0.8, "pass"), 7: (0.58, "review"), 8: (0.0, "reject"),
+    }
+    assert (got[1]["density"], got[8]["n_columns"], got[6]["private"]) == (0.75, 0, 0.2)
+
+
+def test_cleaning(spark):
+    texts = ["\ufb01ne\u00ad print\u3000\uff21  b\n", None, "", "\ue000\ue001 x \ue002y"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1)
+    rows = df.select(grids.clean_text("t").alias("c"), grids.private_use(F.col("t")).alias("p"), grids.readable(F.col("t")).alias("r")).collect()
+    assert [r["c"] for r in rows][:3] == ["fine print A b", "", ""]
+    assert [round(r["p"], 3) for r in rows] == [0.0, 0.0, 0.0, 0.429] and rows[3]["r"] == "[formula] x [formula] y"
+
+
+def test_bodies_of_a_page(spark):
+    rows = [(1, "a" * 60), (1, " " + "a" * 60), (1, "b" * 70), (1, "c" * 70), (1, "short"), (2, None), (2, "d" * 59), (None, "e" * 61)]
+    got = {r["page"]: r["text"] for r in grids.page_bodies(spark.createDataFrame(rows, "page bigint, text string")).collect()}
+    assert got == {1: "\n\n".join(["b" * 70, "c" * 70, "a" * 60]), None: "e" * 61}
