@@ -10,6 +10,8 @@ file.
 
 from __future__ import annotations
 
+import base64
+import hashlib
 import zlib
 from collections.abc import Iterator
 
@@ -149,7 +151,8 @@ def parse_record(record: bytes) -> tuple[dict[str, str], bytes]:
 def read_archives(spark: SparkSession, folder: str) -> DataFrame:
     """Every record of the archives under ``folder``: its headers, and its payload (null for revisits).
 
-    A task holds the compressed bytes of one archive, which has a bounded
+    A response's digest is computed from what was read; another one than its
+    header's is an error.  A task holds the compressed bytes of one archive, which has a bounded
     number of records, and unpacks them record by record.
     """
 
@@ -165,7 +168,10 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
                     head, block = parse_record(record)
                     kind = head["WARC-Type"]
                     whole = (len(block), block) if kind == "response" else (None, None)
-                    rows.append((head["WARC-Record-ID"], number(head.get("WARC-Page")), head.get("WARC-Target-URI"), kind, head["WARC-Payload-Digest"].removeprefix("sha1:"), number(head.get("WARC-Refers-To-Page")), *whole))
+                    digest = head["WARC-Payload-Digest"].removeprefix("sha1:")
+                    if kind == "response" and base64.b32encode(hashlib.sha1(block).digest()).decode() != digest:
+                        raise ValueError(f"{head['WARC-Record-ID']}: the payload has another digest than its header says")
+                    rows.append((head["WARC-Record-ID"], number(head.get("WARC-Page")), head.get("WARC-Target-URI"), kind, digest, number(head.get("WARC-Refers-To-Page")), *whole))
                     size += len(record)
                     if size > 4 << 20:
                         yield give(rows)

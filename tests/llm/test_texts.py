@@ -1,7 +1,10 @@
 """Operators 2, 3, 4, 5, 8 and 9."""
 
+
+import base64
 import collections
 import gzip
+import hashlib
 import ipaddress
 import math
 import random
@@ -107,6 +110,13 @@ def test_chat_round_trip(spark):
     assert chat.render(log.where("false")).count() == 0
 
 
+def test_very_long_messages(spark):
+    said = "<|im_end|> \\ é word " * 60_000
+    log = spark.createDataFrame([(1, 0, "user", said), (1, 1, "assistant", said[::-1])], "conv_id bigint, turn bigint, role string, text string")
+    row = chat.parse(chat.render(chat.fold_events(chat.streamed(log)))).first()
+    assert [t["text"] for t in row["turns"]] == [said, said[::-1]] and row["loss_text"] == said[::-1]
+
+
 def test_events_fold(spark):
     rows = [
         (1, 1, 1, "user", "message", "hi"), (1, 2, 2, "assistant", "message", "He"), (1, 2, 3, None, "delta", "llo"), (1, 2, 4, None, "regenerate", "Good"), (1, 2, 5, None, "delta", " day"), (1, 1, 6, None, "edit", "hello"),
@@ -158,6 +168,29 @@ def test_archives(spark, tmp_path):
     assert warc.read_archives(spark, f"{folder}3").count() == 0
 
 
+def test_damaged_payloads_are_found(spark, tmp_path):
+    record = b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:uuid:1>\r\nWARC-Payload-Digest: sha1:%s\r\nWARC-Page: 1\r\nContent-Length: 4\r\n\r\n%s\r\n\r\n"
+    digest = base64.b32encode(hashlib.sha1(b"good").digest())
+    for name, payload in (("whole", b"good"), ("damaged", b"goof")):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "part-0.txt").write_bytes(warc.member(record % (digest, payload)))
+    assert warc.read_archives(spark, f"file://{tmp_path}/whole").first()["payload_bytes"] == 4
+    with pytest.raises(Exception, match="another digest"):
+        warc.read_archives(spark, f"file://{tmp_path}/damaged").collect()
+
+
+def test_very_long_pages_and_equal_rows(spark, tmp_path):
+    long = "".join(f"<p>é{i}</p>" for i in range(120_000))
+    rows = [(1, "u", long), (2, "v", long), (3, "w", "x"), (3, "w", "x"), (4, "w", None), (4, "w", None)]
+    warc.write_archives(spark.createDataFrame(rows, "page_id bigint, url string, html string"), f"file://{tmp_path}/w")
+    got = warc.with_originals(warc.read_archives(spark, f"file://{tmp_path}/w")).collect()
+    told = collections.Counter((r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"]) for r in got)
+    n = len(long.encode())
+    assert told[1, n, "response", None] == told[2, n, "revisit", 1] == 1 and sum(told.values()) == 6
+    assert sum(v for k, v in told.items() if k[0] == 3) == sum(v for k, v in told.items() if k[0] == 4) == 2
+    assert all(k[2] == "response" or k[3] == k[0] for k in told if k[0] in (3, 4))
+
+
 def test_members_of_any_length():
     big = b"x" * (1 << 24)
     content = warc.member(b"a") + warc.member(big) + warc.member(b"b")
