@@ -1,6 +1,5 @@
 """Operators 2, 3, 4, 5, 8 and 9."""
 
-
 import base64
 import collections
 import gzip
