@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..model import load, tokens
 from ..sources import versions
 from ..sources.tables import scratch_folder
+from .scratch import written
 
 BUCKETS = 32
 #: Documents of a block, by id.
@@ -47,7 +48,7 @@ def write_segment(docs: DataFrame, root: str) -> dict:
     block = F.expr(f"doc_id div {BLOCK}").alias("block")
     postings.groupBy("term", block).agg(F.count(F.lit(1)).alias("n"), F.sum("tf").alias("cf"), F.max("tf").alias("max_tf"), F.min("len").alias("min_len")).write.parquet(f"{folder}/blocks")
     docs.select("doc_id").write.parquet(f"{folder}/ids")
-    words = postings.agg(F.coalesce(F.sum("tf"), F.lit(0))).first()[0]
+    words = spark.read.parquet(f"{folder}/blocks").agg(F.coalesce(F.sum("cf"), F.lit(0))).first()[0]
     return {"kind": "segment", "path": folder, "n": spark.read.parquet(f"{folder}/ids").count(), "words": words}
 
 
@@ -173,7 +174,7 @@ def text_index(spark: SparkSession, sf_dir: str) -> TextIndex:
 
 def okapi(index: TextIndex, items: DataFrame) -> DataFrame:
     """item_id, doc_id, score of every document that shares a term; scores of zero or less are dropped."""
-    q = index.weighted(items)
+    q = written(index.weighted(items))
     met = index.postings(q).join(q, "term")
     return met.groupBy("item_id", "doc_id").agg(F.round(F.sum(index.part()), 6).alias("score")).where("score > 0")
 
@@ -190,7 +191,7 @@ def best_documents(index: TextIndex, items: DataFrame, depth: int) -> DataFrame:
     read only if its bound reaches the score that ``depth`` documents of them
     have.
     """
-    q = index.weighted(items)
+    q = written(index.weighted(items))
     bounds = index.blocks().join(q, "term").groupBy("item_id", "block").agg((F.sum(index.part("max_tf", "min_len")) + 1e-6).alias("bound"))
     order = Window.partitionBy("item_id").orderBy(F.desc("bound"), "block")
     ranked = bounds.withColumn("nth", F.row_number().over(order))
