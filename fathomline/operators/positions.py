@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..model import load
+from .scratch import written
 
 #: Fixed value: a negation counts for a claim within so many characters before or behind it.
 REACH = 36
@@ -32,12 +33,17 @@ def word_positions(docs: DataFrame) -> DataFrame:
 def phrase_hits(positions: DataFrame, phrases: DataFrame) -> DataFrame:
     """doc_id, phrase_id, pos, at, until of every occurrence of ``phrases`` (phrase_id, words), of any length, overlaps included.
 
-    A word of a phrase tells where the phrase would begin; where all its words
-    tell the same place it stands.
+    A phrase is looked for at its rarest word only; where that stands, its
+    other words are asked for by document and place.  ``positions`` is read
+    several times: write it first where it is costly.
     """
     asked = phrases.where(F.size("words") > 0).select("phrase_id", F.size("words").alias("n"), F.posexplode("words").alias("i", "word"))
-    told = positions.join(asked, "word").select("doc_id", "phrase_id", "n", (F.col("pos") - F.col("i")).alias("pos"), "at", "until")
-    stands = told.groupBy("doc_id", "phrase_id", "n", "pos").agg(F.count(F.lit(1)).alias("k"), F.min("at").alias("at"), F.max("until").alias("until"))
+    counts = positions.join(asked.select("word").distinct(), "word", "left_semi").groupBy("word").agg(F.count(F.lit(1)).alias("cf"))
+    rarest = asked.join(counts, "word", "left").groupBy("phrase_id", "n").agg(F.min(F.struct(F.coalesce("cf", F.lit(0)).alias("cf"), "i", "word")).alias("a"))
+    anchors = rarest.where("a.cf > 0").select("phrase_id", "n", F.col("a.i").alias("i"), F.col("a.word").alias("word"))
+    starts = positions.join(anchors, "word").select("doc_id", "phrase_id", "n", (F.col("pos") - F.col("i")).alias("start")).where("start >= 0")
+    wanted = starts.join(asked.select("phrase_id", "i", "word"), "phrase_id").select("doc_id", "phrase_id", "n", "start", (F.col("start") + F.col("i")).alias("pos"), "word")
+    stands = wanted.join(positions, ["doc_id", "pos", "word"]).groupBy("doc_id", "phrase_id", "n", F.col("start").alias("pos")).agg(F.count(F.lit(1)).alias("k"), F.min("at").alias("at"), F.max("until").alias("until"))
     return stands.where("k = n").select("doc_id", "phrase_id", "pos", "at", "until")
 
 
@@ -90,7 +96,7 @@ def benchmark_phrases(items: DataFrame) -> DataFrame:
 def phrase_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where phrases of four words of the benchmark stand in documents: how often and first, per item and document."""
     phrases = benchmark_phrases(load(spark, sf_dir, "benchmark"))
-    hits = phrase_hits(word_positions(load(spark, sf_dir, "documents").select("doc_id", "text")), phrases.select("phrase_id", "words").distinct())
+    hits = phrase_hits(written(word_positions(load(spark, sf_dir, "documents").select("doc_id", "text"))), phrases.select("phrase_id", "words").distinct())
     return hits.join(phrases.select("phrase_id", "item_id"), "phrase_id").groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first_pos"), F.min("at").alias("first_at"))
 
 
