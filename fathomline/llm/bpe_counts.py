@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textarrays import numbered, slices
+from .textarrays import give_back, numbered, slices
 from .tokens import _KIND, Kept
 
 #: Fixed: how the byte-level vocabulary cuts texts into pre-tokens.
@@ -147,6 +147,7 @@ class TokenCounter:
                     text = raw[offsets[i] : offsets[i + 1]]
                     if any(x in text for x in special) or _ODD_SPACE.search(text):
                         n_tokens[row + i] = self._whole(text.decode())
+        give_back()
         return n_bytes, n_tokens
 
 

@@ -72,8 +72,11 @@ def strings(values: np.ndarray, ends: np.ndarray) -> pa.Array:
 
 def spans(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
     """These parts of a byte array, which may overlap, as binary values."""
-    letters, sizes = ragged_take(data, np.stack([start, end], axis=1).ravel(), np.arange(0, 2 * len(start), 2))
-    return strings(letters, np.cumsum(sizes))
+    sizes = end - start
+    ends = np.cumsum(sizes)
+    small = np.int32 if len(ends) and max(ends[-1], len(data)) < 1 << 31 else np.int64
+    at = np.arange(ends[-1] if len(ends) else 0, dtype=small) + np.repeat((start - (ends - sizes)).astype(small), sizes)
+    return strings(data[at], ends)
 
 
 def numbered(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, pa.Array]:
@@ -153,7 +156,9 @@ def windows(hashes: np.ndarray, counts: np.ndarray, bounds: np.ndarray, size: in
 
 def ragged_take(values: np.ndarray, bounds: np.ndarray, picks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The parts ``picks`` of a ragged array one after the other, and their lengths."""
-    lengths = (bounds[1:] - bounds[:-1])[picks]
+    first = bounds[picks]
+    lengths = bounds[picks + 1] - first
     ends = np.cumsum(lengths)
-    at = np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - lengths, lengths)
-    return values[np.repeat(bounds[:-1][picks], lengths) + at], lengths
+    small = np.int32 if len(ends) and max(ends[-1], len(values)) < 1 << 31 else np.int64
+    at = np.arange(ends[-1] if len(ends) else 0, dtype=small) + np.repeat((first - (ends - lengths)).astype(small), lengths)
+    return values[at], lengths

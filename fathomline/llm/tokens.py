@@ -13,7 +13,7 @@ import re
 import numpy as np
 import pyarrow as pa
 
-from .textarrays import LOWER, hashed, numbered, ragged_take, slices
+from .textarrays import LOWER, give_back, hashed, numbered, ragged_take, slices
 
 #: A worker forgets its units beyond so many: that changes no result.
 KEPT_UNITS = 2_000_000
@@ -156,6 +156,7 @@ class WordIds:
             total = np.zeros(len(lengths) + 1, np.int64)
             np.cumsum(lengths, out=total[1:])
             yield row, ids, total[bounds[1:]] - total[bounds[:-1]]
+        give_back()
 
 
 @functools.cache
