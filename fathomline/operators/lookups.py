@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..model import SENSOR_SQL, TOKENS_SQL, load, r6, sensor, tokens
+from ..model import SENSOR_SQL, TOKENS_SQL, ascii_bounds, load, r6, sensor, tokens
 from .hybrid import _pool_sql, sparse_pool
 from .layout import boxes
 from .tables import STAGE2, stage2
@@ -116,7 +116,7 @@ SELECT item_id, '{{"n":' || n || ',"n_sources":' || n_sources || ',"langs":"' ||
 def question_category(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items by what they ask for: a list, a number, a comparison, a name or a text, the first that fits, with clamped depths of search."""
     t = F.coalesce("text", F.lit(""))
-    category = F.when(t.rlike(r"\n.*\n"), "list").when(t.rlike("[0-9]"), "number").when(F.lower(t).rlike(r"\b(than|rather)\b"), "comparison").when(F.size(tokens(t)) < 25, "name").otherwise("text")
+    category = F.when(t.rlike(r"\n.*\n"), "list").when(t.rlike("[0-9]"), "number").when(F.lower(t).rlike(ascii_bounds(r"\b(than|rather)\b")), "comparison").when(F.size(tokens(t)) < 25, "name").otherwise("text")
     n = F.size(tokens(t))
     return load(spark, sf_dir, "benchmark").select("item_id", category.alias("category"), F.least(F.greatest(n, F.lit(6)), F.lit(20)).cast("long").alias("top_k"), F.least(F.greatest(4 * n, F.lit(40)), F.lit(120)).cast("long").alias("fetch_k"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..model import load
+from ..model import ascii_bounds, load
 from .scratch import written
 
 #: Fixed value: a negation counts for a claim within so many characters before or behind it.
@@ -81,7 +81,7 @@ def modality(clause: Column) -> Column:
     """What a clause says may be done: the first of ``MODALITY`` that fits, else none."""
     text, out = F.lower(clause), F.lit("none")
     for name, pattern in reversed(MODALITY):
-        out = F.when(text.rlike(pattern), name).otherwise(out)
+        out = F.when(text.rlike(ascii_bounds(pattern)), name).otherwise(out)
     return out
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..model import load, r6, tokens
+from ..model import ascii_bounds, load, r6, tokens
 from .hybrid import LITERAL_SQL, _pool_sql, exact_literals, sparse_pool
 
 #: How codes, clauses, quantities and sessions are written.
@@ -141,7 +141,8 @@ def key_clauses(clauses: DataFrame, questions: DataFrame, limit: int = 12) -> Da
     """
     asked = questions.select("question_id", F.array_distinct(F.filter(tokens(F.col("question")), lambda w: ~w.isin(STOP))).alias("asked"))
     t = F.coalesce("text", F.lit(""))
-    n = F.size(F.regexp_extract_all(t, F.lit(CODE), F.lit(0))) + F.size(F.regexp_extract_all(t, F.lit(CLAUSE), F.lit(0))) + F.size(F.regexp_extract_all(t, F.lit(QUANTITY), F.lit(0))) + F.size(F.regexp_extract_all(t, F.lit(r"(?i)\b(?:shall|must|should|may)\b"), F.lit(0)))
+    n_of = lambda pattern: F.size(F.regexp_extract_all(t, F.lit(ascii_bounds(pattern)), F.lit(0)))
+    n = n_of(CODE) + n_of(CLAUSE) + n_of(QUANTITY) + n_of(r"(?i)\b(?:shall|must|should|may)\b")
     met = clauses.join(asked, "question_id").select("question_id", "clause_id", "pos", "authority", "asked", tokens(t).alias("w"), n.alias("n"))
     overlap = F.when(F.size("asked") == 0, 0.0).otherwise(F.size(F.array_intersect("asked", "w")) / F.size("asked"))
     scored = met.withColumn("score", r6(2 * overlap + 0.35 * F.least("n", F.lit(5)) + F.coalesce("authority", F.lit(0.0))))
