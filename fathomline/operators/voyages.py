@@ -207,7 +207,7 @@ def recent_left_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 500 last shipments (a report of that size) with the order interval they fall into, if any."""
     li = load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("orderkey"), "l_linenumber", "l_shipdate", "l_quantity")
     recent = li.orderBy(F.desc("l_shipdate"), "orderkey", "l_linenumber").limit(500)
-    return range_join(recent, order_intervals(spark, sf_dir), ["orderkey"], "l_shipdate", "start_ts", "end_ts", "left")
+    return range_join(recent, order_intervals(spark, sf_dir), ["orderkey"], "l_shipdate", "start_ts", "end_ts", "left", by_day=False)
 
 
 RECENT_SQL = f"""WITH r AS (SELECT l_orderkey AS orderkey, l_linenumber, l_shipdate, l_quantity FROM lineitem ORDER BY l_shipdate DESC, orderkey, l_linenumber LIMIT 500)
@@ -218,7 +218,7 @@ FROM r LEFT JOIN orders ON o_orderkey = orderkey AND l_shipdate BETWEEN o_orderd
 def annual_voyages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per customer and year of start: order intervals and what was shipped inside them."""
     li = load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("orderkey"), "l_shipdate", "l_quantity")
-    per = range_join(li, order_intervals(spark, sf_dir), ["orderkey"], "l_shipdate", "start_ts", "end_ts").groupBy("orderkey", "o_custkey", "start_ts").agg(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("q"))
+    per = range_join(li, order_intervals(spark, sf_dir), ["orderkey"], "l_shipdate", "start_ts", "end_ts", by_day=False).groupBy("orderkey", "o_custkey", "start_ts").agg(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("q"))
     return per.groupBy("o_custkey", F.year("start_ts").cast("long").alias("year")).agg(F.count(F.lit(1)).alias("intervals"), F.sum("n").alias("shipments"), r6(F.sum("q")).alias("quantity"), F.max("n").alias("most"))
 
 
