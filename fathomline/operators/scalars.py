@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..model import load, r6, sensor
-from .intervals import range_join
+from .intervals import with_cover
 from .ranks import with_next
 from .voyages import SCHEDULE_SQL, SEGMENTS, schedule_open_end, segments
 
@@ -122,8 +122,7 @@ def voyage_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     planned = schedule_open_end(spark, sf_dir).join(orders, "o_orderkey").select("vessel", "start_ts", "end_ts", F.lit("scheduled").alias("kind"))
     found = segments(sensor(spark, sf_dir)).select("vessel", "voyage", "start_ts", "end_ts")
     spans = planned.select("vessel", F.col("start_ts").alias("s"), F.col("end_ts").alias("e"))
-    inside = range_join(found, spans, ["vessel"], "start_ts", "s", "e").select("vessel", "voyage").distinct()
-    detected = found.join(inside, ["vessel", "voyage"], "left_anti").select("vessel", "start_ts", "end_ts", F.lit("detected").alias("kind"))
+    detected = with_cover(found, spans, ["vessel"], "start_ts", "s", "e", "inside").where("NOT inside").select("vessel", "start_ts", "end_ts", F.lit("detected").alias("kind"))
     return planned.unionByName(detected)
 
 
