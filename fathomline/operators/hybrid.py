@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..model import TOKENS_SQL, load, r6, tokens
 from .inverted import okapi, text_index
+from .scratch import written
 from .texts import OKAPI, top_ranked
 from .vectors import _lane_sql, lane
 
@@ -26,7 +27,9 @@ def _n(w) -> Column:
 def sparse_pool(spark: SparkSession, sf_dir: str, depth: int) -> DataFrame:
     """item_id, doc_id, score, rank, source, lang: each item's best documents by BM25."""
     docs = load(spark, sf_dir, "documents")
-    return top_ranked(okapi(text_index(spark, sf_dir), load(spark, sf_dir, "benchmark")), "item_id", "doc_id", depth).join(docs.select("doc_id", "source", "lang"), "doc_id")
+    # written, the pool is known to be small: joins with whole documents needn't shuffle these
+    top = written(top_ranked(okapi(text_index(spark, sf_dir), load(spark, sf_dir, "benchmark")), "item_id", "doc_id", depth))
+    return written(top.join(docs.select("doc_id", "source", "lang"), "doc_id"))
 
 
 def _pool_sql(depth: int) -> str:
@@ -109,10 +112,11 @@ def exact_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
     def windows(df: DataFrame, key: str, text: Column) -> DataFrame:
         words = df.select(key, tokens(text).alias("w")).where(F.size("w") > 2)
         last = F.size("w") - 2
-        return words.select(key, F.explode(F.transform(F.sequence(F.lit(1), last), lambda i: F.array_join(F.slice("w", i, 3), " "))).alias("literal")).distinct()
+        return words.select(key, F.explode(F.transform(F.sequence(F.lit(1), last), lambda i: F.array_join(F.slice("w", i, 3), " "))).alias("literal"))
 
     docs = load(spark, sf_dir, "documents")
-    wanted = windows(load(spark, sf_dir, "benchmark"), "item_id", F.col("text"))
+    # written, its size is known: the windows of documents needn't be shuffled, and only those that are met are told apart
+    wanted = written(windows(load(spark, sf_dir, "benchmark"), "item_id", F.col("text")).distinct())
     anywhere = windows(docs, "doc_id", F.col("text")).join(wanted, "literal").select("item_id", "doc_id", F.lit(1.0).alias("score"))
     heading = windows(docs, "doc_id", F.get(F.split("text", "\n"), F.lit(0))).join(wanted, "literal").select("item_id", "doc_id", F.lit(1.8).alias("score"))
     best = anywhere.union(heading).groupBy("item_id", "doc_id").agg(F.max("score").alias("score"))

@@ -9,6 +9,7 @@ from ..model import DEFAULT_DWT, SENSOR_SQL, load, r6, sensor, tokens
 from .evidence import CUE_SQL, cue_scores
 from .layout import boxes
 from .inverted import okapi, text_index
+from .scratch import written
 from .texts import OKAPI, top_ranked
 
 
@@ -51,7 +52,8 @@ TOP20 = "tops AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY
 
 def _top20(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
-    return top_ranked(okapi(text_index(spark, sf_dir), load(spark, sf_dir, "benchmark")), "item_id", "doc_id", 20).join(docs.select("doc_id", "source", "lang"), "doc_id")
+    top = written(top_ranked(okapi(text_index(spark, sf_dir), load(spark, sf_dir, "benchmark")), "item_id", "doc_id", 20)).join(docs.select("doc_id", "source", "lang"), "doc_id")
+    return written(top)
 
 
 def soft_language_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,8 +71,8 @@ def retrieval_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How sure a retrieval is, from its hits, their sources and what words of the item none of them has."""
     t = _top20(spark, sf_dir)
     terms = load(spark, sf_dir, "benchmark").select("item_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    words = load(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    met = t.select("item_id", "doc_id").join(words, "doc_id").select("item_id", "term").distinct()
+    texts = t.select("item_id", "doc_id").join(load(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    met = texts.select("item_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term")).distinct()
     missing = terms.join(met, ["item_id", "term"], "left_anti").groupBy("item_id").agg(F.count(F.lit(1)).alias("missing"))
     g = t.groupBy("item_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("source").alias("k")).join(missing, "item_id", "left").withColumn("missing", F.coalesce("missing", F.lit(0)).cast("long"))
     raw = 0.25 + F.least(F.lit(0.35), 0.035 * F.col("n")) + F.least(F.lit(0.15), 0.03 * F.col("k")) - F.least(F.lit(0.45), 0.15 * F.col("missing"))

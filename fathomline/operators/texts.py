@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..model import TOKENS_SQL, load, r6, tokens
 from .inverted import EPSILON, K1, B, best_documents, okapi, text_index
+from .scratch import written
 
 TOP = 5
 
@@ -86,10 +87,11 @@ def scoped_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best document of each source per item: capped idf weights, with a bonus for words in the heading (the first line)."""
     docs, index = load(spark, sf_dir, "documents"), text_index(spark, sf_dir)
     heads = docs.select("doc_id", "source", tokens(F.get(F.split("text", "\n"), F.lit(0))).alias("head"))
-    sizes = docs.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
-    q = index.weighted(load(spark, sf_dir, "benchmark")).select("item_id", "term")
+    # tables of sources and asked words, known to be small once written
+    sizes = written(docs.groupBy("source").agg(F.count(F.lit(1)).alias("n")))
+    q = written(index.weighted(load(spark, sf_dir, "benchmark")).select("item_id", "term"))
     of_items = index.postings(q).join(heads, "doc_id")
-    df = of_items.groupBy("source", "term").agg(F.count(F.lit(1)).alias("df"))
+    df = written(index.postings(q).join(docs.select("doc_id", "source"), "doc_id").groupBy("source", "term").agg(F.count(F.lit(1)).alias("df")))
     met = of_items.join(df, ["source", "term"]).join(sizes, "source")
     weight = F.least(F.lit(2.8), 0.75 + 0.38 * F.log(1 + (F.col("n") + 1) / (F.col("df") + 1.0)))
     part = weight * F.when(F.array_contains("head", F.col("term")), 1.45).otherwise(1.0)
