@@ -93,11 +93,26 @@ def benchmark_phrases(items: DataFrame) -> DataFrame:
     return four.select(F.array_join("words", " ").alias("phrase_id"), "item_id", "words")
 
 
+def four_words(docs: DataFrame) -> DataFrame:
+    """doc_id, pos, phrase_id of every four words in a row of the lower-case texts (doc_id, text); each text stays in its row."""
+    words = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(_WORD), F.lit(0))
+    w = docs.select("doc_id", F.explode(F.array(words)).alias("w")).where(F.size("w") >= 4)
+    each = F.transform(F.sequence(F.lit(1), F.size("w") - 3), lambda i: F.array_join(F.slice("w", i, 4), " "))
+    return w.select("doc_id", F.posexplode(each).alias("pos", "phrase_id")).select("doc_id", F.col("pos").cast("long").alias("pos"), "phrase_id")
+
+
 def phrase_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where phrases of four words of the benchmark stand in documents: how often and first, per item and document."""
-    phrases = benchmark_phrases(load(spark, sf_dir, "benchmark"))
-    hits = phrase_hits(written(word_positions(load(spark, sf_dir, "documents").select("doc_id", "text"))), phrases.select("phrase_id", "words").distinct())
-    return hits.join(phrases.select("phrase_id", "item_id"), "phrase_id").groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first_pos"), F.min("at").alias("first_at"))
+    phrases = written(benchmark_phrases(load(spark, sf_dir, "benchmark")).select("phrase_id", "item_id"))
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    met = four_words(docs).join(phrases, "phrase_id").groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first_pos"))
+    met = written(met)
+    # only texts with a phrase are looked at again, for the character at which the first one begins
+    t = F.lower(F.coalesce("text", F.lit("")))
+    size = lambda parts, n: F.aggregate(F.slice(parts, F.lit(1), n), F.lit(0).cast("long"), lambda a, x: a + F.char_length(x))
+    pos = F.col("first_pos").cast("int")
+    at = size(F.split(t, _WORD), pos + 1) + size(F.regexp_extract_all(t, F.lit(_WORD), F.lit(0)), pos)
+    return docs.join(met, "doc_id").select("item_id", "doc_id", "n", "first_pos", at.alias("first_at"))
 
 
 _POSITIONS = f"""pg AS (SELECT doc_id, unnest(regexp_split_to_array(lower(coalesce(text, '')), '{_WORD}')) AS gap, unnest(list_append(regexp_extract_all(lower(coalesce(text, '')), '{_WORD}'), NULL)) AS word, unnest(range(0, len(regexp_split_to_array(lower(coalesce(text, '')), '{_WORD}')))) AS pos FROM documents),

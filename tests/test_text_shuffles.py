@@ -27,3 +27,8 @@ def test_documents_are_not_shuffled_for_a_few_hits(spark):
     for name in ("tier_boosts", "retrieval_confidence", "exact_literals"):
         text = plan(registry.QUERIES[name](spark, SF))
         assert "hashpartitioning(doc_id" not in text and "hashpartitioning(literal" not in text, name
+
+
+def test_words_of_documents_are_not_shuffled_for_phrases(spark):
+    text = plan(registry.QUERIES["phrase_positions"](spark, SF))
+    assert "Window" not in text and "hashpartitioning(doc_id" not in text
