@@ -276,7 +276,8 @@ def formulas(glyphs: DataFrame) -> DataFrame:
     bases = known.groupBy("line_id", "y").agg(F.count(F.lit(1)).alias("n")).groupBy("line_id").agg(F.max(F.struct("n", "y"))["y"].alias("base"))
     off = (F.col("base") - F.col("y")) / F.col("size")
     level = F.when(off > SHIFT, "^").when(off < -SHIFT, "_").otherwise("")
-    placed = known.join(bases, "line_id").withColumn("level", level)
+    # a row per line: the size check knows the table that glyphs come from, not how many lines they make, and would broadcast all of them
+    placed = known.join(bases.hint("merge"), "line_id").withColumn("level", level)
     w = Window.partitionBy("line_id").orderBy("x", "y")
     begun = placed.withColumn("begins", F.coalesce(F.lag("level").over(w) != F.col("level"), F.lit(True)).cast("int"))
     runs = begun.withColumn("run", F.sum("begins").over(w.rowsBetween(Window.unboundedPreceding, 0)))
