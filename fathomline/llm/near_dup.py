@@ -29,7 +29,7 @@ from pyspark.sql.types import StructType
 
 from .components import components, merged
 from .names import free_name
-from .scratch import written
+from .scratch import released
 from .textarrays import ALNUM, LOWER, hashed, mix, per_row, ragged_take, row_sums, runs, slices, windows
 
 WORDS = 5
@@ -351,7 +351,7 @@ def with_leaders(members: DataFrame) -> DataFrame:
     central = members.groupBy("node").agg(F.sum("n").alias("weight"))
     weighed = members.join(central, "node")
     leaders = weighed.groupBy("bucket").agg(F.max(F.struct("weight", "node")).alias("first")).select("bucket", F.col("first.node").alias("leader"))
-    pairs = written(members.join(leaders, "bucket").where("node <> leader").select("leader", "node", "size").distinct())
+    pairs = released(members.join(leaders, "bucket").where("node <> leader").select("leader", "node", "size").distinct())
     tiles = pairs.groupBy("leader").agg(F.sum("size").alias("all")).select("leader", _tiles("all").alias("tiles"))
     second = pairs.join(tiles, "leader").select(F.xxhash64("leader", _part("tiles", 1)).alias("tile"), F.lit(False).alias("own"), "node", F.col("node").alias("label"), "size")
     sizes = members.select(F.col("node").alias("leader"), "size").distinct()
@@ -361,7 +361,7 @@ def with_leaders(members: DataFrame) -> DataFrame:
 
 def with_others(members: DataFrame, classes: DataFrame) -> DataFrame:
     """In each bucket of several classes the members outside its largest class against all others (see ``links_of``)."""
-    placed = written(members.join(classes, "node", "left").select("bucket", "node", "size", "n", F.coalesce("component", "node").alias("label")))
+    placed = released(members.join(classes, "node", "left").select("bucket", "node", "size", "n", F.coalesce("component", "node").alias("label")))
     by_class = placed.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("members"), F.sum("size").alias("bytes"))
     largest = F.max(F.struct("members", "label", "bytes")).alias("largest")
     # the leader has met all: a bucket of two is compared in full
@@ -376,16 +376,18 @@ def with_others(members: DataFrame, classes: DataFrame) -> DataFrame:
 
 def node_classes(docs: DataFrame, *, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """node, component of all texts that are similar to another one; a component is named by its smallest node."""
-    texts = written(distinct_texts(docs))
+    texts = released(distinct_texts(docs))
     n_texts, n_bytes = texts.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
     bits = range_bits(n_bytes)
-    drawn = written(signatures(texts, shared_shingles(texts, words, bits), n_texts, words, bits))
+    # written by themselves: what the ranges were sent goes before texts are shuffled
+    shared_counts = released(shared_shingles(texts, words, bits))
+    drawn = released(signatures(texts, shared_counts, n_texts, words, bits))
     bucketed = drawn.select("node", "size", F.posexplode("bands").alias("band", "key")).select(F.xxhash64("band", "key").alias("bucket"), "node", "size")
     shared = bucketed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = written(bucketed.join(shared, "bucket"))
+    members = released(bucketed.join(shared, "bucket"))
     candidates = members.select("node").distinct()
-    features = written(texts.select("node", "text").join(candidates, "node").join(drawn.select("node", "counts"), "node"))
-    find = lambda sided: written(links_of(written(sided), features, n_texts, words, similarity).distinct())
+    features = released(texts.select("node", "text").join(candidates, "node").join(drawn.select("node", "counts"), "node"))
+    find = lambda sided: released(links_of(released(sided), features, n_texts, words, similarity).distinct())
     classes = components(find(with_leaders(members)))
     return merged(classes, find(with_others(members, classes)))
 
@@ -402,10 +404,10 @@ def near_duplicates(docs: DataFrame, *, words: int = WORDS, similarity: float =
     of it has one.  Rows that repeat a doc_id are judged by their own texts.
     Extra columns are ignored, an empty table gives no rows.
     """
-    rows = written(named(_read(docs), "node").select("doc_id", "node"))
+    rows = released(named(_read(docs), "node").select("doc_id", "node"))
     classes = node_classes(_read(docs), words=words, similarity=similarity)
     first = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("first_id"))
-    placed = written(first.join(classes, "node", "left").select("node", "first_id", F.coalesce("component", "node").alias("component")))
+    placed = released(first.join(classes, "node", "left").select("node", "first_id", F.coalesce("component", "node").alias("component")))
     smallest = placed.groupBy("component").agg(F.min("first_id").alias("class_id"))
     by_node = placed.join(smallest, "component").select("node", "class_id")
     return rows.join(by_node, "node", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))

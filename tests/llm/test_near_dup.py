@@ -204,3 +204,13 @@ def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a bigint, b bigint")
     got = {r["node"]: r["component"] for r in components(links).collect()}
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
+
+
+def test_shuffles_of_texts_are_gone_when_samples_are_drawn(spark, monkeypatch):
+    sent = lambda: {f.getName() for f in files() if "shuffle_" in f.getName()}
+    files = lambda: spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles())
+    monkeypatch.setattr(near_dup, "signatures", lambda *a, drawn=near_dup.signatures: (left.append(sent() - before), drawn(*a))[1])
+    left, before = [], sent()
+    rows = [(i, f"{i} words of a text that is like others but for {i % 7}") for i in range(200)]
+    near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).count()
+    assert left == [set()]
