@@ -1,63 +1,123 @@
 """Dense retrieval, rank fusion, routing and quotas.
 
 Queries are all vectors whose id is divisible by 20, searched against all
-others.  Vectors and queries meet in blocks: one row per block, so a pair of
-blocks is one matrix product, and only each block's best rows go on.
+others.  Splits of the vectors and groups of the queries meet in a grid, block
+by block as matrix products, and only a cell's best rows go on.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..model import load, r6, tokens
+from .scratch import written
 
 VECTORS, QUERY_VECTORS = 2048, 512
+#: Vectors of a split and queries of a group: they change no result.
+SPLIT, GROUP = 1 << 16, 1 << 14
 DEPTH = 20
 COARSE = 16
 
 
-def _blocks(vectors: DataFrame, size: int, prefix: str, *by: str) -> DataFrame:
-    """Unit vectors in blocks of ``size`` ids (of each value of ``by``): ids, labels and one flat array."""
-    rows = vectors.where("embedding IS NOT NULL AND vec_id IS NOT NULL")
-    block = F.expr(f"vec_id div {size}").alias("block")
-    return rows.groupBy(*by, block).agg(F.collect_list(F.struct("vec_id", F.col("label").cast("long").alias("label"), "embedding")).alias("r")).select(
-        *by, F.transform("r", lambda x: x["vec_id"]).alias(f"{prefix}id"), F.transform("r", lambda x: x["label"]).alias(f"{prefix}label"), F.flatten(F.transform("r", lambda x: x["embedding"])).alias(f"{prefix}flat")
-    )
+def _unit(m: np.ndarray) -> np.ndarray:
+    return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+
+
+def matrix(column: pa.ChunkedArray, dims: int | None = None) -> np.ndarray:
+    """Unit vectors of a column of arrays of one length."""
+    flat = pa.compute.list_flatten(column).to_numpy().astype(float)
+    return _unit(flat.reshape(len(column), -1)[:, :dims]) if len(column) else np.zeros((0, 1))
+
+
+class Best:
+    """The best ``depth`` rows that queries have met so far, by score (six decimals), then by id."""
+
+    def __init__(self, q_ids: np.ndarray, depth: int):
+        self.q_ids, self.depth = q_ids, depth
+        self.query, self.row, self.id, self.score = np.zeros(0, int), np.zeros(0, int), np.zeros(0, np.int64), np.zeros(0)
+        self.least = np.full(len(q_ids), -np.inf)
+
+    def meet(self, queries: np.ndarray, ids: np.ndarray, raw: np.ndarray, base: int, wanted: np.ndarray | None = None) -> None:
+        """``raw`` has the likeness of ``queries`` (places) to rows of ``ids``, the first of which is row ``base``; a query isn't its own hit."""
+        if wanted is not None:
+            raw = np.where(wanted, raw, -np.inf)
+        least, k = self.least[queries], raw.shape[1] - self.depth - 1
+        fresh = np.isneginf(least)
+        if k > 0 and fresh.any():
+            least[fresh] = np.partition(raw[fresh], k, axis=1)[:, k] - 2e-6
+        q, v = np.nonzero((raw >= least[:, None]) & (raw > -np.inf))
+        other = ids[v] != self.q_ids[queries[q]]
+        q, v = q[other], v[other]
+        query, score = np.concatenate([self.query, queries[q]]), np.concatenate([self.score, np.round(raw[q, v], 6)])
+        row, ids = np.concatenate([self.row, base + v]), np.concatenate([self.id, ids[v]])
+        order = np.lexsort((ids, -score, query))
+        query = query[order]
+        rank = np.arange(len(query)) - np.searchsorted(query, query)
+        kept = rank < self.depth
+        order = order[kept]
+        self.query, self.row, self.id, self.score = query[kept], row[order], ids[order], score[order]
+        last = rank[kept] == self.depth - 1
+        # scores are rounded: what is this little below may still be equal
+        self.least[self.query[last]] = self.score[last] - 2e-6
+
+
+def _nearest(many: pa.Table, asked: pa.Table, depth: int, dims: int | None) -> pa.Table:
+    """Each query's best rows of a cell, block by block."""
+    a, b = matrix(many.column("embedding"), dims), matrix(asked.column("q_embedding"), dims)
+    ids, q_ids = many.column("vec_id").to_numpy(), asked.column("query_id").to_numpy()
+    rows, queries, scores = [np.zeros(0, int)], [np.zeros(0, int)], [np.zeros(0)]
+    for begin in range(0, len(b), QUERY_VECTORS):
+        some = np.arange(min(QUERY_VECTORS, len(b) - begin))
+        best = Best(q_ids[begin : begin + QUERY_VECTORS], depth)
+        for at in range(0, len(a), VECTORS):
+            best.meet(some, ids[at : at + VECTORS], b[begin : begin + QUERY_VECTORS] @ a[at : at + VECTORS].T, at)
+        rows.append(best.row)
+        queries.append(begin + best.query)
+        scores.append(best.score)
+    row, query = pa.array(np.concatenate(rows)), pa.array(np.concatenate(queries))
+    return pa.table([asked.column("query_id").take(query), asked.column("query_label").take(query), many.column("vec_id").take(row), many.column("label").take(row), pa.array(np.concatenate(scores))], ["query_id", "query_label", "vec_id", "label", "score"])
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, depth: int, dims: int | None = None, by: str | None = None) -> DataFrame:
+    """query_id, query_label, vec_id, label, score: the best ``depth`` rows or more for each query, of equal values of ``by``.
+
+    Splits of the vectors meet groups of the queries in cells of a grid, each a
+    call of its own of bounded size, which gives one list for each of its queries.
+    """
+    usable = "embedding IS NOT NULL AND vec_id IS NOT NULL"
+    label, scope = F.col("label").cast("long"), F.lit(0) if by is None else F.col(by)
+    v = vectors.where(usable).select(scope.cast("long").alias("scope"), "vec_id", label.alias("label"), "embedding")
+    q = queries.where(usable).select(scope.cast("long").alias("scope"), F.col("vec_id").alias("query_id"), label.alias("query_label"), F.col("embedding").alias("q_embedding"))
+    n = v.groupBy("scope").agg(F.ceil(F.count(F.lit(1)) / SPLIT).cast("int").alias("splits")).join(q.groupBy("scope").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("groups")), "scope")
+    sized = written(n)  # a row per value of ``by``
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    dealt = lambda key, c: F.pmod(F.xxhash64(key), F.col(c)).cast("int")
+    many = v.join(sized, "scope").select("scope", dealt("vec_id", "splits").alias("split"), every("groups").alias("group"), "vec_id", "label", "embedding")
+    asked = q.join(sized, "scope").select(F.col("scope").alias("q_scope"), every("splits").alias("q_split"), dealt("query_id", "groups").alias("q_group"), "query_id", "query_label", "q_embedding")
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        return _nearest(left, right, depth, dims)
+
+    met = many.groupBy("scope", "split", "group").cogroup(asked.groupBy("q_scope", "q_split", "q_group"))
+    return met.applyInArrow(run, "query_id bigint, query_label bigint, vec_id bigint, label bigint, score double")
 
 
 def search(vectors: DataFrame, queries: DataFrame, depth: int, dims: int | None = None) -> DataFrame:
     """query_id, query_label, vec_id, label, score (cosine, six decimals), rank up to ``depth``; a query isn't its own hit."""
-    sized = _blocks(queries, QUERY_VECTORS * 20, "q_")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return _met(_blocks(vectors, VECTORS, "").crossJoin(sized), depth, dims).withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= depth)
-
+    return nearest(vectors, queries, depth, dims).withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= depth)
 
-def _met(pairs: DataFrame, depth: int, dims: int | None = None) -> DataFrame:
-    """query_id, query_label, vec_id, label, score: the best ``depth`` rows of each pair of blocks for each query."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for row in frame.itertuples(index=False):
-                ids, labels, q_ids, q_labels = (np.asarray(x) for x in (row.id, row.label, row.q_id, row.q_label))
-                a, b = np.asarray(row.flat, float).reshape(len(ids), -1)[:, :dims], np.asarray(row.q_flat, float).reshape(len(q_ids), -1)[:, :dims]
-                unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-                score = np.round(unit(b) @ unit(a).T, 6)
-                for i, q in enumerate(q_ids):
-                    other = np.flatnonzero(ids != q)
-                    best = other[np.lexsort((ids[other], -score[i, other]))[:depth]]
-                    yield pd.DataFrame({"query_id": q, "query_label": q_labels[i], "vec_id": ids[best], "label": labels[best], "score": score[i, best]})
-
-    return pairs.mapInPandas(run, "query_id bigint, query_label bigint, vec_id bigint, label bigint, score double")
-
-
-def lane(spark: SparkSession, sf_dir: str, dims: int | None = None, depth: int = DEPTH) -> DataFrame:
+def lane(spark: SparkSession, sf_dir: str, dims: int | None = None, depth: int = DEPTH, asked: DataFrame | None = None) -> DataFrame:
+    """The hits of all queries, or of those in ``asked`` (vec_id)."""
     v = load(spark, sf_dir, "embeddings")
-    return search(v, v.where("vec_id % 20 = 0"), depth, dims)
+    queries = v.where("vec_id % 20 = 0")
+    return search(v, queries if asked is None else queries.join(asked, "vec_id", "left_semi"), depth, dims)
 
 
 def _lane_sql(name: str, dims: int | None, depth: int = DEPTH) -> str:
@@ -157,11 +217,11 @@ def routed_stage2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Second stage inside the two best labels of each query, with a boost by the label's place."""
     v = load(spark, sf_dir, "embeddings")
     queries = v.where("vec_id % 20 = 0")
-    top = routes(search(v, queries, DEPTH)).where("route <= 2").select("query_id", F.col("label").alias("routed"), "route")
+    top = written(routes(search(v, queries, DEPTH)).where("route <= 2").select("query_id", F.col("label").alias("routed"), "route"))
     asked = queries.join(top, F.col("vec_id") == F.col("query_id"))
     # a label's vectors meet the queries routed to it; the place of the label is the same for all its rows of a query
-    met = _blocks(v.withColumn("routed", F.col("label").cast("long")), VECTORS, "", "routed").join(_blocks(asked, QUERY_VECTORS * 20, "q_", "routed"), "routed").drop("routed")
-    found = _met(met, 10).join(top.withColumnRenamed("routed", "label"), ["query_id", "label"])
+    met = nearest(v.withColumn("routed", F.col("label").cast("long")), asked, 10, by="routed")
+    found = met.join(top.withColumnRenamed("routed", "label"), ["query_id", "label"])
     final = 1 - F.col("score") - F.when(F.col("route") == 1, 0.2).otherwise(0.13)
     s = found.select("query_id", "vec_id", "label", r6(final).alias("distance"))
     w = Window.partitionBy("query_id").orderBy("distance", "vec_id")
