@@ -39,9 +39,9 @@ def _pool_sql(depth: int) -> str:
 def both_lanes(spark: SparkSession, sf_dir: str, depth: int = POOL) -> DataFrame:
     """Full outer join of the dense and the sparse lane: item_id, doc_id, dense_rank, sparse_rank, rrf."""
     items = load(spark, sf_dir, "benchmark").select("item_id")
-    dense = lane(spark, sf_dir, depth=depth).select((F.col("query_id") / 20).cast("long").alias("item_id"), F.col("vec_id").alias("doc_id"), F.col("rank").alias("dense_rank"))
+    dense = lane(spark, sf_dir, depth=depth, asked=items.select((F.col("item_id") * 20).alias("vec_id"))).select((F.col("query_id") / 20).cast("long").alias("item_id"), F.col("vec_id").alias("doc_id"), F.col("rank").alias("dense_rank"))
     sparse = sparse_pool(spark, sf_dir, depth).select("item_id", "doc_id", F.col("rank").alias("sparse_rank"))
-    met = dense.join(items, "item_id", "left_semi").join(sparse, ["item_id", "doc_id"], "full_outer")
+    met = dense.join(sparse, ["item_id", "doc_id"], "full_outer")
     part = lambda r: F.coalesce(1.0 / (60 + F.col(r)), F.lit(0.0))
     return met.withColumn("rrf", F.round(part("dense_rank") + part("sparse_rank"), 8))
 

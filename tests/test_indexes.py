@@ -202,3 +202,14 @@ def test_filtered_search_climbs_until_it_has_enough(spark, clustered, tmp_path):
 def test_an_index_of_no_vectors(spark, clustered, tmp_path):
     index = cells.build_vector_index(clustered.where("false"), str(tmp_path))
     assert cells.search_cells(index, clustered.where("vec_id % 20 = 0"), 10).count() == 0
+
+
+def test_cells_of_the_grid_change_no_hit(spark, clustered, monkeypatch):
+    queries = clustered.where("vec_id % 20 = 0")
+    whole = hits(vectors.search(clustered, queries, 10))
+    for name, n in (("SPLIT", 300), ("GROUP", 40), ("VECTORS", 32), ("QUERY_VECTORS", 16)):
+        monkeypatch.setattr(vectors, name, n)
+    found = vectors.search(clustered, queries, 10)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert hits(found) == whole and "FlatMapCoGroupsInArrow" in plan
+    assert hits(vectors.search(clustered, queries.where("false"), 10)) == set()
